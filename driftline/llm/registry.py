@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup as op5
+from . import exact_dedup, licenses, pii
 
 QUERIES = {
-    "op5_exact_dedup": op5.op5_exact_dedup,
+    "op3_licenses": licenses.op3_licenses,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_pii": pii.op7_pii,
 }
 
 ORACLES = {
-    "op5_exact_dedup": op5.ORACLE_SQL,
+    "op5_exact_dedup": exact_dedup.ORACLE_SQL,
 }
