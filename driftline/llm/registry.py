@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, licenses, pii
+from . import exact_dedup, langid, licenses, pii, toxicity
 
 QUERIES = {
+    "op2_langid": langid.op2_langid,
     "op3_licenses": licenses.op3_licenses,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_pii": pii.op7_pii,
 }
