@@ -99,8 +99,8 @@ FORMS = [
 # Separators and word characters of lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: What a text must hold, in lower case, before any rule is looked at.
-ANY_KEYWORD = "licen|spdx|rights reserved|public domain|creative commons|gpl|wtfpl|" + WORD.join(["(?<!", ")"]) + "(?:cc|bsd|mit|apache)" + WORD.join(["(?!", ")"])
+#: What a text must hold before any rule is looked at: each name or sentence form has one of these.
+ANY_KEYWORD = "(?i:licen|spdx|gpl|wtfpl|bsd|cc0|" + "|".join(x.replace(" ", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+") for x in ("rights reserved", "public domain", "creative commons", "cc by", "cc 0", "apache 1", "apache 2", "apache v", "apache software", "apache version", "mit no attribution")) + ")"
 
 
 def _regex(pattern: str) -> str:

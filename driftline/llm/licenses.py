@@ -56,10 +56,9 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     out = out.withColumn("n_words", F.regexp_count("text", F.lit(f"{_W}+")).cast("long"))
-    gate = F.col("text").rlike("(?i:licen|spdx|reserved|domain|commons|gpl|wtfpl|cc|bsd|mit|apache)")
-    # both gates look at the whole text; the second one at whole words, on what the first one let through
-    out = out.withColumn("lower", F.when(gate, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    out = out.withColumn("spans", F.when(F.col("lower").rlike(ANY_KEYWORD), _detections(F.col("lower"))))
+    # one pass over every text; what follows runs on the few that hold a keyword
+    out = out.withColumn("lower", F.when(F.col("text").rlike(ANY_KEYWORD), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    out = out.withColumn("spans", F.when(F.col("lower").isNotNull(), _detections(F.col("lower"))))
     out = out.withColumn("spans", F.when(F.size("spans") > 1, F.array_sort(_resolved(F.col("spans")))).otherwise(F.col("spans")))
     for i, (phrase, _) in enumerate(PHRASES):
         out = out.withColumn(f"n{i}", F.when(F.col("lower").isNotNull(), F.regexp_count("text", F.lit(_phrase(phrase)))).otherwise(0))
