@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, pii, toxicity
+from . import exact_dedup, langid, licenses, mixing, packing, pii, toxicity
 
 QUERIES = {
+    "op1_mixing": mixing.op1_mixing,
     "op2_langid": langid.op2_langid,
     "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op7_pii": pii.op7_pii,
+    "op9_packing": packing.op9_packing,
 }
 
 ORACLES = {
