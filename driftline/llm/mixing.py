@@ -14,7 +14,7 @@ from .scale import cut
 from .subword import Model, train_texts
 
 #: Weight of staying near rate 1; it makes the solution unique.
-RIDGE = 0.003
+RIDGE = 1e-4
 #: Steps after which the rates are written down, so that a row never replays more.
 REPLAY = 25
 
