@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_signatures import ANY_KEYWORD, rules
+from .license_signatures import ANY_KEYWORD, REACH, rules
 from .matches import places
 
 # The base phrases and their labels.
@@ -25,13 +25,23 @@ def _detections(text: Column) -> Column:
     Equal spans of equal priority keep the alphabetically first label.
     """
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for k, r, p, label, c in rules()])
-    gated = F.filter(table, lambda r: F.contains(text, r["keyword"]))
+    # keywords less than REACH apart are one region; a region reaches that far to both sides
+    chain = f"(?s){ANY_KEYWORD}(?:.{{0,{REACH}}}?{ANY_KEYWORD})*"
+    cores = places(F.split(text, chain, -1), F.regexp_extract_all(text, F.lit(chain), F.lit(0)))
 
-    def found(r: Column) -> Column:
-        at = places(F.split(text, r["regex"], F.lit(-1)), F.regexp_extract_all(text, r["regex"], F.lit(0)))
-        return F.transform(at, lambda x: F.struct(x["start"].alias("start"), x["stop"].alias("stop"), x["value"].alias("value"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
+    def region(x: Column) -> Column:
+        start = F.greatest(x["start"] - REACH, F.lit(0))
+        return F.struct(start.alias("start"), F.substring(text, start.cast("int") + 1, (x["stop"] + REACH - start).cast("int")).alias("text"))
 
-    return F.flatten(F.transform(gated, found))
+    def found(region: Column) -> Column:
+        def by_rule(r: Column) -> Column:
+            at = places(F.split(region["text"], r["regex"], F.lit(-1)), F.regexp_extract_all(region["text"], r["regex"], F.lit(0)))
+            return F.transform(at, lambda x: F.struct((region["start"] + x["start"]).alias("start"), (region["start"] + x["stop"]).alias("stop"), x["value"].alias("value"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
+
+        gated = F.filter(table, lambda r: F.contains(region["text"], r["keyword"]))
+        return F.flatten(F.transform(gated, by_rule))
+
+    return F.array_distinct(F.flatten(F.transform(F.transform(cores, region), found)))
 
 
 def _resolved(spans: Column) -> Column:
