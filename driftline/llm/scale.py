@@ -50,3 +50,11 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight:
     out = near.join(cold, on=[F.col(k) == F.col(f"__c_{k}") for k in keys] + [F.col("__side") == F.col("__c_side")], how="left")
     picked = F.coalesce("__hot", "__cold")
     return out.select(*rows.columns, *[picked[c].alias(c) for c in values])
+
+
+def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
+    """``skew_safe_lookup`` for a small materialised ``rows``: its hot keys are counted first."""
+    total = rows.count()
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") * HOT_PARTS > total)
+    weighed = table.join(F.broadcast(counts), keys, "left").withColumn("__n", F.coalesce("__n", F.lit(0)))
+    return skew_safe_lookup(rows, weighed, keys, "__n", total, spread).drop("__n")
