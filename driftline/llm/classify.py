@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from . import subword, textnum
 
 #: At most about so many rows of a table are learned from, all classes together.
-SAMPLE = 6000
+SAMPLE = 4000
 
 
 def fold(id_col: str, folds: int) -> Column:

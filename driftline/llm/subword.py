@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textnum import PIECE, letters
+from .textnum import PIECE, groups, letters
 
 #: Lengths of n-grams in bytes; an n-gram lies in one word with a blank at either side.
 SIZES = (3, 4, 5)
@@ -105,13 +105,14 @@ def word_scores(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarr
 
 def _bags(text: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets and their shares."""
-    out, moved = padded(text, offsets)
-    parts = [grams(out, 0, len(out), n, bits) for n in SIZES]
     bags = []
-    for i in range(len(offsets) - 1):
-        cut = [code[slice(*np.searchsorted(at, moved[i : i + 2]))] for at, code in parts]
-        codes, counts = np.unique(np.concatenate(cut), return_counts=True)
-        bags.append((codes, (counts / max(1, counts.sum())).astype(np.float32)))
+    for a, b in groups(offsets):
+        out, moved = padded(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        parts = [grams(out, 0, len(out), n, bits) for n in SIZES]
+        for i in range(b - a):
+            cut = [code[slice(*np.searchsorted(at, moved[i : i + 2]))] for at, code in parts]
+            codes, counts = np.unique(np.concatenate(cut), return_counts=True)
+            bags.append((codes.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
     return bags
 
 
@@ -169,14 +170,19 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
 
 def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
     """The distinct (text, word) pairs, and the n-gram buckets of each distinct word as (first, buckets)."""
-    out, moved = padded(*texts)
-    blanks = np.flatnonzero(out == 32)
-    starts, ends = blanks[:-1][np.diff(blanks) > 1], blanks[1:][np.diff(blanks) > 1]
-    owner = np.searchsorted(moved, starts, side="right") - 1
-    raw = out.tobytes()
+    text, offsets = texts
     seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(raw[s : e + 1], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
-    pairs = np.unique(owner * np.int64(len(seen) + 1) + ids)
+    owners, ids = [], []
+    for a, b in groups(offsets):
+        out, moved = padded(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        blanks = np.flatnonzero(out == 32)
+        starts, ends = blanks[:-1][np.diff(blanks) > 1], blanks[1:][np.diff(blanks) > 1]
+        raw = out.tobytes()
+        mine = np.fromiter((seen.setdefault(raw[s : e + 1], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+        owner = np.searchsorted(moved, starts, side="right") - 1
+        pair = np.unique(owner * np.int64(1 << 40) + mine)
+        owners.append((pair >> 40) + a)
+        ids.append(pair & ((1 << 40) - 1))
     one = np.frombuffer(b"".join(seen), np.uint8)  # each distinct word between its blanks
     begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, seen), np.int64, len(seen)))])
     at, code, reach = [], [], []
@@ -189,7 +195,7 @@ def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
     word = np.searchsorted(begin, at, side="right") - 1
     inside = at + reach <= begin[word + 1]
     code, word = code[inside], word[inside]
-    return pairs // (len(seen) + 1), pairs % (len(seen) + 1), np.searchsorted(word, np.arange(len(seen) + 1)), code
+    return np.concatenate(owners), np.concatenate(ids), np.searchsorted(word, np.arange(len(seen) + 1)), code
 
 
 def _means(line: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
