@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, langid, licenses, minhash, mixing, packing, pii, toxicity
+from . import embedding_dedup, exact_dedup, langid, licenses, minhash, mixing, packing, pii, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_licenses": licenses.op3_licenses,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_pii": pii.op7_pii,
     "op9_packing": packing.op9_packing,
     "op10_minhash": minhash.op10_minhash,
