@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import embedding_dedup, exact_dedup, langid, licenses, minhash, mixing, packing, pii, toxicity
+from . import embedding_dedup, exact_dedup, langid, licenses, minhash, mixing, packing, pii, substring_dedup, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -12,10 +12,12 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_pii": pii.op7_pii,
+    "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
     "op10_minhash": minhash.op10_minhash,
 }
 
 ORACLES = {
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
