@@ -1,20 +1,59 @@
-"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing, packing."""
+"""The corpus pipeline: toxicity, exact dedup, near dedup, mixing to target weights, best-fit packing.
+
+Each stage takes all that its predecessor kept (the columns of ``documents``) and its decisions take effect; the last
+returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-from driftline.llm.exact_dedup import drop_exact_copies
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from driftline.llm import exact_dedup, minhash, mixing, packing, toxicity
+from driftline.llm.scale import cut
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier, learned from the labelled rows of the corpus, rejects are gone."""
+    return toxicity.drop_toxic(docs, toxicity.fit_from_tables(spark, sf_dir))
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the document with the largest id stays."""
+    return exact_dedup.drop_exact_copies(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates (five words, 0.8) the document with the smallest id stays."""
+    return minhash.drop_near_duplicates(docs)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents are left out or repeated so that the expected tokens of each quality meet the target weights."""
+    return mixing.apply_mix(docs, mixing.mix(docs, mixing.fit_from_tables(spark, sf_dir), mixing.TARGETS))
+
 
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins of training sequences; repeated documents never meet in one."""
+    return packing.pack(docs)
 
-def exact(spark, docs, sf_dir):
-    return drop_exact_copies(docs)
 
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("exact dedup", drop_exact_copies),
+    ("MinHash near-dedup", drop_near_copies),
+    ("mixing sources to target weights", mix),
+    ("best-fit packing", pack),
+]
 
-STAGES = [("exact dedup", exact)]
+#: Classifiers and greedy packing have no SQL; the tests compare the stages with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; what a stage returns is written down, so that the next one's passes don't repeat it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = cut(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)

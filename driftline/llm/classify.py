@@ -49,17 +49,19 @@ def pairs(rows: DataFrame, id_col: str, text_col: str, class_col: str) -> tuple[
 def apply_texts(rows: DataFrame, text_col: str, score: Callable, kept: list[str], schema: str) -> DataFrame:
     """``kept`` columns and those that ``score(text bytes, offsets)`` returns (a list of arrays) for each batch of whole texts."""
     names = [x.split()[0] for x in schema.split(",")]
+    at = kept.index(text_col) if text_col in kept else len(kept)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text, offsets = textnum.flat(batch.column(len(kept)))
+            text, offsets = textnum.flat(batch.column(at))
             for i, j in textnum.groups(offsets, 4 * textnum.PIECE):
                 found = score(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(i, j - i) for c in range(len(kept))), *map(pa.array, found)], names=[*kept, *names])
 
     types = {f.name: f.dataType.simpleString() for f in rows.schema}
-    head = ", ".join(f"{c} {types[c]}" for c in kept)
-    return rows.select(*kept, F.col(text_col).alias("__text")).mapInArrow(run, f"{head}, {schema}")
+    head = ", ".join(f"`{c}` {types[c]}" for c in kept)
+    read = rows.select(*kept) if text_col in kept else rows.select(*kept, F.col(text_col).alias("__text"))
+    return read.mapInArrow(run, f"{head}, {schema}")
 
 
 def posteriors(model: subword.Model) -> Callable:

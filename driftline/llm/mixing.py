@@ -147,6 +147,17 @@ def mix(docs: DataFrame, model: Model | None, targets: dict[str, float], id_col:
     return rated.select("doc_id", "n_tokens", domain.alias("domain"), "p", "rate", F.floor(F.col("rate") + dice).cast("long").alias("copies"))
 
 
+def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """``docs`` with each row as often as ``mixed`` has ``copies`` for its id: none, once or more, all columns as they were.
+
+    An id that repeats takes its largest number; rows with a null id stay once.
+    """
+    copies = mixed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
+    joined = docs.join(copies, F.col(id_col) == F.col("__id"), "left")
+    times = F.coalesce("__copies", F.lit(1)).cast("int")
+    return joined.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+
+
 #: Shares of tokens that the corpus should have by quality, as the table ``labels`` marks it.
 TARGETS = {"low": 0.14, "high": 0.86}
 

@@ -47,6 +47,14 @@ def score_toxicity(docs: DataFrame, model: Model | None, kept: list[str], text_c
     return apply_texts(docs, text_col, _scorer(model), kept, "score double, predicted int")
 
 
+def drop_toxic(docs: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text is predicted toxic, all columns as they were, whatever their names."""
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
+    scored = score_toxicity(plain, model, plain.columns, f"c{names.index(text_col)}")
+    return scored.where(F.col("predicted") == 0).select(*plain.columns).toDF(*names)
+
+
 def fit_from_tables(spark: SparkSession, sf_dir: str) -> Model | None:
     """A model from the rows of ``labels`` outside fold 0 of 5."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
