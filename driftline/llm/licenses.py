@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_signatures import ANY_KEYWORD, REACH, rules
+from .license_signatures import ANY_KEYWORD, PARTS, REACH, rules
 from .matches import places
 
 # The base phrases and their labels.
@@ -65,9 +65,16 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     null, other columns are ignored. Built-in expressions on one row only: no shuffle.
     """
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    out = out.withColumn("n_words", F.regexp_count("text", F.lit(f"{_W}+")).cast("long"))
-    # one pass over every text; what follows runs on the few that hold a keyword
-    out = out.withColumn("lower", F.when(F.col("text").rlike(ANY_KEYWORD), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
+    # words are what lies between separators, without an empty piece at either end
+    out = out.withColumn("parts", F.split("text", _S, -1))
+    at_ends = F.when(F.element_at("parts", 1) == "", 1).otherwise(0) + F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0)
+    out = out.withColumn("n_words", (F.size("parts") - at_ends).cast("long")).drop("parts")
+    # cheap searches in every text, one pattern in those that pass, and all else in the few that pass that too
+    out = out.withColumn("folded", F.lower("text"))
+    some = F.lit(False)
+    for part in PARTS:
+        some = some | F.contains("folded", F.lit(part))
+    out = out.withColumn("lower", F.when(some & F.col("text").rlike(ANY_KEYWORD), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).drop("folded")
     out = out.withColumn("spans", F.when(F.col("lower").isNotNull(), _detections(F.col("lower"))))
     out = out.withColumn("spans", F.when(F.size("spans") > 1, F.array_sort(_resolved(F.col("spans")))).otherwise(F.col("spans")))
     for i, (phrase, _) in enumerate(PHRASES):
