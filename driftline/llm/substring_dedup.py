@@ -98,26 +98,74 @@ def _windows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return tuple(textnum.hash_grams(hashes, WINDOW, seed)[at].view(np.int64) for seed in (1, 2))
 
 
-def _emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Fingerprints of the windows whose chosen phrase recurs, each once for a document."""
+def _segments(w1: np.ndarray, w2: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows that choose the same place: where each begins (with the total last), and its 128-bit fingerprint.
+
+    Such a run is shorter than a window, so its first and last window hold all its words and with the run's length
+    tell it from any other.
+    """
+    cut = np.flatnonzero(np.diff(chosen)) + 1
+    begin = np.concatenate([[0], cut, [len(chosen)]]) if len(chosen) else np.zeros(1, np.int64)
+    a, b, n = begin[:-1], begin[1:] - 1, np.diff(begin).astype(np.uint64)
+    prints = (textnum.mix(textnum.mix(w.view(np.uint64)[a] + n) ^ w.view(np.uint64)[b]).view(np.int64) for w in (w1, w2))
+    return begin, *prints
+
+
+def _once(owner: np.ndarray, *values: np.ndarray) -> np.ndarray:
+    """Indices of the first of equal (owner, values)."""
+    order = np.lexsort((*values, owner))
+    new = np.ones(len(order), bool)
+    same = owner[order][1:] == owner[order][:-1]
+    for v in values:
+        same &= v[order][1:] == v[order][:-1]
+    new[1:] = ~same
+    return order[new]
+
+
+def _places(batch: pa.RecordBatch):
+    """For blocks of (doc_id, text, hs): ids, first words, windows at places of recurring phrases (starts, phrases, places, fingerprints)."""
+    text, offsets = textnum.flat(batch.column(1))
+    for i, j in textnum.groups(offsets, SHARD):
+        part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+        _, _, first, hashes, grams, at, chosen = layout(part, cuts)
+        wanted = np.unique(batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
+        hit = locate(hashes, first, grams, wanted, chosen)[chosen]
+        at, chosen = at[hit], chosen[hit]
+        yield batch.column(0).slice(i, j - i).to_numpy(), first, at, grams[chosen].view(np.int64), chosen, *_windows(hashes, at)
+
+
+def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """h, g1, g2, doc_id: each document's distinct runs of windows whose chosen phrase recurs."""
     for batch in batches:
-        text, offsets = textnum.flat(batch.column(1))
-        lists = batch.column(2)
-        for i, j in textnum.groups(offsets, SHARD):
-            part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            _, _, first, hashes, grams, at, chosen = layout(part, cuts)
-            wanted = np.unique(lists.slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-            at = at[locate(hashes, first, grams, wanted, chosen)[chosen]]
-            w1, w2 = _windows(hashes, at)
+        for ids, first, at, phrases, chosen, w1, w2 in _places(batch):
+            begin, g1, g2 = _segments(w1, w2, chosen)
+            begin = begin[:-1]
+            owner = np.searchsorted(first, at[begin], side="right") - 1
+            pick = _once(owner, g1, g2)
+            yield pa.RecordBatch.from_arrays([pa.array(phrases[begin][pick]), pa.array(g1[pick]), pa.array(g2[pick]), pa.array(ids[owner[pick]])], names=["h", "g1", "g2", "doc_id"])
+
+
+def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """w1, w2, doc_id: each document's distinct windows at the phrases that are given for it."""
+    for batch in batches:
+        for ids, first, at, phrases, _, w1, w2 in _places(batch):
             owner = np.searchsorted(first, at, side="right") - 1
-            order = np.lexsort((w2, w1, owner))
-            w1, w2, owner = w1[order], w2[order], owner[order]
-            new = np.ones(len(w1), bool)
-            new[1:] = (w1[1:] != w1[:-1]) | (w2[1:] != w2[:-1]) | (owner[1:] != owner[:-1])
-            ids = batch.column(0).slice(i, j - i).to_numpy()
-            for a in range(0, int(new.sum()), 100_000):
-                pick = np.flatnonzero(new)[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(w1[pick]), pa.array(w2[pick]), pa.array(ids[owner[pick]])], names=["w1", "w2", "doc_id"])
+            pick = _once(owner, w1, w2)
+            for a in range(0, len(pick), 100_000):
+                part = pick[a : a + 100_000]
+                yield pa.RecordBatch.from_arrays([pa.array(w1[part]), pa.array(w2[part]), pa.array(ids[owner[part]])], names=["w1", "w2", "doc_id"])
+
+
+def _among(a1: np.ndarray, a2: np.ndarray, b1, b2) -> np.ndarray:
+    """Which of the pairs (a1, a2) are in the lists b1, b2."""
+    if b1.values is None or not len(b1.values) or not len(a1):
+        return np.zeros(len(a1), bool)
+    kind = [("a", np.int64), ("b", np.int64)]
+    have, want = np.empty(len(a1), kind), np.empty(len(b1.values), kind)
+    have["a"], have["b"], want["a"], want["b"] = a1, a2, b1.values.to_numpy(), b2.values.to_numpy()
+    want = np.unique(want)
+    at = np.minimum(np.searchsorted(want, have), len(want) - 1)
+    return want[at] == have
 
 
 def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -126,35 +174,66 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, offsets = textnum.flat(batch.column(1))
         for i, j in textnum.groups(offsets):
             part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, first, hashes, _, at, _ = layout(part, cuts)
-            known1, known2 = (batch.column(c).slice(i, j - i) for c in (3, 4))
+            starts, ends, first, hashes, _, at, chosen = layout(part, cuts)
             w1, w2 = _windows(hashes, at)
             owner = np.searchsorted(first, at, side="right") - 1
-            gone = np.zeros(len(starts) + 1, np.int64)
-            counts, kept, raw = [], [], part.tobytes()
             bounds = np.searchsorted(owner, np.arange(j - i + 1))
+            bad = np.ones(len(at), bool)
+            bad[_once(owner, w1, w2)] = False  # lexsort is stable, so the first of equal windows stays
+            gone = np.zeros(len(starts) + 1, np.int64)
             for d in range(j - i):
                 lo, hi = bounds[d : d + 2]
-                pair = np.empty(hi - lo, [("a", np.int64), ("b", np.int64)])
-                pair["a"], pair["b"] = w1[lo:hi], w2[lo:hi]
-                once = np.ones(hi - lo, bool)
-                once[np.unique(pair, return_index=True)[1]] = False  # all but the first of equal windows
-                seen = known1[d].values
-                if seen is not None and len(seen):
-                    both = np.empty(len(seen), pair.dtype)
-                    both["a"], both["b"] = seen.to_numpy(), known2[d].values.to_numpy()
-                    once |= np.isin(pair["a"], both["a"]) & np.isin(pair["b"], both["b"])
-                bad = at[lo:hi][once]
-                np.add.at(gone, bad, 1)
-                np.add.at(gone, bad + WINDOW, -1)
+                if lo == hi:
+                    continue
+                bad[lo:hi] |= _among(w1[lo:hi], w2[lo:hi], batch.column(2)[i + d], batch.column(3)[i + d])
+                begin, g1, g2 = _segments(w1[lo:hi], w2[lo:hi], chosen[lo:hi])
+                bad[lo:hi] |= np.repeat(_among(g1, g2, batch.column(4)[i + d], batch.column(5)[i + d]), np.diff(begin))
+            np.add.at(gone, at[bad], 1)
+            np.add.at(gone, at[bad] + WINDOW, -1)
             covered = np.cumsum(gone)[:-1] > 0
+            counts, kept, raw = [], [], part.tobytes()
             for d in range(j - i):
                 a, b = first[d : d + 2]
                 stay = np.flatnonzero(~covered[a:b]) + a
                 counts.append(int(b - a - len(stay)))
                 kept.append(_joined(raw, starts[stay], ends[stay]))
-            texts = batch.column(2).slice(i, j - i)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), texts, pa.array(counts, pa.int64()), pa.array(kept)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(kept)], names=["doc_id", "r", "kept_sha256"])
+
+
+def _originals(survey: DataFrame) -> DataFrame:
+    """doc_id, whole, n_words, original: the smallest id with the same words."""
+    brief = survey.groupBy("doc_id").agg(F.min(F.struct("whole", "n_words")).alias("s")).select("doc_id", "s.*")
+    return cut(lookup(cut(brief), brief.groupBy("whole").agg(F.min("doc_id").alias("original")), ["whole"], F.col("doc_id")))
+
+
+def _recurring(survey: DataFrame, brief: DataFrame) -> DataFrame:
+    """doc_id, hs: the recurring phrases of each original that has any."""
+    lone = brief.where((F.col("doc_id") == F.col("original")) & (F.col("n_words") >= WINDOW)).select("doc_id", "whole")
+    chosen = survey.select("doc_id", "whole", "phrases", "again").join(lone, ["doc_id", "whole"], "left_semi")
+    placed = chosen.select("doc_id", F.explode("phrases").alias("h"))
+    shared = placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
+    found = placed.join(shared, "h").select("doc_id", "h").union(chosen.select("doc_id", F.explode("again").alias("h")))
+    return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+
+
+def _known_segments(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, g1, g2): runs of windows that an earlier document has. (doc_id, hs): phrases at which owners of runs differ."""
+    segments = cut(candidates.mapInArrow(_emit_segments, "h long, g1 long, g2 long, doc_id long"))
+    owners = cut(segments.groupBy("h", "g1", "g2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")))
+    later = lookup(segments, owners.select("h", "g1", "g2", "lo"), ["h", "g1", "g2"], F.col("doc_id")).where(F.col("lo") < F.col("doc_id"))
+    known = cut(later.groupBy("doc_id").agg(F.collect_list("g1").alias("g1"), F.collect_list("g2").alias("g2")))
+    mixed = owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where(F.col("a") < F.col("b")).select("h")
+    differ = cut(owners.select("h", F.col("lo").alias("doc_id")).join(mixed, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+    return known, differ
+
+
+def _known_windows(candidates: DataFrame, differ: DataFrame) -> DataFrame:
+    """(doc_id, w1, w2): windows of runs' owners that an earlier owner has."""
+    rows = candidates.select("doc_id", "text").join(differ, "doc_id").select("doc_id", "text", "hs")
+    windows = cut(rows.mapInArrow(_emit_windows, "w1 long, w2 long, doc_id long"))
+    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi"))
+    later = windows.join(earliest, ["w1", "w2"]).where(F.col("lo") < F.col("doc_id"))
+    return cut(later.groupBy("doc_id").agg(F.collect_list("w1").alias("w1"), F.collect_list("w2").alias("w2")))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -168,48 +247,43 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
        Anything that repeats has such a phrase, so all else is settled.
     3. The documents with recurring phrases are dealt into blocks; each block compiles an Aho-Corasick automaton
        of its phrases, which reads all its documents and gives every place.
-    4. Windows at those places are confirmed by 128-bit fingerprints over all documents: the least id holds the
-       original.
+    4. Windows at those places are confirmed by 128-bit fingerprints over all documents: first whole runs of windows
+       that choose the same phrase, of which the least id is the owner; then, where owners of different runs share
+       a phrase, their single windows.
 
-    A null or empty text has no words. Rows that repeat an id: the smallest text counts. Rows without an id are left
-    out, as they have no place in the order. Hot phrases and windows are aggregated before they are shuffled and looked
-    up skew-safely; no step gathers the places of one phrase.
+    A null or empty text has no words. Rows that repeat an id with the same text are one document; with different
+    texts, the text of the smallest hash of words counts. Rows without an id are left out, as they have no place in
+    the order. Phrases, runs and windows are aggregated before they are shuffled; no step gathers the places of one.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
     survey = cut(docs.mapInArrow(_survey, "doc_id long, n_words long, whole string, phrases array<long>, again array<long>"))
-    brief = survey.groupBy("doc_id").agg(F.min(F.struct("whole", "n_words")).alias("s")).select("doc_id", "s.*")
-    originals = brief.groupBy("whole").agg(F.min("doc_id").alias("original"))
-    brief = cut(lookup(cut(brief), originals, ["whole"], F.col("doc_id")))
-    lone = brief.where((F.col("doc_id") == F.col("original")) & (F.col("n_words") >= WINDOW)).select("doc_id", "whole")
-    chosen = survey.join(lone, ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"])
-    placed = chosen.select("doc_id", F.explode("phrases").alias("h"))
-    recurring = placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    recurring = cut(recurring)
-    found = placed.join(recurring, "h").select("doc_id", "h").union(chosen.select("doc_id", F.explode("again").alias("h")))
-    found = found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"))
-    texts = docs.groupBy("doc_id").agg(F.min("text").alias("text")) if not _unique(survey, brief) else docs
-    candidates = cut(found.join(texts, "doc_id").select("doc_id", "text", "hs"))
+    brief = _originals(survey)
+    repeats = survey.count() != brief.count()
+    if repeats:
+        survey = survey.dropDuplicates(["doc_id", "whole"])
+        docs = docs.dropDuplicates()
+    found = _recurring(survey, brief)
     release(spark)
-    windows = cut(candidates.mapInArrow(_emit, "w1 long, w2 long, doc_id long"))
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    known = windows.join(earliest, ["w1", "w2"]).where(F.col("lo") < F.col("doc_id"))
-    known = known.groupBy("doc_id").agg(F.collect_list(F.struct("w1", "w2")).alias("ws"))
-    loaded = candidates.select("doc_id", "text").join(brief.select("doc_id", "n_words"), "doc_id").join(known, "doc_id", "left")
-    loaded = loaded.select("doc_id", "text", "n_words", F.col("ws.w1").alias("k1"), F.col("ws.w2").alias("k2"))
-    stripped = loaded.mapInArrow(_strip, "doc_id long, n_words long, n_removed long, kept_sha256 string").select("doc_id", F.col("n_removed").alias("r"), "kept_sha256")
+    candidates = docs.join(found, "doc_id").select("doc_id", "text", "hs")
+    if repeats:  # keep the text that counts
+        words = F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), " "), 256)
+        candidates = candidates.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "hs")
+    candidates = cut(candidates)
+    del survey, found
+    release(spark)
+    runs, differ = _known_segments(candidates)
+    release(spark)
+    singles = _known_windows(candidates, differ)
+    release(spark)
+    loaded = candidates.select("doc_id", "text").join(singles, "doc_id", "left").join(runs, "doc_id", "left").select("doc_id", "text", "w1", "w2", "g1", "g2")
+    stripped = loaded.mapInArrow(_strip, "doc_id long, r long, kept_sha256 string")
     copy = (F.col("doc_id") != F.col("original")) & (F.col("n_words") >= WINDOW)
-    out = brief.join(stripped, "doc_id", "left")
-    return out.select(
+    return brief.join(stripped, "doc_id", "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("r", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))
 
 
-def _unique(survey: DataFrame, brief: DataFrame) -> bool:
-    """Whether no id repeats, so that texts need no grouping."""
-    return survey.count() == brief.count()
-
-
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
