@@ -78,15 +78,27 @@ def locate(hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, wanted: np.
     letters = (hashes >> np.uint64(32)).astype(np.int64)
     place = np.unique(chosen)
     place = place[np.isin(grams[place], wanted)]
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    values = letters.tolist()
-    for p in place[np.unique(grams[place], return_index=True)[1]].tolist():
-        machine.add_word(tuple(values[p : p + phrase]))
     hit = np.zeros(len(hashes) + 1, bool)
-    if not len(machine):
+    place = place[np.unique(grams[place], return_index=True)[1]]
+    if not len(place):
         return hit
+    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
+    words = letters[place[:, None] + np.arange(phrase)]
+    for word in map(tuple, words.tolist()):
+        machine.add_word(word)
     machine.make_automaton()
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    # a match lies in a run of words that phrases have, in one text; only such runs are read
+    inside = np.zeros(len(letters) + 1, bool)
+    inside[:-1] = np.isin(letters, words.ravel())
+    begins = inside.copy()
+    begins[1:] &= ~inside[:-1]
+    cuts = first[:-1][first[:-1] < len(letters)]
+    begins[cuts] = inside[cuts]
+    begin = np.flatnonzero(begins)
+    stop = np.minimum(np.append(begin[1:], len(letters)), np.flatnonzero(~inside)[np.searchsorted(np.flatnonzero(~inside), begin)])
+    long_enough = stop - begin >= phrase
+    values = letters.tolist()
+    for a, b in zip(begin[long_enough].tolist(), stop[long_enough].tolist(), strict=True):
         ends = [e for e, _ in machine.iter(tuple(values[a:b]))]
         if ends:
             hit[np.array(ends) + (a - phrase + 1)] = True
@@ -122,14 +134,17 @@ def _once(owner: np.ndarray, *values: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _places(batch: pa.RecordBatch):
-    """For blocks of (doc_id, text, hs): ids, first words, windows at places of recurring phrases (starts, phrases, places, fingerprints)."""
+def _places(batch: pa.RecordBatch, find: bool):
+    """For blocks of (doc_id, text, hs): ids, first words, windows at places of recurring phrases (starts, phrases, places, fingerprints).
+
+    With ``find`` the places are found by the block's automaton; else ``hs`` are of places that it has found before.
+    """
     text, offsets = textnum.flat(batch.column(1))
     for i, j in textnum.groups(offsets, SHARD):
         part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         _, _, first, hashes, grams, at, chosen = layout(part, cuts)
         wanted = np.unique(batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-        hit = locate(hashes, first, grams, wanted, chosen)[chosen]
+        hit = locate(hashes, first, grams, wanted, chosen)[chosen] if find else np.isin(grams[chosen], wanted)
         at, chosen = at[hit], chosen[hit]
         yield batch.column(0).slice(i, j - i).to_numpy(), first, at, grams[chosen].view(np.int64), chosen, *_windows(hashes, at)
 
@@ -137,7 +152,7 @@ def _places(batch: pa.RecordBatch):
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """h, g1, g2, doc_id: each document's distinct runs of windows whose chosen phrase recurs."""
     for batch in batches:
-        for ids, first, at, phrases, chosen, w1, w2 in _places(batch):
+        for ids, first, at, phrases, chosen, w1, w2 in _places(batch, True):
             begin, g1, g2 = _segments(w1, w2, chosen)
             begin = begin[:-1]
             owner = np.searchsorted(first, at[begin], side="right") - 1
@@ -148,7 +163,7 @@ def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """w1, w2, doc_id: each document's distinct windows at the phrases that are given for it."""
     for batch in batches:
-        for ids, first, at, phrases, _, w1, w2 in _places(batch):
+        for ids, first, at, phrases, _, w1, w2 in _places(batch, False):
             owner = np.searchsorted(first, at, side="right") - 1
             pick = _once(owner, w1, w2)
             for a in range(0, len(pick), 100_000):
