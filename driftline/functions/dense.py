@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-V = F.col("value")
+def V() -> Column:  # a column needs a session, which a module has not at import
+    return F.col("value")
 
 
 
@@ -18,13 +19,13 @@ def _shares(values: Column) -> Column:
 
 #: f(x, ...): one value for each group and epoch from the values of its series; nulls do not take part.
 AGGREGATES: dict[str, Callable[..., Column]] = {
-    "mean": lambda: F.avg(V), "average": lambda: F.avg(V), "sum": lambda: F.sum(V), "min": lambda: F.min(V), "max": lambda: F.max(V),
-    "amin": lambda: F.min(V), "amax": lambda: F.max(V), "median": lambda: F.median(V), "std": lambda: F.stddev_pop(V), "var": lambda: F.var_pop(V),
-    "prod": lambda: F.product(V), "ptp": lambda: F.max(V) - F.min(V), "count": lambda: F.count(V).cast("double"),
-    "percentile": lambda q: F.percentile(V, float(q) / 100), "quantile": lambda q: F.percentile(V, float(q)),
-    "approx_percentile": lambda q: F.percentile_approx(V, float(q) / 100),
-    "topk": lambda k: F.slice(F.sort_array(F.collect_list(V)), F.greatest(F.lit(1), F.count(V).cast("int") - int(k) + 1), F.lit(int(k))),
-    "as_percentage": lambda: _shares(F.sort_array(F.collect_list(V))),
+    "mean": lambda: F.avg(V()), "average": lambda: F.avg(V()), "sum": lambda: F.sum(V()), "min": lambda: F.min(V()), "max": lambda: F.max(V()),
+    "amin": lambda: F.min(V()), "amax": lambda: F.max(V()), "median": lambda: F.median(V()), "std": lambda: F.stddev_pop(V()), "var": lambda: F.var_pop(V()),
+    "prod": lambda: F.product(V()), "ptp": lambda: F.max(V()) - F.min(V()), "count": lambda: F.count(V()).cast("double"),
+    "percentile": lambda q: F.percentile(V(), float(q) / 100), "quantile": lambda q: F.percentile(V(), float(q)),
+    "approx_percentile": lambda q: F.percentile_approx(V(), float(q) / 100),
+    "topk": lambda k: F.slice(F.sort_array(F.collect_list(V())), F.greatest(F.lit(1), F.count(V()).cast("int") - int(k) + 1), F.lit(int(k))),
+    "as_percentage": lambda: _shares(F.sort_array(F.collect_list(V()))),
 }
 
 #: Value by value; further arguments are numbers or columns.
@@ -47,18 +48,18 @@ ELEMENTWISE: dict[str, Callable[..., Column]] = {
 
 def _shift(df: DataFrame, w, keys, n: float) -> DataFrame:
     n = int(n)
-    moved = F.lag("value", n, 0.0).over(w) if n > 0 else F.lead("value", -n, 0.0).over(w) if n < 0 else V
+    moved = F.lag("value", n, 0.0).over(w) if n > 0 else F.lead("value", -n, 0.0).over(w) if n < 0 else V()
     return df.withColumn("value", moved)
 
 
 def _diff(df: DataFrame, w, keys) -> DataFrame:
-    return df.withColumn("n", F.row_number().over(w)).withColumn("value", V - F.lag("value").over(w)).where(F.col("n") > 1).drop("n")
+    return df.withColumn("n", F.row_number().over(w)).withColumn("value", V() - F.lag("value").over(w)).where(F.col("n") > 1).drop("n")
 
 
 def _gradient(df: DataFrame, w, keys) -> DataFrame:
     before, after = F.lag("value").over(w), F.lead("value").over(w)
     first, last = F.row_number().over(w) == 1, F.lead("epoch").over(w).isNull()
-    return df.withColumn("value", F.when(first, after - V).when(last, V - before).otherwise((after - before) / 2))
+    return df.withColumn("value", F.when(first, after - V()).when(last, V() - before).otherwise((after - before) / 2))
 
 
 def _running(f: Callable) -> Callable:
@@ -68,5 +69,5 @@ def _running(f: Callable) -> Callable:
 #: t.f(x, ...): along the time axis of each series.
 ALONG: dict[str, Callable[..., DataFrame]] = {
     "shift": _shift, "diff": _diff, "gradient": _gradient, "cumsum": _running(F.sum), "cumprod": _running(F.product),
-    "as_percentage": lambda df, w, keys: df.withColumn("value", F.try_divide(V * 100, F.sum("value").over(Window.partitionBy(*keys)))),
+    "as_percentage": lambda df, w, keys: df.withColumn("value", F.try_divide(V() * 100, F.sum("value").over(Window.partitionBy(*keys)))),
 }

@@ -32,7 +32,8 @@ def graphite_function(*names: str, decomposable: bool = True):
     return add
 
 
-V = F.col("value")
+def V() -> Column:  # a column needs a session, which a module has not at import
+    return F.col("value")
 
 
 # --- names -------------------------------------------------------------------------------------------------------
@@ -164,22 +165,22 @@ def absolute(rng, s: Series) -> Series:
 
 @graphite_function("scale")
 def scale(rng, s: Series, factor: float) -> Series:
-    return s.with_value(V * float(factor), "scale", factor)
+    return s.with_value(V() * float(factor), "scale", factor)
 
 
 @graphite_function("offset")
 def offset(rng, s: Series, amount: float) -> Series:
-    return s.with_value(V + float(amount), "offset", amount)
+    return s.with_value(V() + float(amount), "offset", amount)
 
 
 @graphite_function("scaleToSeconds")
 def scale_to_seconds(rng, s: Series, seconds: float) -> Series:
-    return s.with_value(V * (float(seconds) / s.rng.interval), "scaleToSeconds", seconds)
+    return s.with_value(V() * (float(seconds) / s.rng.interval), "scaleToSeconds", seconds)
 
 
 @graphite_function("isNonNull")
 def is_non_null(rng, s: Series) -> Series:
-    return s.with_value(V.isNotNull().cast("double"), "isNonNull")
+    return s.with_value(V().isNotNull().cast("double"), "isNonNull")
 
 
 @graphite_function("transformNull")
@@ -191,18 +192,18 @@ def transform_null(rng, s: Series, default: float = 0, reference=None) -> Series
 
 @graphite_function("removeAboveValue")
 def remove_above_value(rng, s: Series, n: float) -> Series:
-    return s.with_value(F.when(V <= float(n), V), "removeAboveValue", n)
+    return s.with_value(F.when(V() <= float(n), V()), "removeAboveValue", n)
 
 
 @graphite_function("removeBelowValue")
 def remove_below_value(rng, s: Series, n: float) -> Series:
-    return s.with_value(F.when(V >= float(n), V), "removeBelowValue", n)
+    return s.with_value(F.when(V() >= float(n), V()), "removeBelowValue", n)
 
 
 @graphite_function("changed", decomposable=False)
 def changed(rng, s: Series) -> Series:
     before = F.lag("value").over(s.over())
-    return s.with_value(F.coalesce((V != before).cast("double"), F.lit(0.0)), "changed")
+    return s.with_value(F.coalesce((V() != before).cast("double"), F.lit(0.0)), "changed")
 
 
 @graphite_function("delay", decomposable=False)
@@ -214,7 +215,7 @@ def delay(rng, s: Series, steps: int) -> Series:
 
 @graphite_function("nonNegativeDerivative", "counter_delta")
 def non_negative_derivative(rng, s: Series) -> Series:
-    step = V - F.lag("value").over(s.over())
+    step = V() - F.lag("value").over(s.over())
     return s.with_value(F.when(step >= 0, step), "nonNegativeDerivative")
 
 
@@ -237,7 +238,7 @@ def keep_last_value(rng, s: Series, limit: int = 0) -> Series:
     w = s.over()
     out = s.with_value(F.last("value", ignorenulls=True).over(w), "keepLastValue", *([limit] if limit else []))
     if limit:
-        run = s.df.withColumn("island", F.sum(V.isNotNull().cast("int")).over(w))
+        run = s.df.withColumn("island", F.sum(V().isNotNull().cast("int")).over(w))
         age = F.row_number().over(Window.partitionBy("series_idx", "island").orderBy("epoch")) - 1
         late = run.withColumn("age", age + F.when(F.col("island") == 0, 1).otherwise(0)).withColumn("filled", F.last("value", ignorenulls=True).over(w))
         late = late.where((F.col("age") <= int(limit)) | F.col("island").eqNullSafe(0)).withColumn("value", F.col("filled"))
@@ -266,7 +267,7 @@ def summarize(rng, s: Series, interval, how: str = "sum", align_to_from: bool =
     step = max(interval_seconds(interval), s.rng.interval)
     origin = s.rng.start if align_to_from else s.rng.start // step * step
     bucket = F.lit(origin) + F.floor((F.col("epoch") - origin) / step) * step
-    out = s.df.groupBy("series_idx", "series_id", "base_series_id", bucket.alias("bucket")).agg(reducer(how)(V).alias("value")).withColumnRenamed("bucket", "epoch")
+    out = s.df.groupBy("series_idx", "series_id", "base_series_id", bucket.alias("bucket")).agg(reducer(how)(V()).alias("value")).withColumnRenamed("bucket", "epoch")
     end = origin + -(-(s.rng.end - origin) // step) * step
     return Series(renamed(out.select(*ROW), "summarize", interval, how), TimeRange(origin, end, step))
 
@@ -292,13 +293,13 @@ def _percent(n: float) -> float:
 @graphite_function("removeAbovePercentile", decomposable=False)
 def remove_above_percentile(rng, s: Series, n: float) -> Series:
     p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("series_idx"))
-    return s.with_value(F.when(V <= p, V), "removeAbovePercentile", n)
+    return s.with_value(F.when(V() <= p, V()), "removeAbovePercentile", n)
 
 
 @graphite_function("removeBelowPercentile", decomposable=False)
 def remove_below_percentile(rng, s: Series, n: float) -> Series:
     p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("series_idx"))
-    return s.with_value(F.when(V >= p, V), "removeBelowPercentile", n)
+    return s.with_value(F.when(V() >= p, V()), "removeBelowPercentile", n)
 
 
 # --- several series into one -----------------------------------------------------------------------------------------
@@ -339,7 +340,7 @@ def average_series(rng, *lists: Series) -> Series:
 
 def _minus(first: Column) -> Column:
     """The first series less the sum of the others; a missing subtrahend is nothing, a missing minuend gives null."""
-    return F.max(F.when(first, V)) - F.coalesce(F.sum(F.when(~first, V)), F.lit(0.0))
+    return F.max(F.when(first, V())) - F.coalesce(F.sum(F.when(~first, V())), F.lit(0.0))
 
 
 @graphite_function("diffSeries")
@@ -367,11 +368,11 @@ def as_percent(rng, s: Series, total=None) -> Series:
     """Share of the epoch's sum, of a number, or of the sum of other series."""
     if total is None:
         whole = F.sum("value").over(Window.partitionBy("epoch"))
-        return s.with_value(F.try_divide(V * 100, whole), "asPercent")
+        return s.with_value(F.try_divide(V() * 100, whole), "asPercent")
     if isinstance(total, Series):
         by = total.df.groupBy("epoch").agg(F.sum("value").alias("by"))
-        return Series(renamed(s.df.join(by, "epoch", "left").withColumn("value", F.try_divide(V * 100, F.col("by"))).select(*ROW), "asPercent"), s.rng)
-    return s.with_value(F.try_divide(V * 100, F.lit(float(total))), "asPercent", total)
+        return Series(renamed(s.df.join(by, "epoch", "left").withColumn("value", F.try_divide(V() * 100, F.col("by"))).select(*ROW), "asPercent"), s.rng)
+    return s.with_value(F.try_divide(V() * 100, F.lit(float(total))), "asPercent", total)
 
 
 @graphite_function("countSeries", decomposable=False)
@@ -383,7 +384,7 @@ def count_series(rng, s: Series) -> Series:
 @graphite_function("countNewSeries", decomposable=False)
 def count_new_series(rng, s: Series) -> Series:
     """How many series have their first value at each epoch."""
-    first = s.df.where(V.isNotNull()).groupBy("series_idx").agg(F.min("epoch").alias("epoch")).select("epoch", F.lit(1.0).alias("value"))
+    first = s.df.where(V().isNotNull()).groupBy("series_idx").agg(F.min("epoch").alias("epoch")).select("epoch", F.lit(1.0).alias("value"))
     blank = s.df.sparkSession.range(1).select(F.explode(s.rng.grid()).alias("epoch"), F.lit(0.0).alias("value"))
     return collapse(first.unionByName(blank), s.rng, F.sum("value"), "countNewSeries")
 
@@ -403,7 +404,7 @@ def _grouped(s: Series, key: Column, how: str) -> Series:
         keyed = keyed.withColumn("first", F.col("series_idx") == F.min("series_idx").over(Window.partitionBy("key")))
         value = _minus(F.col("first"))
     else:
-        value = reducer(how)(V)
+        value = reducer(how)(V())
     out = keyed.groupBy("key", "epoch").agg(value.alias("value"))
     return Series.of(out, s.rng, F.col("key"))
 
@@ -438,14 +439,14 @@ def sum_series_with_wildcards(rng, s: Series, *nodes) -> Series:
 
 @graphite_function("greater", decomposable=False)
 def greater(rng, s: Series, n: float) -> Series:
-    return remove_empty_series(rng, s.with_value(F.when(V > float(n), V)))
+    return remove_empty_series(rng, s.with_value(F.when(V() > float(n), V())))
 
 
 @graphite_function("equal_to", decomposable=False)
 def equal_to(rng, s: Series, n: float) -> Series:
-    return remove_empty_series(rng, s.with_value(F.when(V == float(n), V)))
+    return remove_empty_series(rng, s.with_value(F.when(V() == float(n), V())))
 
 
 @graphite_function("not_equal", decomposable=False)
 def not_equal(rng, s: Series, n: float) -> Series:
-    return remove_empty_series(rng, s.with_value(F.when(V != float(n), V)))
+    return remove_empty_series(rng, s.with_value(F.when(V() != float(n), V())))

@@ -10,6 +10,7 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from ..operators.sparse import Rule
 
@@ -94,7 +95,7 @@ class Config:
         return adler_shard(key, F.lit(self.shards))
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def adler_shard(keys: pd.Series, shards: pd.Series) -> pd.Series:
     """adler32 of the key modulo the number of shards, as writers in other systems compute it."""
     return pd.Series([None if k is None else zlib.adler32(k.encode()) % n for k, n in zip(keys, shards, strict=True)], dtype="Int32")

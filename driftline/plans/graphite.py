@@ -32,7 +32,7 @@ _WORD = re.compile(r"(?:\{[^{}]*\}|[^,(){}\s'\"])+")
 def parse(text: str) -> tuple[object, dict]:
     """(expression, options). Values are paths, strings in quotes, numbers, booleans and calls; options follow ``||``."""
     text, *tail = text.split("||")
-    options = {k.strip(): v.strip() or True for t in tail for k, _, v in [t.partition("=")]}
+    options = {k.strip(): v.strip() or True for t in tail for k, _, v in (x.partition("=") for x in t.split(",") if x.strip())}
     at = 0
 
     def blank() -> None:
