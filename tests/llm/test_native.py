@@ -1,0 +1,99 @@
+"""Exact dedup, PII and licenses against brute force, and on unpleasant rows."""
+
+import hashlib
+import re
+
+import pytest
+
+from driftline.llm import exact_dedup, licenses, pii
+
+ODD = [(1, None, "x"), (2, "", "x"), (3, "a", "x"), (4, "a", None), (4, "a", None), (None, "a", "y"), (6, "b" * 200_000, "z"), (7, "a ", "x")]
+SCHEMA = "doc_id long, text string, group_size string"  # a clashing name
+
+
+def frame(spark, rows=ODD):
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+def test_exact_dedup(spark):
+    got = exact_dedup.exact_dedup(frame(spark), salts=3).collect()
+    assert len(got) == len(ODD)
+    by = {}
+    for r in got:
+        by.setdefault(r["doc_id"], []).append((r["keep_id"], r["group_size"], r["kept"]))
+    assert by[1] == [(2, 2, False)] and by[2] == [(2, 2, True)] and by[3] == [(4, 4, False)] and by[4] == [(4, 4, True)] * 2
+    assert by[None] == [(4, 4, False)] and by[7] == [(7, 1, True)]
+    assert next(r for r in got if r["doc_id"] == 6)["text_sha256"] == hashlib.sha256(b"b" * 200_000).hexdigest()
+    assert exact_dedup.exact_dedup(frame(spark, [])).count() == 0
+
+
+def test_drop_exact_copies(spark):
+    kept = exact_dedup.drop_exact_copies(frame(spark))
+    assert kept.columns == ["doc_id", "text", "group_size"]
+    assert sorted((r["doc_id"], r["group_size"]) for r in kept.collect() if r["doc_id"] != 4) == [(2, "x"), (6, "z"), (7, "x")]
+    assert kept.where("doc_id = 4").count() == 1
+
+
+def luhn(s):
+    return sum(int(c) if i % 2 == 0 else sum(divmod(2 * int(c), 10)) for i, c in enumerate(reversed(s))) % 10 == 0
+
+
+def base(t):
+    out = [("email", *m.span()) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", t)]
+    out += [("ip", *m.span()) for m in re.finditer(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", t) if all(int(p) <= 255 for p in m[0].split("."))]
+    digits = lambda m: re.sub("[^0-9]", "", m[0])
+    out += [("card", *m.span()) for m in re.finditer(r"[0-9]([\x20-]?[0-9])+", t) if 13 <= len(digits(m)) <= 19 and luhn(digits(m))]
+    return out + [("phone", *m.span()) for m in re.finditer(r"\+[0-9][\x20().0-9-]+[0-9]", t) if 9 <= len(digits(m)) <= 15]
+
+
+TRICKY = [
+    "a@b.c.@d.e a@b.c_d@e.f x@y", "1.2.3.4.5.6.7.8 999.1.1.1 001.002.003.0255", "4111 1111 1111 1111 4111-1111-1111-1112", "+1 (234) 567-8901 +12 +1 234", "\U0001f600 é a@b.co 1.2.3.4",
+    "." * 3000 + "@", "a." * 2000 + "@b" + ".c" * 20_000, "1" * 3000, "+1" + " " * 3000, "", None,
+]
+
+
+def test_pii_base(spark):
+    docs = spark.createDataFrame(list(enumerate(TRICKY)), "doc_id long, text string")
+    for r in pii.find_pii(docs).collect():
+        assert [(s["kind"], s["start"], s["stop"]) for s in r["spans"] if s["kind"] in pii.BASE] == base(TRICKY[r["doc_id"]] or ""), r["doc_id"]
+
+
+def test_pii_checks_and_context(spark):
+    docs = spark.createDataFrame([(1, "bank iban DE89 3704 0044 0532 0130 00."), (2, "iban DE89 3704 0044 0532 0130 01."), (3, "SSN 123-45-6789"), (4, "part 123-45-6789"), (5, "ssn 666-45-6789")], "doc_id long, text string")
+    got = {r["doc_id"]: {s["kind"] for s in r["spans"]} for r in pii.find_pii(docs).collect()}
+    assert "iban" in got[1] and "iban" not in got[2] and got[3] == {"ssn"} and not got[4] and not got[5]
+
+
+@pytest.mark.parametrize("name", ["op7_pii", "op3_licenses"])
+def test_whole_tables(spark, name):
+    from driftline.llm.registry import QUERIES
+
+    assert QUERIES[name](spark, "/root/testdata/sf0.001").count() == 200
+
+
+def words_of(t):
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.translate(str.maketrans({c: chr(c + 32) for c in range(65, 91)})))
+
+
+LICENSED = [
+    "Licensed under the Apache License, Version 2.0.", "This work is licensed under the GNU  General\nPublic\tLicense, version 3.", "cc by cc by-cc BY xcc by", "MIT license mit License", "Éapache license apacheı license apache licenseé",
+    "SPDX-License-Identifier: BSD-3-Clause", "the words gnu general public", "", None, "x" * 100_000 + " mit license",
+]
+
+
+def test_license_base(spark):
+    docs = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        w = words_of(LICENSED[r["doc_id"]] or "")
+        hits = [(i, label) for p, label in licenses.PHRASES for i in range(len(w)) if w[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in hits]
+        assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"], set(r["base_labels"])) == (len(w), len(hits), min(starts, default=None), max(starts, default=None), {x for _, x in hits}), r["doc_id"]
+
+
+def test_license_rules(spark):
+    from driftline.llm.license_signatures import rules
+
+    assert len(rules()) > 300
+    docs = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
+    got = {r["doc_id"]: {x["label"] for x in r["detections"]} for r in licenses.scan_licenses(docs).collect()}
+    assert got[0] == {"apache-2.0"} and got[1] == {"gpl-3.0"} and got[5] == {"bsd-3-clause"} and got[6] == set()
