@@ -183,19 +183,22 @@ def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
         pair = np.unique(owner * np.int64(1 << 40) + mine)
         owners.append((pair >> 40) + a)
         ids.append(pair & ((1 << 40) - 1))
-    one = np.frombuffer(b"".join(seen), np.uint8)  # each distinct word between its blanks
-    begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, seen), np.int64, len(seen)))])
-    at, code, reach = [], [], []
-    for n in SIZES:
-        a, c = grams(one, 0, len(one), n, bits)
-        at, code, reach = [*at, a], [*code, c], [*reach, np.full(len(a), n)]
-    at, code, reach = np.concatenate(at), np.concatenate(code), np.concatenate(reach)
-    order = np.argsort(at, kind="stable")
-    at, code, reach = at[order], code[order], reach[order]
-    word = np.searchsorted(begin, at, side="right") - 1
-    inside = at + reach <= begin[word + 1]
-    code, word = code[inside], word[inside]
-    return np.concatenate(owners), np.concatenate(ids), np.searchsorted(word, np.arange(len(seen) + 1)), code
+    names, codes, counts = list(seen), [], []
+    for a in range(0, len(names), 20_000):
+        part = names[a : a + 20_000]
+        one = np.frombuffer(b"".join(part), np.uint8)  # each distinct word between its blanks
+        begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
+        found = [(*grams(one, 0, len(one), n, bits), n) for n in SIZES]
+        at = np.concatenate([x for x, _, _ in found])
+        reach = np.concatenate([np.full(len(x), n) for x, _, n in found])
+        order = np.argsort(at, kind="stable")
+        at, reach, code = at[order], reach[order], np.concatenate([c for _, c, _ in found])[order]
+        word = np.searchsorted(begin, at, side="right") - 1
+        inside = at + reach <= begin[word + 1]
+        codes.append(code[inside].astype(np.int32))
+        counts.append(np.bincount(word[inside], minlength=len(part)))
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+    return np.concatenate(owners), np.concatenate(ids), first, np.concatenate(codes) if codes else np.zeros(0, np.int32)
 
 
 def _means(line: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
@@ -206,8 +209,8 @@ def _means(line: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
 def train_words(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, dim: int = 8, rounds: int = 10, rate: float = 0.3, bits: int = BITS, seed: int = 7) -> Model:
     """Two labels; each word is a bag of its own, and a text is as its strongest word, so a few words decide about any length.
 
-    Words take their labels from the texts: label 1 where a word stands in at least three texts of label 1 and in
-    sixty times the share of them that it has of the others, label 0 where it stands in any text of label 0.
+    Words take their labels from the texts: label 1 where a word stands in at least three texts of label 1, and in a
+    share of them that exceeds sixty times its share of the others by 0.75 %, label 0 where it stands in any text of label 0.
     Embeddings and softmax weights then descend together, in minibatches; each round turns to the strongest words of
     label 0, frequent ones above all. Last, the bias is set between the texts of either label.
     """
@@ -220,7 +223,7 @@ def train_words(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, dim:
     of_one = targets[owner] == 1
     ones, noughts = np.bincount(ids[of_one], minlength=n), np.bincount(ids[~of_one], minlength=n)
     many_1, many_0 = max(1, int((targets == 1).sum())), max(1, int((targets == 0).sum()))
-    good = np.flatnonzero((ones >= 3) & (ones / many_1 > 60 * (noughts + 0.5) / many_0) & (np.diff(first) > 0))
+    good = np.flatnonzero((ones >= 3) & (ones / many_1 > 0.0075 + 60 * noughts / many_0) & (np.diff(first) > 0))
     plain = np.flatnonzero((noughts > 0) & (np.diff(first) > 0))
     plain = plain[~np.isin(plain, good)]
     if not len(good) or not len(plain):  # nothing tells the labels apart: everything is of label 0

@@ -8,19 +8,23 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import SAMPLE, apply_texts, fold, pairs, sample_per_class
+from .classify import apply_texts, fold, pairs, sample_per_class
 from .scale import cut
 from .subword import Model, train_words, word_scores
 
+#: At most about so many labelled texts are learned from.
+TEXTS = 6000
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = SAMPLE) -> Model | None:
-    """Learn from at most about ``most`` labelled rows, a half of either label if there are enough. None without both labels.
+
+def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", most: int = TEXTS) -> Model | None:
+    """Learn from at most about ``most`` labelled rows, a quarter of them toxic (many clean texts tell chance from meaning). None without both labels.
 
     The sampled ids are bounded by ``most``, so they are broadcast and the texts are not shuffled.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where(F.col("id").isNotNull() & F.col("label").isin(0, 1))
     known = known.groupBy("id").agg(F.max("label").alias("label"))  # a text that any label calls toxic is
-    chosen = cut(sample_per_class(known, "id", "label", most))
+    parts = [sample_per_class(known.where(F.col("label") == y), "id", "label", n) for y, n in ((1, most // 4), (0, most - most // 4))]
+    chosen = cut(parts[0].unionByName(parts[1]))
     rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
     texts, targets = pairs(rows, "id", "text", "label")
     if len(set(targets)) < 2:
