@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
-from .textnum import PIECE, groups, letters
+from .textnum import PIECE, groups, letters, marks
 
 #: Lengths of n-grams in bytes; an n-gram lies in one word with a blank at either side.
 SIZES = (3, 4, 5)
@@ -31,20 +31,23 @@ def grams(text: np.ndarray, first: int, last: int, n: int, bits: int) -> tuple[n
     return at + first, (code >> np.uint32(32 - bits)).astype(np.int64)
 
 
-def padded(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Lower-cased texts with a blank before each and after the last; text i lies in [offsets[i], offsets[i + 1])."""
+def padded(text: np.ndarray, offsets: np.ndarray, punctuation: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased texts with a blank before each and after the last; text i lies in [offsets[i], offsets[i + 1]).
+
+    Punctuation is blank too, unless it is asked for.
+    """
     n = len(offsets) - 1
     out = np.full(len(text) + n + 1, 32, np.uint8)
     keep = np.ones(len(out), bool)
     moved = offsets + np.arange(n + 1)
     keep[moved] = False
-    out[keep] = letters(text)
+    out[keep] = marks(text) if punctuation else letters(text)
     return out, moved
 
 
 @dataclass
 class Model:
-    """labels; the embedding table times the softmax weights (buckets x labels): averaging commutes with them; bias."""
+    """labels; the embedding table times the softmax weights (buckets x labels): averaging commutes with them; bias; whether n-grams keep punctuation."""
 
     labels: list
     table: np.ndarray
@@ -52,11 +55,12 @@ class Model:
     bits: int
     temperature: float = 1.0
     threshold: float = 0.0
+    punctuation: bool = False
 
 
 def text_logits(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """Logits (texts x labels) of the average over all n-grams of each text; the bias alone where there is none."""
-    out, moved = padded(text, offsets)
+    out, moved = padded(text, offsets, model.punctuation)
     n, k = len(offsets) - 1, len(model.bias)
     total, count = np.zeros((n, k)), np.zeros(n)
     for a in range(0, len(out), PIECE):
@@ -103,11 +107,11 @@ def word_scores(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return np.where(np.isfinite(best), best, 0.0) + bias
 
 
-def _bags(text: np.ndarray, offsets: np.ndarray, bits: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _bags(text: np.ndarray, offsets: np.ndarray, bits: int, punctuation: bool) -> list[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets and their shares."""
     bags = []
     for a, b in groups(offsets):
-        out, moved = padded(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+        out, moved = padded(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], punctuation)
         parts = [grams(out, 0, len(out), n, bits) for n in SIZES]
         for i in range(b - a):
             cut = [code[slice(*np.searchsorted(at, moved[i : i + 2]))] for at, code in parts]
@@ -125,7 +129,7 @@ def softmax(z: np.ndarray, temperature: float = 1.0) -> np.ndarray:
     return _softmax(z / temperature)
 
 
-def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, labels: list, dim: int = 16, epochs: int = 4, rate: float = 0.5, bits: int = BITS, seed: int = 7) -> Model:
+def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, labels: list, dim: int = 16, epochs: int = 4, rate: float = 0.5, bits: int = BITS, seed: int = 7, punctuation: bool = False) -> Model:
     """Stochastic gradient descent, one text a step, on embeddings, weights and bias together.
 
     A fifth of the rows is held back to fit the temperature, and the threshold under which a prediction is rejected:
@@ -136,7 +140,7 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
     emb = (rng.standard_normal((1 << bits, dim)) * 0.1).astype(np.float32)
     w = (rng.standard_normal((dim, k)) * 0.1).astype(np.float32)
     bias = np.zeros(k, np.float32)
-    bags = _bags(*texts, bits)
+    bags = _bags(*texts, bits, punctuation)
     order = rng.permutation(len(bags))
     back, fit = order[: len(order) // 5], order[len(order) // 5 :]
     steps, done = max(1, epochs * len(fit)), 0
@@ -154,7 +158,7 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
             w -= now * np.outer(mean, slope)
             bias -= 0.1 * now * slope
             emb[codes] -= (now * 20) * share[:, None] * down
-    model = Model(labels, emb @ w, bias, bits)
+    model = Model(labels, emb @ w, bias, bits, punctuation=punctuation)
     if len(back):
         z = np.array([share @ model.table[codes] if len(codes) else np.zeros(k) for codes, share in bags], np.float64)[back] + bias
         heat = [0.05 * 1.25**i for i in range(24)]

@@ -34,6 +34,8 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LETTERS = _LOWER.copy()
 _LETTERS[:128][[not chr(c).isalnum() for c in range(128)]] = 32
+_MARKS = _LOWER.copy()
+_MARKS[:32] = 32
 
 
 def lower(text: np.ndarray) -> np.ndarray:
@@ -46,6 +48,11 @@ def letters(text: np.ndarray) -> np.ndarray:
     return _LETTERS[text]
 
 
+def marks(text: np.ndarray) -> np.ndarray:
+    """As ``lower``, and a blank for every control character; punctuation stays."""
+    return _MARKS[text]
+
+
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 

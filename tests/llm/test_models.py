@@ -143,3 +143,32 @@ def test_packing(spark):
         sources = [r["source"] for r in pieces if r["source"] is not None]
         assert len(sources) == len(set(sources))
     assert packing.pack(frame.limit(0)).count() == 0
+
+
+def test_mix_by_punctuation_reaches_its_targets(spark):
+    rng = random.Random(7)
+
+    def text(low, n=80):
+        words = prose(rng, "aa", n).split()
+        return " ".join(w + rng.choice(["###", "%%%", "|"]) if low and rng.random() < 0.5 else w for w in words)
+
+    docs = [(i, text(i % 5 == 0), "low" if i % 5 == 0 else "high") for i in range(800)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, quality string")
+    model = mixing.fit_domains(frame, frame.where("doc_id < 500"), "quality")
+    mixed = mixing.mix(frame, model, mixing.TARGETS)
+    held = {r["doc_id"]: r for r in mixed.collect() if r["doc_id"] >= 500}
+    assert sum(r["domain"] == docs[i][2] for i, r in held.items()) >= 290
+    shares = {r["domain"]: r for r in mixing.reached(mixed, model.labels, mixing.TARGETS).collect()}
+    assert all(abs(r["expected"] - r["target"]) < 0.01 and abs(r["copied"] - r["target"]) < 0.05 for r in shares.values())
+    low = [r["copies"] for i, r in held.items() if docs[i][2] == "low"]
+    assert sum(low) < len(low) / 2  # the mix leaves most of them out
+
+
+def test_query_targets_are_not_the_natural_shares(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    counts = {r["quality"]: r["count"] for r in labels.groupBy("quality").count().collect()}
+    assert abs(counts[0] / (counts[0] + counts[1]) - mixing.TARGETS["low"]) > 0.05
+    model = mixing.fit_from_tables(spark, "/root/testdata/sf0.01")
+    mixed = mixing.mix(docs, model, mixing.TARGETS)
+    assert all(abs(r["expected"] - r["target"]) < 0.01 for r in mixing.reached(mixed, model.labels, mixing.TARGETS).collect())
