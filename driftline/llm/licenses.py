@@ -2,49 +2,91 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_signatures import ANY_KEYWORD, PARTS, REACH, rules
-from .matches import places
+from .license_signatures import ANY_KEYWORD, PARTS, REACH, SEPARATORS, rules
 
 # The base phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 # Characters of words and separators before lower-casing.
 _W, _S = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DETECTION = "array<struct<start:bigint,stop:bigint,value:string,label:string,priority:int,confidence:double>>"
+_SPAN = "array<struct<start:bigint,stop:bigint,before:bigint,after:bigint>>"
 
 
 def _phrase(phrase: str) -> str:
     return f"(?<!{_W})" + _S.join(f"(?i:{w})" for w in phrase.split()) + f"(?!{_W})"
 
 
-def _detections(text: Column) -> Column:
-    """Spans of all gated rules, without those that lie inside a span of higher priority (or, at the same, a longer one).
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, also inside lambdas."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _blanks(x: Column) -> Column:
+    return F.length(x) - F.length(F.replace(x, F.lit(" ")))
+
+
+def _worded(text: Column, regex: Column, at: Column, blanks: Column) -> Column:
+    """Matches of a pattern in a text that begins at ``at`` after so many ``blanks``: array of _SPAN, with the blanks before either end."""
+    found, pieces = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, F.lit(-1))
+
+    def step(done: Column, x: Column) -> Column:
+        start, before = done["at"] + F.length(x["piece"]), done["blanks"] + _blanks(x["piece"])
+        stop, after = start + F.length(x["value"]), before + _blanks(x["value"])
+        return F.struct(stop.alias("at"), after.alias("blanks"), F.concat(done["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), before.alias("before"), after.alias("after")))).alias("out"))
+
+    pairs = _let(found, lambda values: F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda piece, value: F.struct(piece.alias("piece"), value.alias("value"))))
+    empty = F.struct(at.cast("long").alias("at"), blanks.cast("long").alias("blanks"), F.array().cast(_SPAN).alias("out"))
+    return F.aggregate(pairs, empty, step, lambda done: done["out"])
 
-    Equal spans of equal priority keep the alphabetically first label.
+
+def _regions(plain: Column) -> Column:
+    """Parts of the text that hold all matches: keywords less than 2 REACH apart are in one, which reaches REACH to both sides.
+
+    The pattern finds single keywords and has no loop around them, as Java's stack grows with each turn of such a loop.
     """
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for k, r, p, label, c in rules()])
-    # keywords less than REACH apart are one region; a region reaches that far to both sides
-    chain = f"(?s){ANY_KEYWORD}(?:.{{0,{REACH}}}?{ANY_KEYWORD})*"
-    cores = places(F.split(text, chain, -1), F.regexp_extract_all(text, F.lit(chain), F.lit(0)))
 
-    def region(x: Column) -> Column:
-        start = F.greatest(x["start"] - REACH, F.lit(0))
-        return F.struct(start.alias("start"), F.substring(text, start.cast("int") + 1, (x["stop"] + REACH - start).cast("int")).alias("text"))
+    def spaced(keys: Column) -> Column:
+        far = F.lit(2 * REACH)
+        behind = F.zip_with(keys, F.slice(keys, 2, F.size(keys)), lambda x, y: F.struct(x["stop"].alias("stop"), (y["start"].isNull() | (y["start"] - x["stop"] >= far)).alias("edge")))
+        ahead = F.zip_with(keys, F.concat(F.array(F.lit(None).cast("long")), F.transform(keys, lambda x: x["stop"])), lambda x, y: F.struct(x["start"].alias("start"), x["before"].alias("before"), (x["start"].isNotNull() & (y.isNull() | (x["start"] - y >= far))).alias("edge")))
+        first, last = F.filter(ahead, lambda x: x["edge"]), F.filter(behind, lambda x: x["edge"])
+        return F.zip_with(first, last, lambda x, y: F.struct(x["start"].alias("key"), x["before"].alias("before"), F.greatest(x["start"] - REACH, F.lit(0)).alias("start"), (y["stop"] + REACH).alias("stop")))
+
+    def read(x: Column) -> Column:
+        text = F.substring(plain, x["start"].cast("int") + 1, (x["stop"] - x["start"]).cast("int"))
+        lead = F.substring(plain, x["start"].cast("int") + 1, (x["key"] - x["start"]).cast("int"))
+        return F.struct(x["start"].alias("start"), (x["before"] - _blanks(lead)).alias("before"), text.alias("text"))
+
+    keys = _worded(plain, F.lit(ANY_KEYWORD), F.lit(0), F.lit(0))
+    return F.transform(_let(keys, spaced), read)
+
+
+def _matches(plain: Column) -> Column:
+    """Spans of all gated rules in a text whose runs of separators are one blank each."""
+    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for k, r, p, label, c in rules()])
 
     def found(region: Column) -> Column:
         def by_rule(r: Column) -> Column:
-            at = places(F.split(region["text"], r["regex"], F.lit(-1)), F.regexp_extract_all(region["text"], r["regex"], F.lit(0)))
-            return F.transform(at, lambda x: F.struct((region["start"] + x["start"]).alias("start"), (region["start"] + x["stop"]).alias("stop"), x["value"].alias("value"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
+            at = _worded(region["text"], r["regex"], region["start"], region["before"])
+            return F.transform(at, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "before", "after")), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
 
-        gated = F.filter(table, lambda r: F.contains(region["text"], r["keyword"]))
-        return F.flatten(F.transform(gated, by_rule))
+        return F.flatten(F.transform(F.filter(table, lambda r: F.contains(region["text"], r["keyword"])), by_rule))
 
-    return F.array_distinct(F.flatten(F.transform(F.transform(cores, region), found)))
+    return F.flatten(F.transform(_regions(plain), found))
 
 
 def _resolved(spans: Column) -> Column:
+    """``spans`` without those that lie inside a span of higher priority (or, at the same, a longer one).
+
+    Equal spans of equal priority keep the alphabetically first label. A span is compared with those that begin
+    less than REACH before it, cell by cell, so the work does not grow with the square of a text.
+    """
+
     def beaten(x: Column, y: Column) -> Column:
         inside = (y["start"] <= x["start"]) & (x["stop"] <= y["stop"])
         longer = (y["stop"] - y["start"]) > (x["stop"] - x["start"])
@@ -52,7 +94,51 @@ def _resolved(spans: Column) -> Column:
         equal_rank = (y["priority"] == x["priority"]) & (longer | (same & (y["label"] < x["label"])))
         return inside & ((y["priority"] > x["priority"]) | equal_rank)
 
-    return F.filter(spans, lambda x: ~F.exists(spans, lambda y: beaten(x, y)))
+    def in_cells(spans: Column) -> Column:
+        def near(cell: Column) -> Column:
+            first = cell * REACH
+            return F.struct(first.alias("first"), F.array_distinct(F.filter(spans, lambda x: (x["start"] >= first - REACH) & (x["start"] < first + REACH))).alias("spans"))
+
+        kept = lambda c: F.filter(c["spans"], lambda x: (x["start"] >= c["first"]) & ~F.exists(c["spans"], lambda y: beaten(x, y)))
+        cells = F.array_distinct(F.transform(spans, lambda x: F.floor(x["start"] / REACH)))
+        return F.flatten(F.transform(F.transform(cells, near), kept))
+
+    return _let(spans, in_cells)
+
+
+def _detections(text: Column) -> Column:
+    """Resolved spans of all gated rules, by start, in code points of ``text`` (lower case); a rule's blank is any run of separators."""
+    run = SEPARATORS
+    block = 256
+
+    def placed(x: Column) -> Column:
+        text, sizes, sums, spans = x["text"], x["sizes"], x["sums"], x["spans"]
+
+        def moved(place: Column, runs: Column) -> Column:
+            whole = F.floor(runs / block)
+            rest = F.slice(sizes, (whole * block + 1).cast("int"), (runs % block).cast("int"))
+            return place + F.get(sums, whole.cast("int")) + F.aggregate(rest, F.lit(0).cast("long"), lambda s, n: s + n)
+
+        ends = F.transform(spans, lambda s: F.struct(moved(s["start"], s["before"]).alias("start"), moved(s["stop"], s["after"]).alias("stop"), s.alias("s")))
+        return F.array_sort(F.transform(ends, lambda e: F.struct(
+            e["start"].alias("start"), e["stop"].alias("stop"), F.substring(text, e["start"].cast("int") + 1, (e["stop"] - e["start"]).cast("int")).alias("value"),
+            *(e["s"][c].alias(c) for c in ("label", "priority", "confidence")))))
+
+    def summed(x: Column) -> Column:
+        """What each block of runs, and all before it, are longer than their blanks."""
+        blocks = F.sequence(F.lit(0), F.floor(F.size(x["sizes"]) / block).cast("int"))
+        each = F.transform(blocks, lambda i: F.aggregate(F.slice(x["sizes"], i * block + 1, block), F.lit(0).cast("long"), lambda s, n: s + n))
+        first = F.array(F.lit(0).cast("long"))
+        sums = F.aggregate(each, first, lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+        return F.struct(x["text"].alias("text"), x["sizes"].alias("sizes"), sums.alias("sums"), x["spans"].alias("spans"))
+
+    def of(text: Column) -> Column:
+        sizes = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda r: (F.length(r) - 1).cast("long"))
+        spans = _let(F.regexp_replace(text, run, " "), lambda plain: _resolved(_matches(plain)))
+        return F.struct(text.alias("text"), sizes.alias("sizes"), spans.alias("spans"))
+
+    found = _let(_let(text, of), summed)
+    return _let(found, placed)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,7 +162,6 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         some = some | F.contains("folded", F.lit(part))
     out = out.withColumn("lower", F.when(some & F.col("text").rlike(ANY_KEYWORD), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).drop("folded")
     out = out.withColumn("spans", F.when(F.col("lower").isNotNull(), _detections(F.col("lower"))))
-    out = out.withColumn("spans", F.when(F.size("spans") > 1, F.array_sort(_resolved(F.col("spans")))).otherwise(F.col("spans")))
     for i, (phrase, _) in enumerate(PHRASES):
         out = out.withColumn(f"n{i}", F.when(F.col("lower").isNotNull(), F.regexp_count("text", F.lit(_phrase(phrase)))).otherwise(0))
     firsts, lasts, labels = [], [], []

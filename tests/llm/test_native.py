@@ -97,3 +97,11 @@ def test_license_rules(spark):
     docs = spark.createDataFrame(list(enumerate(LICENSED)), "doc_id long, text string")
     got = {r["doc_id"]: {x["label"] for x in r["detections"]} for r in licenses.scan_licenses(docs).collect()}
     assert got[0] == {"apache-2.0"} and got[1] == {"gpl-3.0"} and got[5] == {"bsd-3-clause"} and got[6] == set()
+
+
+@pytest.mark.parametrize("times", [1500, 6000])
+def test_long_texts_of_license_words(spark, times):
+    docs = spark.createDataFrame([(1, "MIT License some words here. " * times)], "doc_id long, text string")
+    r = licenses.scan_licenses(docs).first()
+    assert r["n_base"] == times and [x["start"] for x in r["detections"]] == [29 * i for i in range(times)]
+    assert {(x["value"], x["label"]) for x in r["detections"]} == {("mit license", "mit")}
