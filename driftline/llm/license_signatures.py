@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # Label, keyword that a text must hold, pattern of the name in lower case (a blank: any separators), SPDX ids.
 NAMES = [
     ("apache-2.0", "apache", "apache(?: license)?(?: version| v)? ?2(?: 0)?", "apache-2.0"),
@@ -99,12 +101,51 @@ FORMS = [
 # Separators and word characters of lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-#: What a text must hold before any rule is looked at: each name or sentence form has one of these.
 # Each match of ANY_KEYWORD holds one of these, in lower case; finding them is much cheaper.
 PARTS = ["licen", "spdx", "gpl", "wtfpl", "bsd", "cc", "rights", "public", "commons", "apache", "attribution"]
 #: A match of any rule, with at most eight separators between words, ends less than REACH characters from one.
 REACH = 200
-ANY_KEYWORD = "(?i:licen|spdx|gpl|wtfpl|bsd|cc0|" + "|".join(x.replace(" ", "[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+") for x in ("rights reserved", "public domain", "creative commons", "cc by", "cc 0", "apache 1", "apache 2", "apache v", "apache software", "apache version", "mit no attribution")) + ")"
+
+
+def samples(pattern: str) -> list[str]:
+    """All texts that a pattern of the tables stands for: groups, alternatives, classes and options written out; look-aheads match nothing."""
+
+    def either(i: int) -> tuple[list[str], int]:
+        whole, row = [], [""]
+        while i < len(pattern) and pattern[i] != ")":
+            if pattern[i] == "|":
+                whole, row, i = whole + row, [""], i + 1
+                continue
+            if pattern[i] == "(":
+                ahead = pattern.startswith("(?!", i)
+                some, i = either(i + 3)
+                some = [""] if ahead else some
+            elif pattern[i] == "[":
+                some = list(pattern[i + 1 : pattern.index("]", i)])
+                i = pattern.index("]", i)
+            else:
+                some = [pattern[i]]
+            i += 1
+            if i < len(pattern) and pattern[i] == "?":
+                some, i = ["", *some], i + 1
+            row = [x + y for x in row for y in some]
+        return whole + row, i
+
+    return either(0)[0]
+
+
+def _gate() -> str:
+    """A pattern that every match of a rule holds: a few common pieces, and the names that have none of them in some form."""
+    run = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    chosen = ["licen", "spdx", "gpl", "wtfpl", "bsd"]
+    for name in sorted({name for _, _, name, _ in NAMES}, key=lambda x: (len(x), x)):
+        if not all(re.search("|".join(chosen), x) for x in samples(name)):
+            chosen.append(name.replace(" ?", run + "*+").replace(" ", run + "++"))
+    return "(?i:" + "|".join(chosen) + ")"
+
+
+#: What a text must hold before any rule is looked at.
+ANY_KEYWORD = _gate()
 
 
 def _regex(pattern: str) -> str:

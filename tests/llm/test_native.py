@@ -105,3 +105,17 @@ def test_long_texts_of_license_words(spark, times):
     r = licenses.scan_licenses(docs).first()
     assert r["n_base"] == times and [x["start"] for x in r["detections"]] == [29 * i for i in range(times)]
     assert {(x["value"], x["label"]) for x in r["detections"]} == {("mit license", "mit")}
+
+
+def test_every_rule_passes_the_gate(spark):
+    from driftline.llm import license_signatures as S
+
+    forms = [(k, b + n + a, label) for label, k, n, _ in S.NAMES for _, _, b, a in S.FORMS] + [("spdx", "spdx license identifier " + x.replace("-", " ").replace(".", " "), label) for label, _, _, ids in S.NAMES for x in ids.split()]
+    assert len(forms) == len(S.rules())
+    for keyword, pattern, _ in forms:
+        for x in S.samples(pattern):
+            assert re.search(S.ANY_KEYWORD, x) and any(p in x for p in S.PARTS) and keyword in x and len(x) < S.REACH, x
+    texts = ["released under Apache2.", "distributed under the terms of apache2"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in licenses.scan_licenses(docs).collect():
+        assert {(x["label"], x["confidence"]) for x in r["detections"]} == {("apache-2.0", 0.95)}
