@@ -103,7 +103,7 @@ SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
 # Each match of ANY_KEYWORD holds one of these, in lower case; finding them is much cheaper.
 PARTS = ["licen", "spdx", "gpl", "wtfpl", "bsd", "cc", "rights", "public", "commons", "apache", "attribution"]
-#: A match of any rule, with at most eight separators between words, ends less than REACH characters from one.
+#: A match of any rule, with one separator between words, is shorter than this.
 REACH = 200
 
 
@@ -149,8 +149,8 @@ ANY_KEYWORD = _gate()
 
 
 def _regex(pattern: str) -> str:
-    spaced = pattern.replace(" ?", SEPARATORS + "{0,8}+").replace(" ", SEPARATORS + "{1,8}+")
-    return f"(?<!{WORD})(?:{spaced})(?!{WORD})"
+    """For lower-cased text in which each run of separators is one blank."""
+    return f"(?<!{WORD})(?:{pattern.replace(' ?', ' ?+')})(?!{WORD})"
 
 
 def rules() -> list[tuple[str, str, int, str, float]]:

@@ -108,7 +108,7 @@ def _resolved(spans: Column) -> Column:
 
 def _detections(text: Column) -> Column:
     """Resolved spans of all gated rules, by start, in code points of ``text`` (lower case); a rule's blank is any run of separators."""
-    run = SEPARATORS
+    run = f"{SEPARATORS}++"
     block = 256
 
     def placed(x: Column) -> Column:

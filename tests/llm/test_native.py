@@ -119,3 +119,14 @@ def test_every_rule_passes_the_gate(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     for r in licenses.scan_licenses(docs).collect():
         assert {(x["label"], x["confidence"]) for x in r["detections"]} == {("apache-2.0", 0.95)}
+
+
+def test_any_run_of_separators(spark):
+    far = "\n" + " * " * 400
+    texts = ["licensed under the\n *        Apache License 2.0", "é  Creative Commons\n//          Attribution", f"x{far}Licensed{far}under{far}the MIT{far}license{far}and more BSD license"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["detections"] for r in licenses.scan_licenses(docs).collect()}
+    assert [(x["label"], x["confidence"], x["start"], x["stop"]) for x in got[0]] == [("apache-2.0", 0.95, 0, len(texts[0]))]
+    assert [(x["label"], x["start"], x["stop"]) for x in got[1]] == [("cc-by", 3, len(texts[1]))]
+    assert [(x["label"], x["confidence"], x["start"]) for x in got[2]] == [("mit", 0.95, texts[2].index("L")), ("bsd", 0.6, texts[2].index("BSD"))]
+    assert all(x["value"] == texts[i][x["start"] : x["stop"]].lower() for i in got for x in got[i])
