@@ -6,11 +6,11 @@ import re
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.series import ROW, Series, collapse, renamed, union
+from ..operators.series import ROW, Series, bounded, by_number, by_text, collapse, renamed, reversed_text, single, union
 from ..operators.timerange import TimeRange
 from .timeparse import interval_seconds
 
@@ -65,38 +65,37 @@ def alias_by_node(rng, s: Series, *nodes) -> Series:
 # --- order and choice of series -----------------------------------------------------------------------------------
 
 
-def _ranked_by(s: Series, value: Column, desc: bool) -> Series:
-    rank = s.per_series(k=value)
-    df = s.df.join(rank, "series_idx")
-    order = ("desc", F.col("k")) if desc else F.col("k")
-    return Series(Series(df, s.rng).ranked(order).df.select(*ROW), s.rng)
+def _sorted_by(s: Series, value: Column, desc: bool, default: float | None = None) -> Series:
+    """By an aggregate of each series; the exchange by series is that of the aggregate, sorting adds none."""
+    rows = replace(s, df=s.df.withColumn("k", F.coalesce(s.whole(value), F.lit(default))))
+    return rows.before(by_number(-F.col("k") if desc else F.col("k")))
 
 
 @graphite_function("sortByName", decomposable=False)
 def sort_by_name(rng, s: Series, natural: bool = False, reverse: bool = False) -> Series:
     if natural:
         raise ValueError("natural order is not supported")
-    return s.ranked(("desc", F.col("series_id")) if reverse else F.col("series_id"))
+    return s.before(by_text(reversed_text(F.col("series_id")) if reverse else F.col("series_id")))
 
 
 @graphite_function("sortByMaxima", decomposable=False)
 def sort_by_maxima(rng, s: Series) -> Series:
-    return _ranked_by(s, F.coalesce(F.max("value"), F.lit(-1.0)), True)
+    return _sorted_by(s, F.max("value"), True, -1.0)
 
 
 @graphite_function("sortByMinima", decomposable=False)
 def sort_by_minima(rng, s: Series) -> Series:
-    return _ranked_by(s.keep(s.per_series(m=F.max("value")).where(F.col("m") > 0)), F.min("value"), False)
+    return _sorted_by(s.where(F.max("value"), lambda k: k > 0), F.min("value"), False)
 
 
 @graphite_function("sortByTotal", decomposable=False)
 def sort_by_total(rng, s: Series) -> Series:
-    return _ranked_by(s, F.coalesce(F.sum("value"), F.lit(0.0)), False)
+    return _sorted_by(s, F.sum("value"), False, 0.0)
 
 
 @graphite_function("limit", decomposable=False)
 def limit(rng, s: Series, n: int) -> Series:
-    return replace(s, df=s.df.where(F.col("series_idx") < int(n)))
+    return s.slice(0, max(0, int(n)))
 
 
 def _measure(how: str) -> Column:
@@ -109,9 +108,14 @@ def _measure(how: str) -> Column:
 
 @graphite_function("highest", decomposable=False)
 def highest(rng, s: Series, n: int = 1, how: str = "average") -> Series:
-    """The n series of the largest measure, largest first; equals in their order. No measure counts as -1."""
-    top = s.per_series(k=F.coalesce(_measure(how), F.lit(-1.0))).orderBy(F.col("k").desc(), "series_idx").limit(int(n))
-    return _ranked_by(s.keep(top), F.coalesce(_measure(how), F.lit(-1.0)), True)
+    """The n series of the largest measure, largest first; equals in their order. No measure counts as -1.
+
+    The n places meet in one task and are sent to the rows; no row of a series is shuffled.
+    """
+    k = F.coalesce(_measure(how), F.lit(-1.0))
+    top = s.df.groupBy("place").agg(k.alias("k")).orderBy(F.col("k").desc(), "place").limit(int(n))
+    rows = replace(s, df=s.df.join(bounded(top, int(n)), "place"))
+    return rows.before(by_number(-F.col("k")))
 
 
 @graphite_function("highestAverage", decomposable=False)
@@ -131,17 +135,17 @@ def highest_max(rng, s: Series, n: int = 1) -> Series:
 
 @graphite_function("currentAbove", decomposable=False)
 def current_above(rng, s: Series, n: float) -> Series:
-    return s.keep(s.per_series(k=F.max_by("value", "epoch")).where(F.col("k") >= n))
+    return s.where(F.max_by("value", "epoch"), lambda k: k >= n)
 
 
 @graphite_function("averageAbove", decomposable=False)
 def average_above(rng, s: Series, n: float) -> Series:
-    return s.keep(s.per_series(k=F.avg("value")).where(F.col("k") >= n))
+    return s.where(F.avg("value"), lambda k: k >= n)
 
 
 @graphite_function("maximumAbove", decomposable=False)
 def maximum_above(rng, s: Series, n: float) -> Series:
-    return s.keep(s.per_series(k=F.max("value")).where(F.col("k") >= n))
+    return s.where(F.max("value"), lambda k: k >= n)
 
 
 @graphite_function("exclude")
@@ -152,7 +156,9 @@ def exclude(rng, s: Series, pattern: str) -> Series:
 @graphite_function("removeEmptySeries", decomposable=False)
 def remove_empty_series(rng, s: Series, x_files_factor: float = 0) -> Series:
     """Series with at least one value, and at least that share of their points."""
-    return s.keep(s.per_series(k=F.count("value"), n=F.count(F.lit(1))).where(F.col("k") >= F.greatest(F.lit(1.0), F.col("n") * float(x_files_factor))))
+    w = Window.partitionBy("place")
+    counted = s.df.withColumn("k", F.count("value").over(w)).withColumn("n", F.count(F.lit(1)).over(w))
+    return replace(s, df=counted.where(F.col("k") >= F.greatest(F.lit(1.0), F.col("n") * float(x_files_factor))).select(*ROW))
 
 
 # --- each value by itself or with its neighbours -------------------------------------------------------------------
@@ -210,7 +216,7 @@ def changed(rng, s: Series) -> Series:
 def delay(rng, s: Series, steps: int) -> Series:
     if int(steps) < 0:
         raise ValueError("steps must not be negative")
-    return s if not int(steps) else s.with_value(F.lag("value", int(steps)).over(s.over()), "delay", steps)
+    return s if not int(steps) else s.with_value(F.lag("value", int(steps)).over(s.over()), "delay", f" {steps}")
 
 
 @graphite_function("nonNegativeDerivative", "counter_delta")
@@ -239,7 +245,7 @@ def keep_last_value(rng, s: Series, limit: int = 0) -> Series:
     out = s.with_value(F.last("value", ignorenulls=True).over(w), "keepLastValue", *([limit] if limit else []))
     if limit:
         run = s.df.withColumn("island", F.sum(V().isNotNull().cast("int")).over(w))
-        age = F.row_number().over(Window.partitionBy("series_idx", "island").orderBy("epoch")) - 1
+        age = F.row_number().over(Window.partitionBy("place", "island").orderBy("epoch")) - 1
         late = run.withColumn("age", age + F.when(F.col("island") == 0, 1).otherwise(0)).withColumn("filled", F.last("value", ignorenulls=True).over(w))
         late = late.where((F.col("age") <= int(limit)) | F.col("island").eqNullSafe(0)).withColumn("value", F.col("filled"))
         return replace(s, df=renamed(late.select(*ROW), "keepLastValue", limit))
@@ -267,7 +273,7 @@ def summarize(rng, s: Series, interval, how: str = "sum", align_to_from: bool =
     step = max(interval_seconds(interval), s.rng.interval)
     origin = s.rng.start if align_to_from else s.rng.start // step * step
     bucket = F.lit(origin) + F.floor((F.col("epoch") - origin) / step) * step
-    out = s.df.groupBy("series_idx", "series_id", "base_series_id", bucket.alias("bucket")).agg(reducer(how)(V()).alias("value")).withColumnRenamed("bucket", "epoch")
+    out = s.df.groupBy("place", "series_id", "base_series_id", bucket.alias("bucket")).agg(reducer(how)(V()).alias("value")).withColumnRenamed("bucket", "epoch")
     end = origin + -(-(s.rng.end - origin) // step) * step
     return Series(renamed(out.select(*ROW), "summarize", interval, how), TimeRange(origin, end, step))
 
@@ -281,7 +287,7 @@ def time_shift(rng, s: Series, by) -> Series:
 @graphite_function("nPercentile", decomposable=False)
 def n_percentile(rng, s: Series, n: float) -> Series:
     """Each series as the constant of its percentile (linear interpolation)."""
-    return s.with_value(F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("series_idx")), "nPercentile", n)
+    return s.with_value(F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("place")), "nPercentile", n)
 
 
 def _percent(n: float) -> float:
@@ -292,13 +298,13 @@ def _percent(n: float) -> float:
 
 @graphite_function("removeAbovePercentile", decomposable=False)
 def remove_above_percentile(rng, s: Series, n: float) -> Series:
-    p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("series_idx"))
+    p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("place"))
     return s.with_value(F.when(V() <= p, V()), "removeAbovePercentile", n)
 
 
 @graphite_function("removeBelowPercentile", decomposable=False)
 def remove_below_percentile(rng, s: Series, n: float) -> Series:
-    p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("series_idx"))
+    p = F.percentile("value", float(_percent(n)) / 100).over(Window.partitionBy("place"))
     return s.with_value(F.when(V() >= p, V()), "removeBelowPercentile", n)
 
 
@@ -346,45 +352,55 @@ def _minus(first: Column) -> Column:
 @graphite_function("diffSeries")
 def diff_series(rng, *lists: Series) -> Series:
     s = _all(lists)
-    return collapse(s.df, s.rng, _minus(F.col("series_idx") == 0), "diffSeries")
+    first = s.df.agg(F.min("place").alias("first"))  # one row
+    return collapse(s.df.join(F.broadcast(first)), s.rng, _minus(F.col("place") == F.col("first")), "diffSeries")
+
+
+def _per_epoch(s: Series, value: Column) -> DataFrame:
+    """(epoch, by): an aggregate for each point of the grid, which is sent to the rows where the grid is small."""
+    return bounded(s.df.groupBy("epoch").agg(value.alias("by")), s.rng.points() + 1)
 
 
 @graphite_function("divideSeries")
 def divide_series(rng, dividends: Series, divisor: Series) -> Series:
     """Every dividend by the one divisor; null by zero. More than one divisor is an error when the plan runs."""
-    by = divisor.df.groupBy("epoch").agg(F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("divideSeries takes one divisor"))).otherwise(F.first("value")).alias("by"))
+    by = _per_epoch(divisor, F.when(F.count(F.lit(1)) > 1, F.raise_error(F.lit("divideSeries takes one divisor"))).otherwise(F.first("value")))
     return Series(dividends.df.join(by, "epoch", "left").withColumn("value", F.try_divide("value", "by")).withColumn("series_id", F.concat(F.lit("divideSeries("), F.col("series_id"), F.lit(")"))).select(*ROW), dividends.rng)
 
 
 @graphite_function("divideSeriesLists")
 def divide_series_lists(rng, dividends: Series, divisors: Series) -> Series:
-    """The i-th by the i-th."""
-    by = divisors.df.select("series_idx", "epoch", F.col("value").alias("by"))
-    return Series(dividends.df.join(by, ["series_idx", "epoch"], "left").withColumn("value", F.try_divide("value", "by")).select(*ROW), dividends.rng)
+    """The i-th by the i-th, as divideSeries(a,b). Lists of different lengths are an error when the plan runs."""
+    left = dividends.positions().select(F.col("place").alias("left"), F.col("series_id").alias("a"), "position")
+    right = divisors.positions().select(F.col("place").alias("right"), F.col("series_id").alias("b"), "position")
+    both = left.join(right, "position", "full_outer")
+    unequal = F.raise_error(F.lit("divideSeriesLists takes lists of the same length"))
+    both = both.withColumn("left", F.when(F.col("left").isNull() | F.col("right").isNull(), unequal.cast("array<struct<n:double,s:string>>")).otherwise(F.col("left")))
+    rows = dividends.df.join(both, F.col("place") == F.col("left"), "right")
+    by = divisors.df.select(F.col("place").alias("right"), "epoch", F.col("value").alias("by"))
+    out = rows.join(by, ["right", "epoch"], "left").withColumn("value", F.try_divide("value", "by"))
+    return Series(out.withColumn("series_id", F.concat(F.lit("divideSeries("), "a", F.lit(","), "b", F.lit(")"))).select(*ROW), dividends.rng)
 
 
 @graphite_function("asPercent")
 def as_percent(rng, s: Series, total=None) -> Series:
-    """Share of the epoch's sum, of a number, or of the sum of other series."""
-    if total is None:
-        whole = F.sum("value").over(Window.partitionBy("epoch"))
-        return s.with_value(F.try_divide(V() * 100, whole), "asPercent")
-    if isinstance(total, Series):
-        by = total.df.groupBy("epoch").agg(F.sum("value").alias("by"))
+    """Share of the epoch's sum, of a number, or of the sum of other series. Sums are partial before they are shuffled."""
+    if total is None or isinstance(total, Series):
+        by = _per_epoch(s if total is None else total, F.sum("value"))
         return Series(renamed(s.df.join(by, "epoch", "left").withColumn("value", F.try_divide(V() * 100, F.col("by"))).select(*ROW), "asPercent"), s.rng)
     return s.with_value(F.try_divide(V() * 100, F.lit(float(total))), "asPercent", total)
 
 
 @graphite_function("countSeries", decomposable=False)
 def count_series(rng, s: Series) -> Series:
-    n = s.df.agg(F.countDistinct("series_idx").cast("double").alias("value")).where(F.col("value") > 0)
-    return Series(n.select(F.lit(0).alias("series_idx"), F.lit("count").alias("series_id"), F.lit("count").alias("base_series_id"), F.explode(s.rng.grid()).alias("epoch"), "value"), s.rng)
+    n = s.df.agg(F.countDistinct("place").cast("double").alias("value")).where(F.col("value") > 0)
+    return Series(n.select(*single("count"), F.explode(s.rng.grid()).alias("epoch"), "value"), s.rng)
 
 
 @graphite_function("countNewSeries", decomposable=False)
 def count_new_series(rng, s: Series) -> Series:
     """How many series have their first value at each epoch."""
-    first = s.df.where(V().isNotNull()).groupBy("series_idx").agg(F.min("epoch").alias("epoch")).select("epoch", F.lit(1.0).alias("value"))
+    first = s.df.where(V().isNotNull()).groupBy("place").agg(F.min("epoch").alias("epoch")).select("epoch", F.lit(1.0).alias("value"))
     blank = s.df.sparkSession.range(1).select(F.explode(s.rng.grid()).alias("epoch"), F.lit(0.0).alias("value"))
     return collapse(first.unionByName(blank), s.rng, F.sum("value"), "countNewSeries")
 
@@ -395,14 +411,15 @@ def constant_line(rng: TimeRange, value: float, spark=None) -> Series:
 
     one = (spark or SparkSession.active()).range(1)
     name = f"constantLine({value})"
-    return Series(one.select(F.lit(0).alias("series_idx"), F.lit(name).alias("series_id"), F.lit(name).alias("base_series_id"), F.explode(rng.grid()).alias("epoch"), F.lit(float(value)).alias("value")), rng)
+    return Series(one.select(*single(name), F.explode(rng.grid()).alias("epoch"), F.lit(float(value)).alias("value")), rng)
 
 
 def _grouped(s: Series, key: Column, how: str) -> Series:
     keyed = s.df.withColumn("key", key)
     if how in ("diff", "diffSeries"):
-        keyed = keyed.withColumn("first", F.col("series_idx") == F.min("series_idx").over(Window.partitionBy("key")))
-        value = _minus(F.col("first"))
+        first = keyed.groupBy("key").agg(F.min("place").alias("first"))  # partial first, so no group's rows meet
+        keyed = keyed.join(first, "key")
+        value = _minus(F.col("place") == F.col("first"))
     else:
         value = reducer(how)(V())
     out = keyed.groupBy("key", "epoch").agg(value.alias("value"))

@@ -50,6 +50,13 @@ def leaf_counts(names: DataFrame, depth: int) -> DataFrame:
     return names.select(F.array_join(F.slice(parts, 1, depth), ".").alias("prefix"), "name").groupBy("prefix").agg(F.countDistinct("name").alias("leaves"))
 
 
+def information_schema(tables: dict[str, DataFrame]) -> DataFrame:
+    """(datasource, name, kind) of every column: texts are dimensions, ``epoch`` is the time, all else are metrics."""
+    spark = next(iter(tables.values())).sparkSession
+    kind = lambda f: "time" if f.name == "epoch" else "dimension" if f.dataType.typeName() == "string" else "metric"
+    return spark.createDataFrame([(t, f.name, kind(f)) for t, df in tables.items() for f in df.schema], "datasource string, name string, kind string")
+
+
 def show(points: DataFrame, statement: str) -> DataFrame:
     """SHOW RETENTION POLICIES | MEASUREMENTS | FIELD KEYS | TAG KEYS | TAG VALUES."""
     text = " ".join(statement.split())

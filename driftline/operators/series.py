@@ -1,4 +1,4 @@
-"""Dense series as a long frame: series_idx, series_id, base_series_id, epoch, value (null where nothing is known)."""
+"""Dense series as a long frame: place, series_id, base_series_id, epoch, value (null where nothing is known)."""
 
 from __future__ import annotations
 
@@ -8,14 +8,36 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..durable import cut
 from .timerange import TimeRange
 
-ROW = ("series_idx", "series_id", "base_series_id", "epoch", "value")
+ROW = ("place", "series_id", "base_series_id", "epoch", "value")
+#: Up to so many rows an aggregate by epoch is broadcast: a range's grid bounds it, whatever the number of series.
+GRID = 1 << 17
+
+
+def by_number(x: Column) -> Column:
+    """A number as one element of a place."""
+    return F.array(F.struct(x.cast("double").alias("n"), F.lit(None).cast("string").alias("s")))
+
+
+def by_text(x: Column) -> Column:
+    """A text as one element of a place."""
+    return F.array(F.struct(F.lit(None).cast("double").alias("n"), x.cast("string").alias("s")))
+
+
+def reversed_text(x: Column) -> Column:
+    """Another text, which sorts the other way round: the complement of its bytes, with an end that is larger than any."""
+    return F.concat(F.translate(F.lower(F.hex(x)), "0123456789abcdef", "fedcba9876543210"), F.lit("g"))
 
 
 @dataclass(frozen=True)
 class Series:
-    """A list of series on the grid of ``rng``; series_idx is their order."""
+    """A list of series on the grid of ``rng``.
+
+    ``place`` tells a series from the others and sorts as they stand in the list. It is not a number: sorts put new
+    elements before the old ones, so ordering costs no shuffle until an order is asked for (``limit``, ``positions``).
+    """
 
     df: DataFrame
     rng: TimeRange
@@ -24,7 +46,7 @@ class Series:
     def of(dense: DataFrame, rng: TimeRange, name: Column) -> Series:
         """Series in the order of their names; ``dense`` has epoch and value besides what ``name`` reads."""
         rows = dense.select(name.alias("series_id"), "epoch", "value")
-        return Series(rows.select(F.lit(0).alias("series_idx"), "series_id", F.col("series_id").alias("base_series_id"), "epoch", "value"), rng).ranked(F.col("series_id"))
+        return Series(rows.select(by_text(F.col("series_id")).alias("place"), "series_id", F.col("series_id").alias("base_series_id"), "epoch", "value"), rng)
 
     def with_value(self, value: Column, name: str | None = None, *args) -> Series:
         """A value for each row; with ``name`` the ids become name(id,args)."""
@@ -33,34 +55,48 @@ class Series:
 
     def over(self) -> Window:
         """Rows of a series in time order."""
-        return Window.partitionBy("series_idx").orderBy("epoch")
-
-    def per_series(self, **aggregates: Column) -> DataFrame:
-        return self.df.groupBy("series_idx").agg(*[v.alias(k) for k, v in aggregates.items()])
-
-    def keep(self, chosen: DataFrame) -> Series:
-        """Only series whose series_idx is in ``chosen``."""
-        return replace(self, df=self.df.join(chosen.select("series_idx"), "series_idx", "left_semi").select(*ROW))
-
-    def ranked(self, *order: Column) -> Series:
-        """series_idx anew by expressions that are constant within a series. One row a series meets in the ranking."""
-        names = [f"o{i}" for i in range(len(order))]
-        one = self.df.groupBy("series_id", "series_idx").agg(*[F.first(strip(o)).alias(n) for o, n in zip(order, names, strict=True)])
-        sort = [(F.col(n).desc() if descending(o) else F.col(n).asc()) for o, n in zip(order, names, strict=True)]
-        rank = one.select(F.col("series_idx").alias("old"), F.col("series_id").alias("old_id"), (F.row_number().over(Window.orderBy(*sort, F.col("series_idx"), F.col("series_id"))) - 1).alias("new"))
-        df = self.df.join(rank, (F.col("series_idx") == F.col("old")) & (F.col("series_id") == F.col("old_id")))
-        return replace(self, df=df.select(F.col("new").alias("series_idx"), *ROW[1:]))
+        return Window.partitionBy("place").orderBy("epoch")
+
+    def whole(self, value: Column) -> Column:
+        """An aggregate of each series beside its rows."""
+        return value.over(Window.partitionBy("place"))
+
+    def where(self, value: Column, test) -> Series:
+        """Only series whose aggregate passes ``test``: one exchange by series, no second scan."""
+        df = self.df.withColumn("k", self.whole(value))
+        return replace(self, df=df.where(test(F.col("k"))).select(*ROW))
+
+    def before(self, *order: Column) -> Series:
+        """Series sorted anew by elements (``by_number``, ``by_text``) that are constant within a series; equals stay in order."""
+        return replace(self, df=self.df.withColumn("place", F.concat(*order, F.col("place"))).select(*ROW))
+
+    def slice(self, first: int, count: int) -> Series:
+        """``count`` series from the ``first`` on (0 is the first one). Only the chosen places are collected in one task."""
+        chosen = self.df.select("place").distinct().orderBy("place")
+        chosen = (chosen.offset(first) if first else chosen).limit(count)
+        return replace(self, df=self.df.join(bounded(chosen, count), "place", "left_semi").select(*ROW))
+
+    def positions(self) -> DataFrame:
+        """(place, series_id, position) of every series: exact numbers from 0 in the order of the list.
+
+        Places are dealt by ranges and numbered in each; only the sizes of the ranges are added up in one task. The
+        deal is written down, as both steps must see the same ranges.
+        """
+        one = self.df.groupBy("place").agg(F.first("series_id").alias("series_id"))
+        dealt = cut(one.repartitionByRange("place").withColumn("part", F.spark_partition_id()))
+        sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+        before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        starts = sizes.select("part", before.alias("start"))
+        rank = F.row_number().over(Window.partitionBy("part").orderBy("place")) - 1
+        return dealt.withColumn("rank", rank).join(F.broadcast(starts), "part").select("place", "series_id", (F.col("start") + F.col("rank")).alias("position"))
 
     def tokens(self) -> Column:
         return F.split("base_series_id", r"\.")
 
 
-def strip(c):
-    return c[1] if isinstance(c, tuple) else c
-
-
-def descending(c) -> bool:
-    return isinstance(c, tuple)
+def bounded(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most ``rows`` rows, broadcast if that is few."""
+    return F.broadcast(df) if rows <= GRID else df
 
 
 def renamed(df: DataFrame, name: str, *args) -> DataFrame:
@@ -68,24 +104,27 @@ def renamed(df: DataFrame, name: str, *args) -> DataFrame:
     return df.withColumn("series_id", F.concat(F.lit(f"{name}("), F.col("series_id"), F.lit(f"{tail})")))
 
 
+def single(name: str) -> list[Column]:
+    """place, series_id and base_series_id of the only series of a list."""
+    return [by_text(F.lit(name)).alias("place"), F.lit(name).alias("series_id"), F.lit(name).alias("base_series_id")]
+
+
 def collapse(df: DataFrame, rng: TimeRange, value: Column, name: str) -> Series:
     """One series of an aggregate for each epoch."""
     out = df.groupBy("epoch").agg(value.alias("value"))
-    return Series(out.select(F.lit(0).alias("series_idx"), F.lit(name).alias("series_id"), F.lit(name).alias("base_series_id"), "epoch", "value"), rng)
+    return Series(out.select(*single(name), "epoch", "value"), rng)
 
 
 def union(lists: list[Series]) -> Series:
-    """All series of several lists one after another, re-indexed."""
+    """All series of several lists one after another."""
     first = lists[0]
     if any(x.rng.interval != first.rng.interval for x in lists):
         raise ValueError("series of different intervals")
-    rows = [x.df.select(F.struct(F.lit(i).alias("l"), F.col("series_idx").alias("s")).alias("o"), *ROW[1:]) for i, x in enumerate(lists)]
-    df = rows[0]
-    for more in rows[1:]:
-        df = df.unionByName(more)
-    rank = df.select("o").distinct().withColumn("series_idx", F.row_number().over(Window.orderBy("o")) - 1)
-    rng = TimeRange(min(x.rng.start for x in lists), max(x.rng.end for x in lists), first.rng.interval)
-    return Series(df.join(rank, "o").select(*ROW), rng)
+    df = None
+    for i, x in enumerate(lists):
+        rows = x.before(by_number(F.lit(i))).df
+        df = rows if df is None else df.unionByName(rows)
+    return Series(df, TimeRange(min(x.rng.start for x in lists), max(x.rng.end for x in lists), first.rng.interval))
 
 
 def difference(left: Series, right: Series, tolerance: float = 0.0) -> DataFrame:
@@ -102,4 +141,4 @@ def merge(first: Series, second: Series) -> Series:
     """Points of both by (series_id, epoch); where both have a point the first wins."""
     rows = first.df.select(*ROW[1:], F.lit(0).alias("side")).unionByName(second.df.select(*ROW[1:], F.lit(1).alias("side")))
     one = rows.groupBy("series_id", "base_series_id", "epoch").agg(F.min_by("value", "side").alias("value"))
-    return Series(one.withColumn("series_idx", F.lit(0)).select(*ROW), first.rng.merge(second.rng)).ranked(F.col("series_id"))
+    return Series(one.withColumn("place", by_text(F.col("series_id"))).select(*ROW), first.rng.merge(second.rng))

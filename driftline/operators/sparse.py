@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass, field
 
@@ -24,6 +25,7 @@ class Rule:
     gap: int = 600
     forced: int = 1800
     grid: int = 1
+    transform: bool = False  # counters become rates before they are judged
 
     def __post_init__(self):
         if self.algorithm not in ALGORITHMS:
@@ -40,6 +42,7 @@ class State:
     written: int | None = None
     value: float | None = None
     recent: list[float] = field(default_factory=list)
+    raw: float | None = None
 
 
 def _lossless(state: State, v: float, rule: Rule) -> bool:
@@ -69,11 +72,19 @@ def step(state: State, epoch: int, value: float, rule: Rule) -> list[tuple[int,
     if state.written is not None and epoch < state.written:
         return [(epoch, value, None, "late")]
     out: list[tuple[int, float | None, str | None, str]] = []
+    if rule.transform:
+        raw = value
+        if state.raw is None:  # nothing to compare with: the series begins with a marker
+            state.received, state.written, state.raw = epoch, epoch, raw
+            return [(epoch, None, "missing", "first")]
+        value = (raw - state.raw) / (epoch - state.written) if epoch > state.written else 0.0
     if state.received is not None and epoch - state.received > rule.gap:
         out.append((state.received + rule.gap, None, "missing", "gap"))
         decision = "changed"  # after a gap marker the value must be told again
     elif state.written is None:
         decision = "first"
+    elif state.value is None:
+        decision = "changed"
     elif ALGORITHMS[rule.algorithm](state, value, rule):
         decision = "changed"
     else:
@@ -83,9 +94,15 @@ def step(state: State, epoch: int, value: float, rule: Rule) -> list[tuple[int,
     state.recent = [*state.recent, value][-rule.window :] if rule.algorithm == "percentile" else []
     if decision != "dropped":
         state.written, state.value = epoch, value
+        state.raw = raw if rule.transform else None
     return out
 
 
+def rule_of(name: str, rules: list[Rule]) -> Rule:
+    """The first rule whose pattern a series id matches, else the default."""
+    return next((r for r in rules if re.search(r.pattern, name)), Rule())
+
+
 SCHEMA = "series_id string, epoch long, value double, marker string, decision string"
 
 
@@ -95,20 +112,13 @@ def decide(points: DataFrame, rules: list[Rule]) -> DataFrame:
     Decisions depend on what was written last, so they are sequential within a series; rows are dealt by series, sorted
     and streamed, so a task keeps the state of one series at a time and any series may be long.
     """
-    default = Rule()
-
-    def rule_of(name: str) -> Rule:
-        import re
-
-        return next((r for r in rules if re.search(r.pattern, name)), default)
-
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        name, state, rule = None, State(), default
+        name, state, rule = None, State(), Rule()
         for frame in frames:
             out = []
             for sid, epoch, value in zip(frame["series_id"], frame["epoch"].tolist(), frame["value"].tolist(), strict=True):
                 if sid != name:
-                    name, state, rule = sid, State(), rule_of(sid)
+                    name, state, rule = sid, State(), rule_of(sid, rules)
                 out += [(sid, *x) for x in step(state, epoch, value, rule)]
             yield pd.DataFrame(out, columns=["series_id", "epoch", "value", "marker", "decision"])
 
@@ -143,7 +153,11 @@ def tombstones(points: DataFrame, keys: list[str], gap: int, now: int | None = N
 
 
 def rate(points: DataFrame, keys: list[str], clamp: bool = False) -> DataFrame:
-    """A counter's change per second since the point before; the first point is a missing marker."""
+    """A counter's change per second since the point before; the first point is a missing marker.
+
+    For counters of which every point is written. Where points are dropped, change and interval run from the last one
+    written: that is ``Rule(transform=True)`` in ``decide``.
+    """
     w = Window.partitionBy(*keys).orderBy("epoch")
     v = F.try_divide(F.col("value") - F.lag("value").over(w), F.col("epoch") - F.lag("epoch").over(w))
     v = F.when(v >= 0, v) if clamp else v

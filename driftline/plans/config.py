@@ -4,13 +4,10 @@ from __future__ import annotations
 
 import fnmatch
 import re
-import zlib
 from dataclasses import dataclass, field
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
 
 from ..operators.sparse import Rule
 
@@ -95,7 +92,13 @@ class Config:
         return adler_shard(key, F.lit(self.shards))
 
 
-@F.pandas_udf(IntegerType())
-def adler_shard(keys: pd.Series, shards: pd.Series) -> pd.Series:
-    """adler32 of the key modulo the number of shards, as writers in other systems compute it."""
-    return pd.Series([None if k is None else zlib.adler32(k.encode()) % n for k, n in zip(keys, shards, strict=True)], dtype="Int32")
+def adler_shard(key: Column, shards: Column) -> Column:
+    """adler32 of the key's UTF-8 bytes modulo the number of shards, as writers in other systems compute it; null for null."""
+    hexes = F.hex(F.encode(key, "UTF-8"))
+    n = F.length(hexes) / 2
+    at = F.sequence(F.lit(1), n.cast("int"))
+    codes = F.when(n > 0, F.transform(at, lambda i: F.conv(F.substring(hexes, i * 2 - 1, F.lit(2)), 16, 10).cast("long"))).otherwise(F.array().cast("array<bigint>"))
+    # sums of a key's bytes and of their running sums stay far under 2^63, so one remainder at the end is enough
+    sums = F.aggregate(codes, F.struct(F.lit(1).cast("long").alias("a"), F.lit(0).cast("long").alias("b")), lambda s, c: F.struct((s["a"] + c).alias("a"), (s["b"] + s["a"] + c).alias("b")))
+    whole = (sums["b"] % 65521) * 65536 + sums["a"] % 65521
+    return F.when(key.isNotNull(), (whole % shards).cast("int"))

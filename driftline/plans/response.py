@@ -36,8 +36,8 @@ def influx(results: dict[str, DataFrame], form: str = "s") -> dict:
 def graphite(series: Series) -> list[dict]:
     """[{"target", "datapoints": [[value, time], ...]}] in the order of the series."""
     out: dict[tuple, dict] = {}
-    for r in series.df.orderBy("series_idx", "epoch").collect():
-        out.setdefault((r["series_idx"], r["series_id"]), {"target": r["series_id"], "datapoints": []})["datapoints"].append([_plain(r["value"]), r["epoch"]])
+    for r in series.df.orderBy("place", "epoch").collect():
+        out.setdefault((*r["place"], r["series_id"]), {"target": r["series_id"], "datapoints": []})["datapoints"].append([_plain(r["value"]), r["epoch"]])
     return list(out.values())
 
 

@@ -11,6 +11,7 @@ from .functions import graphite as G
 from .operators import resample as R
 from .operators.series import Series, difference, merge
 from .operators.timerange import TimeRange
+from .sources.files import in_range
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,14 +33,16 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-def events(spark: SparkSession, d: str) -> DataFrame:
-    """Points of the table ``events``: event_id, user_id, event_type, epoch, value."""
+def events(spark: SparkSession, d: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    """Points of the table ``events``: event_id, user_id, event_type, epoch, value; those of [lo, hi) only, by bounds that reach the scan."""
     df = spark.read.parquet(f"{d}/events.parquet")
+    if lo is not None:
+        df = in_range(df, "ts", lo, hi)
     return df.select("event_id", "user_id", "event_type", F.unix_timestamp(F.col("ts").cast("timestamp")).alias("epoch"), "value")
 
 
-def by_type(spark: SparkSession, d: str) -> DataFrame:
-    return R.dedupe(events(spark, d), ["event_type"], "event_id")
+def by_type(spark: SparkSession, d: str, lo: int | None = None, hi: int | None = None) -> DataFrame:
+    return R.dedupe(events(spark, d, lo, hi), ["event_type"], "event_id")
 
 
 EV = "ev AS (SELECT event_id, user_id, event_type, CAST(floor(epoch(ts)) AS BIGINT) AS epoch, value FROM events)"
@@ -64,7 +67,7 @@ def out(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
 
 
 def _resampled(how: str = "mean", fill=None, default=None, rng: TimeRange = HOURS):
-    return lambda spark, d: out(R.resample(by_type(spark, d), rng, ["event_type"], how=how, fill=fill, default=default))
+    return lambda spark, d: out(R.resample(by_type(spark, d, rng.start - R.LOOKBACK, rng.end), rng, ["event_type"], how=how, fill=fill, default=default))
 
 
 PICK = "SELECT event_type, epoch, round(value, 6) AS value FROM dense"
@@ -80,7 +83,7 @@ for _how, _sql in {"max": "max(v)", "min": "min(v)", "sum": "sum(v * d)", "last"
 
 
 def _by_user(spark: SparkSession, d: str) -> DataFrame:
-    return events(spark, d).withColumn("name", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
+    return events(spark, d, START, END).withColumn("name", F.concat(F.lit("u"), (F.col("user_id") % 40).cast("string")))
 
 
 _DENSE_USER = f"""{EV}, real AS (SELECT concat('u', user_id % 40) AS name, {START} + (epoch - {START}) // 3600 * 3600 AS bucket, value FROM ev WHERE epoch >= {START} AND epoch < {END}),
@@ -103,7 +106,7 @@ def _(spark, d):
 
 @query("lookback_last_value", f"WITH {PTS} SELECT event_type, max(epoch) AS epoch, round(max_by(value, epoch), 6) AS value FROM pts WHERE epoch > {START + 864000 - 43200} AND epoch <= {START + 864000} GROUP BY event_type")
 def _(spark, d):
-    return out(R.last_values(by_type(spark, d), ["event_type"], START + 864000, 43200))
+    return out(R.last_values(by_type(spark, d, START + 864000 - 43200, START + 864001), ["event_type"], START + 864000, 43200))
 
 
 # --- series frames for the path language -----------------------------------------------------------------------------
@@ -112,7 +115,7 @@ def _(spark, d):
 def paths(spark: SparkSession, d: str, rng: TimeRange = DAYS) -> Series:
     """Sixty series clusters.c_i.n_j.events.<type> of bucket means, with gaps."""
     name = F.concat(F.lit("clusters.c_"), (F.col("user_id") % 4).cast("string"), F.lit(".n_"), (F.col("user_id") % 3).cast("string"), F.lit(".events."), F.col("event_type"))
-    points = events(spark, d).withColumn("name", name)
+    points = events(spark, d, rng.start, rng.end).withColumn("name", name)
     return Series.of(R.resample_dense(points, rng, ["name"]), rng, F.col("name"))
 
 
@@ -152,7 +155,7 @@ each("transformNull", "coalesce(v, -1.0)", lambda s: G.transform_null(s.rng, s,
 each("removeAboveValue", "CASE WHEN v <= 50 THEN v END", lambda s: G.remove_above_value(s.rng, s, 50), args=",50")
 each("removeBelowValue", "CASE WHEN v >= 50 THEN v END", lambda s: G.remove_below_value(s.rng, s, 50), args=",50")
 each("changed", f"CASE WHEN v <> lag(v) {W} THEN 1.0 ELSE 0.0 END", lambda s: G.changed(s.rng, s), rng=SIXES)
-each("delay", f"lag(v, 3) {W}", lambda s: G.delay(s.rng, s, 3), args=",3")
+each("delay", f"lag(v, 3) {W}", lambda s: G.delay(s.rng, s, 3), args=", 3")
 each("nonNegativeDerivative", f"CASE WHEN v - lag(v) {W} >= 0 THEN v - lag(v) {W} END", lambda s: G.non_negative_derivative(s.rng, s), rng=SIXES)
 each("integral", "coalesce(sum(v) OVER (PARTITION BY sid ORDER BY epoch ROWS UNBOUNDED PRECEDING), 0)", lambda s: G.integral(s.rng, s))
 each("movingAverage", "avg(v) OVER (PARTITION BY sid ORDER BY epoch ROWS 3 PRECEDING)", lambda s: G.moving_average(s.rng, s, "1d"), args=",1d", rng=SIXES)
@@ -181,16 +184,23 @@ graphite("aliasByNode", "SELECT concat(split_part(sid, '.', 2), '.', split_part(
 graphite("exclude", SAME + " WHERE NOT contains(sid, 'n_1')", lambda s: G.exclude(s.rng, s, "n_1"))
 graphite("limit", SAME + " WHERE i < 7", lambda s: G.limit(s.rng, s, 7))
 graphite("group", SAME + " WHERE i < 3 UNION ALL " + SAME + " WHERE i < 2", lambda s: G.group(s.rng, G.limit(s.rng, s, 3), G.limit(s.rng, s, 2)))
-for _f, _agg in {"currentAbove": "max_by(v, CASE WHEN v IS NOT NULL THEN epoch END)", "averageAbove": "avg(v)", "maximumAbove": "max(v)"}.items():
+for _f, _agg in {"currentAbove": "arg_max_null(v, epoch)", "averageAbove": "avg(v)", "maximumAbove": "max(v)"}.items():
     _n = {"currentAbove": 50, "averageAbove": 50, "maximumAbove": 200}[_f]
-    graphite(_f, SAME + f" WHERE sid IN (SELECT sid FROM s GROUP BY sid HAVING {_agg.replace('CASE WHEN v IS NOT NULL THEN epoch END', 'epoch')} >= {_n})", lambda s, f=_f, n=_n: G.REGISTRY[f](s.rng, s, n))
+    graphite(_f, SAME + f" WHERE sid IN (SELECT sid FROM s GROUP BY sid HAVING {_agg} >= {_n})", lambda s, f=_f, n=_n: G.REGISTRY[f](s.rng, s, n))
 graphite("removeEmptySeries", SAME + " WHERE sid IN (SELECT sid FROM s GROUP BY sid HAVING count(v) >= greatest(1.0, 0.8 * count(*)))", lambda s: G.remove_empty_series(s.rng, s, 0.8), SIXES)
+for _f, _test in {"equal_to": "=", "not_equal": "<>"}.items():
+    graphite(_f, f"SELECT sid AS series_id, epoch, CASE WHEN v {_test} 41.5 THEN v END AS value FROM s WHERE sid IN (SELECT sid FROM s WHERE v {_test} 41.5)", lambda s, f=_f: G.REGISTRY[f](s.rng, s, 41.5), SIXES)
 graphite("greater", "SELECT sid AS series_id, epoch, CASE WHEN v > 150 THEN v END AS value FROM s WHERE sid IN (SELECT sid FROM s WHERE v > 150)", lambda s: G.greater(s.rng, s, 150), SIXES)
 
 
 def ordered(name: str, key: str, order: str, call: Callable[[Series], Series], having: str = "", n: str = "") -> None:
     """A function that orders series: the order itself is part of the result."""
-    QUERIES[f"g_{name}"] = lambda spark, d: call(paths(spark, d)).df.groupBy(F.col("series_idx").cast("long").alias("idx"), "series_id").agg(F.count(F.lit(1)).alias("points"))
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        s = call(paths(spark, d))
+        points = s.df.groupBy("place").agg(F.count(F.lit(1)).alias("points"))
+        return points.join(s.positions(), "place").select(F.col("position").cast("long").alias("idx"), "series_id", "points")
+
+    QUERIES[f"g_{name}"] = run
     ORACLES[f"g_{name}"] = BASE + f" SELECT row_number() OVER (ORDER BY k {order}, i) - 1 AS idx, sid AS series_id, n AS points FROM (SELECT sid, i, {key} AS k, count(*) AS n FROM s GROUP BY sid, i {having}) t ORDER BY 1 {n}"
 
 
@@ -201,13 +211,13 @@ ordered("sortByTotal", "coalesce(sum(v), 0)", "ASC", lambda s: G.sort_by_total(s
 ordered("highest", "coalesce(avg(v), -1)", "DESC", lambda s: G.highest(s.rng, s, 5), n="LIMIT 5")
 ordered("highestAverage", "coalesce(avg(v), -1)", "DESC", lambda s: G.highest_average(s.rng, s, 6), n="LIMIT 6")
 ordered("highestMax", "coalesce(max(v), -1)", "DESC", lambda s: G.highest_max(s.rng, s, 4), n="LIMIT 4")
-ordered("highestCurrent", "coalesce(max_by(v, epoch), -1)", "DESC", lambda s: G.highest_current(s.rng, s, 4), n="LIMIT 4")
+ordered("highestCurrent", "coalesce(arg_max_null(v, epoch), -1)", "DESC", lambda s: G.highest_current(s.rng, s, 4), n="LIMIT 4")
 
 for _f, _agg in {"maxSeries": "max(v)", "minSeries": "min(v)", "sumSeries": "sum(v)", "averageSeries": "avg(v)"}.items():
     graphite(_f, f"SELECT '{_f}' AS series_id, epoch, {_agg} AS value FROM s GROUP BY epoch", lambda s, f=_f: G.REGISTRY[f](s.rng, s), SIXES)
 graphite("diffSeries", "SELECT 'diffSeries' AS series_id, epoch, max(CASE WHEN i = 0 THEN v END) - coalesce(sum(CASE WHEN i > 0 THEN v END), 0) AS value FROM s WHERE i < 4 GROUP BY epoch", lambda s: G.diff_series(s.rng, G.limit(s.rng, s, 4)))
 graphite("divideSeries", "SELECT concat('divideSeries(', s.sid, ')') AS series_id, s.epoch, s.v / nullif(o.v, 0) AS value FROM s LEFT JOIN (SELECT epoch, v FROM s WHERE i = 0) o ON s.epoch = o.epoch", lambda s: G.divide_series(s.rng, s, G.limit(s.rng, s, 1)))
-graphite("divideSeriesLists", "SELECT s.sid AS series_id, s.epoch, s.v / nullif(o.v, 0) AS value FROM s LEFT JOIN (SELECT i, epoch, v * 2.0 AS v FROM s WHERE i < 5) o ON s.epoch = o.epoch AND s.i = o.i WHERE s.i < 5",
+graphite("divideSeriesLists", "SELECT concat('divideSeries(', s.sid, ',scale(', s.sid, ',2))') AS series_id, s.epoch, s.v / nullif(o.v, 0) AS value FROM s LEFT JOIN (SELECT i, epoch, v * 2.0 AS v FROM s WHERE i < 5) o ON s.epoch = o.epoch AND s.i = o.i WHERE s.i < 5",
          lambda s: G.divide_series_lists(s.rng, G.limit(s.rng, s, 5), G.scale(s.rng, G.limit(s.rng, s, 5), 2)))
 graphite("countSeries", f"SELECT 'count' AS series_id, unnest(range({START}, {END}, 86400)) AS epoch, CAST(n AS DOUBLE) AS value FROM (SELECT count(DISTINCT sid) AS n FROM s)", lambda s: G.count_series(s.rng, s))
 graphite("countNewSeries", f"SELECT 'countNewSeries' AS series_id, g.epoch, CAST(count(f.sid) AS DOUBLE) AS value FROM (SELECT unnest(range({START}, {END}, 21600)) AS epoch) g LEFT JOIN (SELECT sid, min(epoch) AS epoch FROM s WHERE v IS NOT NULL GROUP BY sid) f ON f.epoch = g.epoch GROUP BY g.epoch", lambda s: G.count_new_series(s.rng, s), SIXES)
@@ -230,12 +240,11 @@ WHERE a.sid IS NULL OR b.sid IS NULL OR (a.v IS DISTINCT FROM b.v AND coalesce(a
 def _(spark, d):
     s = paths(spark, d)
     left = G.limit(s.rng, s, 6)
-    right = Series(s.df.where((F.col("series_idx") >= 3) & (F.col("series_idx") < 9)).withColumn("value", F.when(F.col("epoch") % 172800 == 0, F.col("value") * 1.5).otherwise(F.col("value"))), s.rng)
+    right = s.slice(3, 6).with_value(F.when(F.col("epoch") % 172800 == 0, F.col("value") * 1.5).otherwise(F.col("value")))
     return difference(left, right, 0.1).withColumn("left_value", F.round("left_value", 6)).withColumn("right_value", F.round("right_value", 6))
 
 
 @query("series_merge", BASE + " SELECT sid AS series_id, epoch, round(CASE WHEN i < 6 THEN v ELSE v * 2 END, 6) AS value FROM s WHERE i < 9")
 def _(spark, d):
     s = paths(spark, d)
-    doubled = Series(s.df.where((F.col("series_idx") >= 3) & (F.col("series_idx") < 9)).withColumn("value", F.col("value") * 2), s.rng)
-    return rows(merge(G.limit(s.rng, s, 6), doubled))
+    return rows(merge(G.limit(s.rng, s, 6), s.slice(3, 6).with_value(F.col("value") * 2)))

@@ -115,6 +115,15 @@ def allowed(name: Column, allow: str | None, deny: str | None) -> Column:
     return out & (name.rlike(allow) if allow else F.lit(True))
 
 
+def whitelisted(points: DataFrame, cluster: str | None = None, node: str | None = None) -> DataFrame:
+    """Points of one cluster and node, as tags of that name or as the second and third token of a flat name; None: any."""
+    out = points
+    for want, names in ((cluster, ("Cluster", "tkn1")), (node, ("Node", "tkn2"))):
+        if want is not None:
+            out = out.where(F.coalesce(*[F.col("tags")[n] for n in names]) == want)
+    return out
+
+
 def stored_value(value: Column, marker: Column) -> Column:
     """Markers as reserved numbers, and real values that equal one moved out of the way."""
     plain = F.when(value == MISSING, F.lit(STORED[MISSING])).when(value == TOMBSTONE, F.lit(STORED[TOMBSTONE])).otherwise(value)
@@ -135,21 +144,32 @@ def point_json(epoch: Column, value: Column, field: Column, tags: Column) -> Col
     return F.when(F.size(tags) > 0, F.concat(F.substring(head, F.lit(1), F.length(head) - 1), F.lit(","), F.substring(more, 2, 1 << 30))).otherwise(head)
 
 
-# Name parts that tell what kind of metric a field is.
-KINDS = [("meter", ("_rate", "meter")), ("histogram", ("p50", "p75", "p95", "p98", "p99", "mean", "median", "stddev", "min", "max")), ("counter", ("count",))]
+# Name parts that tell what kind of metric a name is, in the order of the tests.
+KINDS = [("meter", ("_rate",)), ("histogram", (".p50", ".p75", ".p9", ".mean", ".max", ".min", ".total", ".stddev")), ("counter", (".count",))]
 
 
-def metric_kind(field: Column) -> Column:
-    """meter, histogram, counter or gauge."""
+def metric_kind(name: Column) -> Column:
+    """meter, histogram, counter or gauge, by parts of the dotted name."""
     out = None
     for kind, parts in KINDS:
-        hit = F.lit(False)
-        for p in parts:
-            hit = hit | F.contains(field, F.lit(p))
+        hit = name.contains(parts[0])
+        for p in parts[1:]:
+            hit = hit | name.contains(p)
         out = F.when(hit, kind) if out is None else out.when(hit, kind)
     return out.otherwise("gauge")
 
 
+def histogram_category(name: Column) -> Column:
+    """The last token of a histogram's name, such as p99; null for other kinds."""
+    return F.when(metric_kind(name) == "histogram", F.substring_index(name, ".", -1))
+
+
+def component(name: Column) -> Column:
+    """The component of a metric: the second and third token of its name, or the whole name if it has no more than two."""
+    tokens = F.split(name, r"\.")
+    return F.when(F.size(tokens) > 2, F.concat_ws(".", tokens[1], tokens[2])).otherwise(name)
+
+
 def template_tags(name: Column, template: str) -> Column:
     """Tags of a dotted name by a template such as ``measurement.measurement.host.field*``; a star takes all that follows."""
     words = template.split(".")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -43,6 +44,17 @@ def read_points(spark: SparkSession, path: str, start: int, end: int) -> DataFra
     return spark.read.parquet(path).where((F.col("day") >= day(start)) & (F.col("day") <= day(end)) & (F.col("epoch") >= start) & (F.col("epoch") < end))
 
 
+def in_range(df: DataFrame, column: str, start: int, end: int) -> DataFrame:
+    """Rows whose timestamp (with or without a zone, then UTC) is in [start, end) epoch seconds.
+
+    The column is compared as it is stored, with literals of its own type, so that the bounds reach the scan.
+    """
+    kind = df.schema[column].dataType.typeName()
+    text = lambda t: datetime.fromtimestamp(t, UTC).strftime("%Y-%m-%d %H:%M:%S")
+    at = (lambda t: F.expr(f"TIMESTAMP_NTZ'{text(t)}'")) if kind == "timestamp_ntz" else (lambda t: F.expr(f"TIMESTAMP'{text(t)}Z'"))
+    return df.where((F.col(column) >= at(start)) & (F.col(column) < at(end)))
+
+
 def regranulate(spark: SparkSession, path: str, target: str, unit: str = "month") -> None:
     """Rewrite day folders as coarser ones; folders that exist are replaced, others stay."""
     df = spark.read.parquet(path).withColumn("day", F.to_date(F.date_trunc(unit, F.col("day"))))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import asdict, dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -14,15 +15,18 @@ from ..operators import sparse
 from ..sources import codec
 
 
-def sparsify(points: DataFrame, rule: sparse.Rule, silence_ms: int | None = None) -> DataFrame:
+def sparsify(points: DataFrame, rules: sparse.Rule | list[sparse.Rule], silence_ms: int | None = None) -> DataFrame:
     """Decisions of ``operators.sparse`` over a stream of (series_id, epoch, value), one state for each series.
 
-    With ``silence_ms`` a series that gets nothing for so long ends: a tombstone, and its state goes. Within a
+    A series goes by the first of ``rules`` whose pattern it matches, as in ``sparse.decide``. With ``silence_ms`` a series that gets nothing for so long ends: a tombstone, and its state goes. Within a
     micro-batch points are taken in time order.
     """
     timeout = GroupStateTimeout.ProcessingTimeTimeout if silence_ms else GroupStateTimeout.NoTimeout
 
+    rules = [rules] if isinstance(rules, sparse.Rule) else list(rules)
+
     def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        rule = sparse.rule_of(key[0], rules)
         if held.hasTimedOut:
             state = sparse.State(**json.loads(held.get[0]))
             held.remove()
@@ -40,6 +44,75 @@ def sparsify(points: DataFrame, rule: sparse.Rule, silence_ms: int | None = None
     return points.groupBy("series_id").applyInPandasWithState(run, sparse.SCHEMA, "state string", "append", timeout)
 
 
+STEP_SCHEMA = "series_id string, epoch long, mean double, sum double, max double, last double, marker string"
+
+
+def rollup_steps(points: DataFrame, window: int, gap: int) -> DataFrame:
+    """Step-weighted rollups of a stream of (series_id, epoch, value, marker): as ``operators.rollup``, once a window is over.
+
+    A value holds until the next point of its series, at most ``gap`` seconds. A window is told, under the label of its end,
+    by the first point behind it; one without a valid second is a missing marker. A tombstone tells the window that it
+    falls into and then stands itself one window later. Within a micro-batch points are taken in time order.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        state = Steps(**json.loads(held.get[0])) if held.exists else Steps()
+        frame = pd.concat(list(frames)).sort_values("epoch", kind="stable")
+        out = []
+        for e, v, m in zip(frame["epoch"].tolist(), frame["value"].tolist(), frame["marker"].tolist(), strict=True):
+            out += [(key[0], *x) for x in state.step(e, None if m is not None else v, m == "tombstone", window, gap)]
+        held.update((json.dumps(asdict(state)),))
+        yield pd.DataFrame(out, columns=["series_id", "epoch", "mean", "sum", "max", "last", "marker"])
+
+    return points.groupBy("series_id").applyInPandasWithState(run, STEP_SCHEMA, "state string", "append", GroupStateTimeout.NoTimeout)
+
+
+@dataclass
+class Steps:
+    """The open window of a series: what holds now and since when, and the sums so far."""
+
+    since: int | None = None
+    value: float | None = None
+    seconds: int = 0
+    area: float = 0.0
+    top: float | None = None
+    last: float | None = None
+
+    def _hold(self, start: int, end: int) -> None:
+        if self.value is not None and end > start:
+            self.seconds += end - start
+            self.area += self.value * (end - start)
+            self.top = self.value if self.top is None else max(self.top, self.value)
+            self.last = self.value
+
+    def _told(self, end: int) -> tuple:
+        known = self.seconds > 0
+        out = (end, self.area / self.seconds if known else None, self.area if known else None, self.top, self.last, None if known else "missing")
+        self.seconds, self.area, self.top, self.last = 0, 0.0, None, None
+        return out
+
+    def step(self, epoch: int, value: float | None, tombstone: bool, window: int, gap: int) -> list[tuple]:
+        """Rows (epoch, mean, sum, max, last, marker) of the windows that end by this point. A null value ends what holds."""
+        out = []
+        if self.since is not None:
+            if epoch < self.since:
+                return []
+            at, stop = self.since, min(epoch, self.since + gap)
+            while (end := (at // window + 1) * window) <= epoch:
+                self._hold(at, min(end, max(at, stop)))
+                out.append(self._told(end))
+                at = end
+            self._hold(at, max(at, stop))
+        self.since, self.value = epoch, value
+        if tombstone:
+            end = -(-epoch // window) * window
+            if self.seconds > 0:
+                out.append(self._told(end))
+            out.append((end + window, None, None, None, None, "tombstone"))
+            self.since = None
+        return out
+
+
 def rollup(points: DataFrame, keys: list[str], window: int, late: str = "1 hour") -> DataFrame:
     """(keys, epoch, mean, max, n) of tumbling windows labelled with their end, each once its watermark has passed.
 

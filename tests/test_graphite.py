@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftline.functions import graphite as G
-from driftline.operators.series import Series, difference, merge
+from driftline.operators.series import ROW, Series, by_number, difference, merge
 from driftline.operators.timerange import TimeRange
 from driftline.plans import graphite as P
 from driftline.plans import response
@@ -14,16 +14,18 @@ def make(spark, *lists, start=10, step=10, names=None):
     n = max(map(len, lists))
     names = names or [f"s{i}" for i in range(len(lists))]
     rows = [(i, s, s, start + j * step, None if v is None else float(v)) for i, (s, values) in enumerate(zip(names, lists, strict=True)) for j, v in enumerate(values)]
-    df = spark.createDataFrame(rows, "series_idx int, series_id string, base_series_id string, epoch long, value double")
-    return Series(df, TimeRange(start, start + n * step, step))
+    df = spark.createDataFrame(rows, "i int, series_id string, base_series_id string, epoch long, value double")
+    return Series(df.withColumn("place", by_number(F.col("i"))).select(*ROW), TimeRange(start, start + n * step, step))
 
 
 def values(s, idx=0):
-    return [r["value"] for r in s.df.where(F.col("series_idx") == idx).orderBy("epoch").collect()]
+    return [r["value"] for r in s.slice(idx, 1).df.orderBy("epoch").collect()]
 
 
 def ids(s):
-    return [r["series_id"] for r in s.df.select("series_idx", "series_id").distinct().orderBy("series_idx").collect()]
+    found = s.positions().orderBy("position").collect()
+    assert [r["position"] for r in found] == list(range(len(found)))
+    return [r["series_id"] for r in found]
 
 
 N = None
@@ -124,3 +126,26 @@ def test_render(spark):
     assert values(planner.render("nonNegativeDerivative(a.b.x)", "60", "180", max_points=2)) == [0, 2]
     with pytest.raises(ValueError):
         planner.render("nosuch(a.b)", "0", "60")
+
+
+def test_names_sort_the_other_way_round(spark):
+    names = ["a", "ab", "b", "é", "", "a.b", "B"]
+    s = make(spark, *[[1]] * len(names), names=names)
+    assert ids(G.sort_by_name(s.rng, s, reverse=True)) == sorted(names, key=str.encode, reverse=True)
+    assert ids(G.sort_by_name(s.rng, s)) == sorted(names, key=str.encode)
+
+
+def test_lists_divide_place_by_place(spark):
+    a, b = make(spark, [4, 6], [8, N], names=["x", "y"]), make(spark, [2, 0], [4, 1], names=["p", "q"])
+    out = G.divide_series_lists(a.rng, G.sort_by_name(a.rng, a, reverse=True), b)
+    assert ids(out) == ["divideSeries(y,p)", "divideSeries(x,q)"]
+    assert values(out) == [4, N] and values(out, 1) == [1, 6]
+    with pytest.raises(Exception, match="same length"):
+        G.divide_series_lists(a.rng, a, G.limit(b.rng, b, 1)).df.collect()
+
+
+def test_no_task_ranks_all_series(spark):
+    s = make(spark, [1, 2], [3, 4])
+    for f in (lambda: G.sort_by_total(s.rng, s), lambda: G.sort_by_name(s.rng, s), lambda: G.as_percent(s.rng, s), lambda: G.group_by_node(s.rng, s, 0, "sum"), lambda: G.group(s.rng, s, s)):
+        plan = f().df._jdf.queryExecution().executedPlan().toString()
+        assert "SinglePartition" not in plan

@@ -71,7 +71,7 @@ def test_timeshift_and_response(planner):
     result = planner.run(f"SELECT timeshift(sum(s), '1h') AS x {TAIL.replace(', node', '')}")
     body = response.influx(result, "ms")
     assert body["results"][0]["series"][0]["values"][0] == [3610000, 50.0]
-    for bad in ("SELECT nosuch(s) ", "SELECT q ", "SELECT 1 "):
+    for bad in ("SELECT nosuch(s) ", "SELECT q ", "SELECT mean(q) "):
         with pytest.raises(Q.UnsupportedSql):
             planner.run(bad + TAIL)
 
@@ -82,3 +82,27 @@ def test_rollup_choice(spark):
     p = SqlPlanner({"ev": Table(raw, ["node"], ["s"], rollups={3600: coarse})})
     assert got(p, "SELECT s FROM ev WHERE time >= 0 AND time < 7200 GROUP BY time(1h)") == [2, 2]
     assert got(p, "SELECT s FROM ev WHERE time >= 0 AND time < 120 GROUP BY time(1m)") == [1, 1]
+
+
+def test_a_literal_is_a_constant_line(planner):
+    assert got(planner, f"SELECT 3 + 4 AS x {TAIL}") == [7] * 6
+
+
+def test_field_patterns(planner):
+    df = planner.run('SELECT max("*") AS x FROM ev WHERE time >= 10 AND time < 40 AND node = \'n1\' GROUP BY time(5), field fill(null)')["x"]
+    assert {(r["field"], r["epoch"]): r["value"] for r in df.collect()} == {("s", e): v for e, v in zip(range(10, 40, 5), [20, 20, 30, 40, 40, 40], strict=True)} | {("u", e): v for e, v in zip(range(10, 40, 5), [2, 2, 3, 3, 3, 3], strict=True)}
+    assert got(planner, "SELECT sum(\"{s;u}\") FROM ev WHERE time >= 10 AND time < 40 AND node = 'n1' GROUP BY time(5) fill(null)") == [22, 22, 33, 43, 43, 43]
+
+
+def test_null_tags_meet(spark):
+    rows = [(None, 0, 6.0, 2.0), ("a", 0, 8.0, 4.0)]
+    p = SqlPlanner({"ev": Table(spark.createDataFrame(rows, "node string, epoch long, s double, u double"), ["node"], ["s", "u"])})
+    tail = "FROM ev WHERE time >= 0 AND time < 5 GROUP BY time(5), node fill(null)"
+    assert sorted(got(p, f"SELECT s / u {tail}", "node")) == [2, 3]
+    assert sorted(got(p, f"SELECT sum(s) / timeshift(sum(u), '0') {tail}", "node")) == [2, 3]
+
+
+def test_fields_share_one_scan(planner):
+    plan = planner.run(f"SELECT max(s) - min(u) / s AS x {TAIL}")["x"]._jdf.queryExecution().optimizedPlan().toString()
+    both = planner.run(f"SELECT (s + u) / u AS x {TAIL}")["x"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "Join" not in both and both.count("LogicalRDD") + both.count("LocalRelation") == 1

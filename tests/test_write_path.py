@@ -1,11 +1,13 @@
 """Codecs, the sparsifier in batch and on a stream, files, configuration, bands, detection, metadata and the cache."""
 
+import math
 import random
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
 
-from driftline.operators import anomaly, bands, explore, sparse
+from driftline.operators import anomaly, bands, explore, rollup, sparse
 from driftline.operators.cache import RangeCache
 from driftline.operators.resample import resample
 from driftline.operators.timerange import TimeRange
@@ -191,7 +193,7 @@ def test_cache(spark):
     assert cache.compute("q", TimeRange(0, 30, 10), evaluate).count() == 3
     assert cache.compute("q", TimeRange(10, 50, 10), evaluate).count() == 4
     assert cache.compute("q", TimeRange(0, 50, 10), evaluate).count() == 5
-    assert calls == [(0, 30), (30, 50)] and len(cache.entries["q"]) == 1
+    assert calls == [(0, 30), (30, 50)] and [(r.start, r.end) for r, _ in cache.entries["q"]] == [(0, 30), (30, 50)]
     for k in "xyz":
         cache.set(k, TimeRange(0, 10, 10), evaluate(TimeRange(0, 10, 10)))
     assert list(cache.entries) == ["y", "z"]
@@ -201,3 +203,77 @@ def test_generators(spark):
     df = generators.predictable(spark, 0, 3600)
     assert df.where("field = 'steady'").count() == 60 * 6 and df.where("field = 'regular' and value != epoch").count() == 0
     assert generators.random_walk(spark, 2, 50, 0).where("value < 0 or value > 100").count() == 0
+
+
+def test_cache_releases_and_prunes(spark):
+    def evaluate(r):
+        return spark.createDataFrame([(e, float(e)) for e in r.epochs()], "epoch long, value double")
+
+    cache = RangeCache(most=1, points=4)
+    cache.compute("q", TimeRange(0, 30, 10), evaluate)
+    cache.compute("q", TimeRange(0, 60, 10), evaluate)
+    assert [(r.start, r.end) for r, _ in cache.entries["q"]] == [(20, 30), (30, 60)]
+    old = [df for _, df in cache.entries["q"]]
+    assert sorted(r["epoch"] for r in cache.get("q", TimeRange(0, 60, 10))[0].collect()) == [20, 30, 40, 50]
+    cache.compute("other", TimeRange(0, 10, 10), evaluate)
+    assert list(cache.entries) == ["other"] and not any(df.is_cached for df in old)
+    cache.clear()
+    assert not cache.entries
+
+
+def test_whitelist_kinds_and_schema(spark):
+    tags = [{"Cluster": "a", "Node": "n"}, {"tkn1": "a", "tkn2": "m"}, {"Cluster": "b"}]
+    points = spark.createDataFrame([(i, t) for i, t in enumerate(tags)], "id int, tags map<string,string>")
+    assert {r["id"] for r in codec.whitelisted(points, "a").collect()} == {0, 1}
+    assert {r["id"] for r in codec.whitelisted(points, "a", "m").collect()} == {1}
+    names = ["x.m1_rate", "x.p99", "m.total", "m.discount", "clusters.c.admin.value", "a.b.count"]
+    df = spark.createDataFrame([(n,) for n in names], "n string")
+    got = [tuple(r) for r in df.select(codec.metric_kind(F.col("n")), codec.histogram_category(F.col("n")), codec.component(F.col("n"))).collect()]
+    assert got == [("meter", None, "x.m1_rate"), ("histogram", "p99", "x.p99"), ("histogram", "total", "m.total"), ("gauge", None, "m.discount"), ("gauge", None, "c.admin"), ("counter", None, "b.count")]
+    kinds = {r["name"]: r["kind"] for r in explore.information_schema({"t": spark.createDataFrame([("a", 1, 2.0)], "tag string, epoch long, v double")}).collect()}
+    assert kinds == {"tag": "dimension", "epoch": "time", "v": "metric"}
+
+
+def test_adler(spark):
+    keys = ["", "a", "cluster-17", "é€", "x" * 5000, None]
+    df = spark.createDataFrame([(k,) for k in keys], "k string")
+    got = [r[0] for r in df.select(adler_shard(F.col("k"), F.lit(1000))).collect()]
+    assert got == [None if k is None else zlib.adler32(k.encode()) % 1000 for k in keys]
+
+
+def test_rates_run_from_the_last_written_point(spark):
+    points = spark.createDataFrame([("s", e, v) for e, v in ((10, 10.0), (20, 11.0), (30, 12.0), (40, 20.0))], "series_id string, epoch long, value double")
+    rule = sparse.Rule("delta", min_delta=0.1, gap=10**6, forced=10**6, transform=True)
+    got = [(r["epoch"], r["value"], r["marker"], r["decision"]) for r in sparse.decide(points, [rule]).orderBy("epoch").collect()]
+    assert got == [(10, None, "missing", "first"), (20, 0.1, None, "changed"), (30, 0.1, None, "dropped"), (40, 0.45, None, "changed")]
+
+
+def test_grouped_baselines(spark):
+    rows = [(f"c.{g}.{i}", e, float(v)) for g, vs in (("a", (1, 3)), ("b", (10, 30))) for i, v in enumerate(vs) for e in (0, 1)]
+    df = spark.createDataFrame(rows, "series_id string, epoch long, value double")
+    got = {r["series_id"]: r["score"] for r in anomaly.gaussian(df, ["series_id"], tokens=[1]).collect()}
+    assert all(abs(x - (1 - math.exp(-0.5) / math.sqrt(2 * math.pi))) < 1e-12 for x in got.values())
+    assert all(r["score"] is None for r in anomaly.gaussian(df, ["series_id"]).collect())
+
+
+def test_step_rollups_are_those_of_the_batch(spark):
+    rng = random.Random(8)
+    epochs = sorted(rng.sample(range(3600, 36000), 40))
+    points = [(e, float(rng.randrange(100))) for e in epochs]
+    state, told = pipeline.Steps(), {}
+    for e, v in points:
+        for end, mean, total, top, last, marker in state.step(e, v, False, 3600, 10**9):
+            told[end] = (mean, total, top, last, marker)
+    assert state.step(36000, None, True, 3600, 10**9) [-1][0] == 39600
+    df = spark.createDataFrame([("s", e, v) for e, v in points], "series_id string, epoch long, value double")
+    for how, i in (("mean", 0), ("sum", 1), ("max", 2), ("last", 3)):
+        want = {r["epoch"]: r["value"] for r in rollup.rollup(df, ["series_id"], TimeRange(0, 36000, 3600), how).collect()}
+        for end, values in told.items():
+            assert values[i] == pytest.approx(want[end]) if want[end] is not None else values[i] is None, (how, end)
+
+
+def test_step_rollup_markers():
+    state = pipeline.Steps()
+    assert state.step(0, 10.0, False, 60, 30) == []
+    assert state.step(130, 5.0, False, 60, 30) == [(60, 10.0, 300.0, 10.0, 10.0, None), (120, None, None, None, None, "missing")]
+    assert state.step(150, None, True, 60, 30) == [(180, 5.0, 100.0, 5.0, 5.0, None), (240, None, None, None, None, "tombstone")]
