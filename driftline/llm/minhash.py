@@ -11,14 +11,14 @@ from pyspark.sql import functions as F
 
 from . import textnum
 from .components import components, forest
-from .scale import cut, lookup
+from .scale import cut, lookup, skew_safe_lookup
 
 #: Words of a shingle; links have 100 * intersection >= PERCENT * union in the query's contract.
 WORDS, PERCENT = 5, 85
 #: A pair of similarity s shares a band with probability 1 - (1 - s**ROWS)**BANDS: 0.99999 at 0.85, 0.9993 at 0.8.
 BANDS, ROWS = 24, 6
-#: Documents that are compared with one another in one go.
-BLOCK = 512
+#: Documents, and about the shingles, that are compared with one another in one go.
+BLOCK, SPAN = 128, 1 << 20
 _TOP = np.uint64(52)
 
 
@@ -55,29 +55,60 @@ def superminhash(items: np.ndarray, first: np.ndarray, m: int = BANDS * ROWS) ->
     return out
 
 
-def shingle_sets(text: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct k-word shingles (fingerprints, sorted in each set) of each text, and where the sets begin.
+def _shingles(text: np.ndarray, offsets: np.ndarray, k: int, grams_of) -> tuple[np.ndarray, ...]:
+    """Shingles of lower-cased texts and the text of each, not yet distinct; a text with 1 to k - 1 words is its one shingle.
 
-    A text with fewer than k words has its whole word sequence as its one shingle, one without words none.
+    ``grams_of(text, starts, ends)`` gives, for a number of words, columns of shingles of so many words.
     """
-    text = textnum.lower(text)
     starts, ends, first = textnum.words(text, offsets)
-    hashes = textnum.hash_words(text, starts, ends)
-    grams = textnum.hash_grams(hashes, k)
     n = np.diff(first)
-    last = first[1:] - (k - 1)  # no gram may begin there or later
-    owner = np.searchsorted(first, np.arange(len(grams)), side="right") - 1
-    inside = np.arange(len(grams)) < last[owner]
-    parts, owners = [grams[inside]], [owner[inside]]
-    for i in np.flatnonzero((n > 0) & (n < k)):
-        parts.append(textnum.hash_grams(hashes[first[i] : first[i + 1]], int(n[i]), seed=int(n[i])))
-        owners.append(np.array([i]))
-    items, owner = np.concatenate(parts), np.concatenate(owners)
-    order = np.lexsort((items, owner))
-    items, owner = items[order], owner[order]
-    new = np.ones(len(items), bool)
-    new[1:] = (items[1:] != items[:-1]) | (owner[1:] != owner[:-1])
-    return items[new], np.searchsorted(owner[new], np.arange(len(n) + 1))
+    of = grams_of(text, starts, ends)
+    columns = of(k)
+    owner = np.searchsorted(first, np.arange(len(columns[0])), side="right") - 1
+    inside = np.arange(len(owner)) < (first[1:] - (k - 1))[owner]  # no shingle may begin later in its text
+    parts, owners = [[c[inside] for c in columns]], [owner[inside]]
+    for size in range(1, k):
+        short = np.flatnonzero(n == size)
+        if len(short):
+            parts.append([c[first[:-1][short]] for c in of(size)])
+            owners.append(short)
+    return [np.concatenate(c) for c in zip(*parts, strict=True)], np.concatenate(owners)
+
+
+def _distinct(columns: list[np.ndarray], owner: np.ndarray, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """Columns with the first column's values once for each of n owners, sorted; and where the owners begin."""
+    order = np.lexsort((columns[0], owner))
+    columns, owner = [c[order] for c in columns], owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = (columns[0][1:] != columns[0][:-1]) | (owner[1:] != owner[:-1])
+    return [c[new] for c in columns], np.searchsorted(owner[new], np.arange(n + 1))
+
+
+def shingle_sets(text: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct k-word shingles of each text as two independent 64-bit fingerprints, sorted by the first, and where the sets begin.
+
+    A text with fewer than k words has its whole word sequence as its one shingle, one without words none.
+    """
+
+    def grams_of(text, starts, ends):
+        a, b = (textnum.hash_words(text, starts, ends, seed) for seed in (0, 1))
+        return lambda size: [textnum.hash_grams(a, size), textnum.hash_grams(b, size)]
+
+    columns, owner = _shingles(textnum.lower(text), offsets, k, grams_of)
+    (items, others), first = _distinct(columns, owner, len(offsets) - 1)
+    return items, others, first
+
+
+def exact_sets(text: np.ndarray, offsets: np.ndarray, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """As ``shingle_sets``, as numbers that are equal only for equal words; they hold among these texts alone."""
+
+    def grams_of(text, starts, ends):
+        ids = textnum.exact_ids(text, starts, ends)
+        return lambda size: [textnum.exact_grams(ids, size) * k + size - 1]  # sequences of different lengths differ
+
+    columns, owner = _shingles(textnum.lower(text), offsets, k, grams_of)
+    (items,), first = _distinct(columns, owner, len(offsets) - 1)
+    return items, first
 
 
 def _lists(values: np.ndarray, first: np.ndarray) -> pa.Array:
@@ -92,12 +123,12 @@ def signatures(docs: DataFrame, k: int = WORDS) -> DataFrame:
         for batch in batches:
             text, offsets = textnum.flat(batch.column(1))
             for i, j in textnum.groups(offsets):
-                items, first = shingle_sets(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
+                items, others, first = shingle_sets(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
                 n = np.diff(first)
                 sums = np.zeros(len(items) + 1, np.uint64)
                 prints = []
-                for c in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
-                    np.cumsum(textnum.mix(items ^ np.uint64(c)), out=sums[1:])
+                for column, c in ((items, 0x5851F42D4C957F2D), (others, 0x14057B7EF767814F)):
+                    np.cumsum(textnum.mix(column ^ np.uint64(c)), out=sums[1:])
                     prints.append((sums[first[1:]] - sums[first[:-1]]).view(np.int64))
                 full = n > 0
                 bands = np.zeros((len(n), BANDS), np.uint64)
@@ -138,69 +169,115 @@ def linked_pairs(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pe
     return np.nonzero(np.triu(fine, 1))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 80, block: int = BLOCK) -> DataFrame:
-    """One row per id of ``docs``: doc_id, n_shingles, component_id, kept.
+def _members(table: pa.Table) -> tuple[pa.Table, list[np.ndarray]]:
+    """A group's rows by node, and their exact sets."""
+    table = table.combine_chunks().sort_by("node")
+    items, first = exact_sets(*textnum.flat(table["text"]))
+    return table, [items[a:b] for a, b in zip(first[:-1], first[1:], strict=True)]
 
-    Sets are the distinct k-word shingles of whole texts, words being runs without ASCII white space, A-Z as a-z.
-    Equal sets are one node. Nodes that share a band of their SuperMinHash signatures meet in the group of the
-    band bucket's smallest id, where all pairs are compared on full sets, in blocks of at most ``block`` documents to
-    either side; a larger group is spread over all pairs of its blocks, so nothing is capped or skipped. A group only
-    sends on a spanning forest of its links. component_id is the smallest id that links reach; kept marks it.
-    Null and empty texts have no set and are alone. Rows that repeat an id: the smallest row (by text) counts.
-    Null ids are left out, as they cannot name a component. An empty table gives no rows.
+
+def _star(percent: int):
+    """Compares the documents of a part of a group: all pairs in a group of one part, else all with the hub.
+
+    Returns links (a, b), and with b null the documents of divided groups that are not linked with their hub.
     """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    signed = cut(signatures(docs, k))
-    full = signed.where(F.col("n_shingles") > 0)
-    nodes = cut(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
-    rows = nodes.select("node", F.posexplode("bands").alias("band", "key"))
-    buckets = rows.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    buckets = cut(buckets)
-    met = rows.join(buckets.select("band", "key", "hub"), ["band", "key"]).select("hub", "node").distinct()
-    met = cut(met)
-    sizes = met.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("parts"))
-    seats = lookup(met, sizes, ["hub"], F.col("node")).groupBy("node").agg(F.collect_list(F.struct("hub", "parts")).alias("seats"))
-    texts = docs.join(seats.withColumnRenamed("node", "doc_id"), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("seats").alias("seats"))
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Each set to the block pairs of its groups in which it takes part."""
-        for batch in batches:
-            text, offsets = textnum.flat(batch.column(1))
-            for i, j in textnum.groups(offsets):
-                items, first = shingle_sets(text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], k)
-                out: list[tuple] = []
-                places = batch.column(2).slice(i, j - i).to_pylist()
-                for r, (node, seats) in enumerate(zip(batch.column(0).slice(i, j - i).to_pylist(), places, strict=True)):
-                    for seat in seats:
-                        parts = seat["parts"]
-                        own = int(textnum.mix(np.array([node], np.int64).view(np.uint64))[0] % np.uint64(parts))
-                        out += [(seat["hub"], min(own, x), max(own, x), own, node, r) for x in range(parts)]
-                for a in range(0, len(out), 512):
-                    hub, lo, hi, own, node, r = map(list, zip(*out[a : a + 512], strict=True))
-                    sets = [items[first[x] : first[x + 1]] for x in r]
-                    cuts = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
-                    yield pa.RecordBatch.from_arrays([pa.array(hub, pa.int64()), pa.array(lo, pa.int32()), pa.array(hi, pa.int32()), pa.array(own, pa.int32()), pa.array(node, pa.int64()), _lists(np.concatenate(sets), cuts)], names=["hub", "lo", "hi", "own", "node", "items"])
-
-    dealt = texts.select("doc_id", "text", "seats").mapInArrow(deal, "hub long, lo int, hi int, own int, node long, items array<long>")
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks().sort_by("node")
-        node = table["node"].to_numpy()
-        own, lo, hi = table["own"].to_numpy(), table["lo"][0].as_py(), table["hi"][0].as_py()
-        column = table["items"].combine_chunks()
-        column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
-        values, cuts = column.values.to_numpy().view(np.uint64), column.offsets.to_numpy()
-        a, b = linked_pairs([values[x:y] for x, y in zip(cuts[:-1], cuts[1:], strict=True)], own == lo, own == hi, percent)
+        table, sets = _members(table)
+        node, hub = table["node"].to_numpy(), table["hub"][0].as_py()
+        if table["parts"][0].as_py() == 1:
+            every = np.ones(len(node), bool)
+            a, b = linked_pairs(sets, every, every, percent)
+            keep = forest(len(node), a, b)
+            return pa.table({"hub": np.full(keep.sum(), hub), "a": node[a[keep]], "b": pa.array(node[b[keep]], pa.int64())})
+        centre = sets[int(np.searchsorted(node, hub))]
+        size = np.array([len(x) for x in sets])
+        both = np.array([len(np.intersect1d(x, centre, assume_unique=True)) for x in sets])
+        linked = 100 * both >= percent * (size + len(centre) - both)
+        some = node != hub
+        return pa.table({"hub": np.full(some.sum(), hub), "a": np.where(linked, hub, node)[some], "b": pa.array(node[some], pa.int64(), mask=~linked[some])})
+
+    return compare
+
+
+def _cross(percent: int):
+    """Links between the documents on either side of a pair of blocks."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        table, sets = _members(table)
+        node, left = table["node"].to_numpy(), table["left"].to_numpy(zero_copy_only=False)
+        a, b = linked_pairs(sets, left, ~left, percent)
+        a, b = a[node[a] != node[b]], b[node[a] != node[b]]
         keep = forest(len(node), a, b)
         return pa.table({"a": node[a[keep]], "b": node[b[keep]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
 
-    edges = dealt.groupBy("hub", "lo", "hi").applyInArrow(compare, "a long, b long")
-    reached = components(edges)
-    roots = nodes.select("n_shingles", "f1", "f2", "node").join(reached, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("component_id"))
-    brief = signed.groupBy("doc_id").agg(F.min(F.struct("n_shingles", "f1", "f2")).alias("s")).select("doc_id", "s.*")
-    out = lookup(cut(brief), roots, ["n_shingles", "f1", "f2"], F.col("doc_id"))
-    component = F.coalesce("component_id", "doc_id")
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    return compare
+
+
+def _links(met: DataFrame, texts: DataFrame, block: int, percent: int) -> DataFrame:
+    """(a, b): enough links of every group in ``met`` (hub, node, n_shingles) to join what any of its pairs join.
+
+    A group of up to ``block`` documents and SPAN shingles is compared pair by pair. A larger one is dealt into parts,
+    which its hub visits: one copy of each document. Only documents that are not linked with the hub are then compared
+    with all others of their group, in pairs of blocks; nothing is capped or skipped.
+    """
+    sizes = met.groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / block), F.ceil(F.sum("n_shingles") / SPAN)).cast("int").alias("parts"))
+    seats = cut(lookup(met, sizes, ["hub"], F.col("node")).select("hub", "node", "parts"))
+    own = lambda parts, salt: F.pmod(F.xxhash64("node", F.lit(salt)), parts).cast("int")
+    every = lambda parts: F.sequence(F.lit(0), parts - 1)
+    part = F.explode(F.when(F.col("hub") == F.col("node"), every(F.col("parts"))).otherwise(F.array(own(F.col("parts"), 1))))
+    dealt = _with_text(seats, texts).select("hub", "node", "parts", "text", part.alias("part"))
+    found = cut(dealt.groupBy("hub", "part").applyInArrow(_star(percent), "hub long, a long, b long"))
+    edges = found.where(F.col("b").isNotNull()).select("a", "b")
+    loose = cut(found.where(F.col("b").isNull()).select("hub", F.col("a").alias("node")).distinct())
+    if loose.isEmpty():
+        return edges
+    blocks = loose.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
+    rest = lookup(seats.where((F.col("parts") > 1) & (F.col("hub") != F.col("node"))), blocks, ["hub"], F.col("node")).where(F.col("blocks").isNotNull())
+    rest = rest.join(loose.select(F.col("hub").alias("h"), F.col("node").alias("v"), F.lit(True).alias("loose")), (F.col("hub") == F.col("h")) & (F.col("node") == F.col("v")), "left")
+    as_left = F.when(F.col("loose"), F.transform(every(F.col("parts")), lambda p: F.struct(own(F.col("blocks"), 2).alias("q"), p.alias("p"), F.lit(True).alias("left"))))
+    as_right = F.transform(every(F.col("blocks")), lambda q: F.struct(q.alias("q"), own(F.col("parts"), 1).alias("p"), F.lit(False).alias("left")))
+    none = F.array().cast("array<struct<q:int,p:int,left:boolean>>")
+    pairs = _with_text(rest.select("hub", "node", F.concat(F.coalesce(as_left, none), as_right).alias("places")), texts)
+    pairs = pairs.select("hub", "node", "text", F.explode("places").alias("x")).select("hub", "node", "text", "x.*")
+    return edges.union(pairs.groupBy("hub", "q", "p").applyInArrow(_cross(percent), "a long, b long"))
+
+
+def _with_text(seats: DataFrame, texts: DataFrame) -> DataFrame:
+    """``seats`` with each node's text. The seats of a node, at most one for each band, are one row while they meet it."""
+    rest = [c for c in seats.columns if c != "node"]
+    lists = seats.groupBy("node").agg(F.collect_list(F.struct(*rest)).alias("seats"))
+    return lists.join(texts, F.col("node") == F.col("doc_id")).select("node", "text", F.explode("seats").alias("s")).select("node", "text", "s.*")
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = WORDS, percent: int = 80, block: int = BLOCK) -> DataFrame:
+    """One row per id of ``docs``: doc_id, n_shingles, component_id, kept; and one for each row without an id.
+
+    Sets are the distinct k-word shingles of whole texts, words being runs without ASCII white space, A-Z as a-z.
+    Equal sets (by 128-bit fingerprints) are one node. Nodes that share a band of their SuperMinHash signatures meet in
+    the group of the band bucket's smallest id, where links are confirmed on the words themselves (see ``_links``).
+    component_id is the smallest id that links reach; kept marks it.
+    Null and empty texts have no set and are alone. Rows that repeat an id: the smallest text counts. Rows without an
+    id cannot name a component and are linked with nothing: component_id null, kept. An empty table gives no rows.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    named = docs.where(F.col("doc_id").isNotNull())
+    counts = named.agg(F.count("doc_id"), F.countDistinct("doc_id")).first()
+    if counts[0] != counts[1]:
+        named = named.groupBy("doc_id").agg(F.min("text").alias("text"))
+        docs = named.union(docs.where(F.col("doc_id").isNull()))
+    signed = cut(signatures(docs, k))
+    full = signed.where((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    nodes = cut(full.groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("node"), F.min("bands").alias("bands")))
+    rows = nodes.select("node", "n_shingles", F.posexplode("bands").alias("band", "key"))
+    buckets = cut(rows.groupBy("band", "key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1))
+    met = skew_safe_lookup(rows, buckets, ["band", "key"], "n", nodes.count() * BANDS, F.col("node"))
+    met = cut(met.where(F.col("hub").isNotNull()).select("hub", "node", "n_shingles").distinct())
+    reached = components(_links(met, named, block, percent))
+    roots = nodes.select("n_shingles", "f1", "f2", "node").join(reached, "node", "left").select("n_shingles", "f1", "f2", F.coalesce("component", "node").alias("root"))
+    out = lookup(signed.select("doc_id", "n_shingles", "f1", "f2"), roots, ["n_shingles", "f1", "f2"], F.coalesce("doc_id", F.lit(0)))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -211,3 +288,23 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
 
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"), percent=PERCENT)
+
+
+#: Sets by their words, compared pair by pair. Shingles are joined by line feeds, which no word holds.
+ORACLE_SQL = r"""
+WITH w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 5 THEN [array_to_string(ws, chr(10))]
+        ELSE list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], chr(10)))) END AS gs FROM w),
+n AS (SELECT doc_id, len(gs) AS n FROM g),
+s AS (SELECT min(doc_id) AS node, n, gs FROM (SELECT doc_id, len(gs) AS n, list_sort(gs) AS gs FROM g) WHERE n > 0 GROUP BY n, gs),
+e AS (SELECT node, n, unnest(gs) AS h FROM s),
+r AS (SELECT e.node, e.n, e.h, row_number() OVER (PARTITION BY e.node ORDER BY f.f, e.h) AS i FROM e JOIN (SELECT h, count(*) AS f FROM e GROUP BY h) f ON e.h = f.h),
+p AS (SELECT node, n, h FROM r WHERE i <= n - (n * 85 + 99) // 100 + 1),
+c AS (SELECT DISTINCT a.node AS a, b.node AS b FROM p a JOIN p b ON a.h = b.h AND a.node < b.node AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)),
+o AS (SELECT c.a, c.b, count(*) AS o FROM c JOIN e x ON x.node = c.a JOIN e y ON y.node = c.b AND y.h = x.h GROUP BY c.a, c.b),
+l AS (SELECT a, b FROM o JOIN s x ON x.node = a JOIN s y ON y.node = b WHERE 100 * o >= 85 * (x.n + y.n - o)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (WITH RECURSIVE t AS (SELECT node AS a, node AS b FROM s WHERE node IN (SELECT a FROM both_ways) UNION SELECT t.a, x.b FROM t JOIN both_ways x ON x.a = t.b) SELECT a, min(b) AS c FROM t GROUP BY a),
+of_set AS (SELECT d.doc_id, d.n, s.node FROM (SELECT doc_id, len(gs) AS n, list_sort(gs) AS gs FROM g) d LEFT JOIN s ON s.gs = d.gs AND s.n = d.n)
+SELECT o.doc_id, o.n AS n_shingles, coalesce(r.c, o.node, o.doc_id) AS component_id, o.doc_id = coalesce(r.c, o.node, o.doc_id) AS kept FROM of_set o LEFT JOIN reach r ON r.a = o.node
+"""

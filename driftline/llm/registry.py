@@ -18,6 +18,7 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op10_minhash": minhash.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }

@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A key counts as hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer hot keys than this.
-HOT_PARTS = 1000
-
+from ..durable import cut
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's checkpoint folder (shared and replicated, so lost executors cost nothing).
+__all__ = ["cut", "lookup", "release", "skew_safe_lookup"]
 
-    Only where no folder is configured, as in tests on one machine, a temporary one is set.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="driftline-checkpoint-"))
-    return df.checkpoint()
+#: A key counts as hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer hot keys than this.
+HOT_PARTS = 1000
 
 
 def release(spark: SparkSession) -> None:

@@ -39,6 +39,11 @@ def layout(text: np.ndarray, offsets: np.ndarray, window: int = WINDOW, phrase:
     return starts, ends, first, hashes, grams, at, at + chosen[at]
 
 
+def _second(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Word hashes that are independent of those of ``layout``."""
+    return textnum.hash_words(text, starts, ends, 1)
+
+
 def _joined(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
     return hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])).hexdigest()
 
@@ -105,9 +110,9 @@ def locate(hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, wanted: np.
     return hit
 
 
-def _windows(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """128-bit fingerprints of the windows that start at ``at``."""
-    return tuple(textnum.hash_grams(hashes, WINDOW, seed)[at].view(np.int64) for seed in (1, 2))
+def _windows(hashes: np.ndarray, others: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128-bit fingerprints of the windows that start at ``at``, from two independent hashes of each word."""
+    return tuple(textnum.hash_grams(h, WINDOW)[at].view(np.int64) for h in (hashes, others))
 
 
 def _segments(w1: np.ndarray, w2: np.ndarray, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -142,11 +147,11 @@ def _places(batch: pa.RecordBatch, find: bool):
     text, offsets = textnum.flat(batch.column(1))
     for i, j in textnum.groups(offsets, SHARD):
         part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-        _, _, first, hashes, grams, at, chosen = layout(part, cuts)
+        starts, ends, first, hashes, grams, at, chosen = layout(part, cuts)
         wanted = np.unique(batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
         hit = locate(hashes, first, grams, wanted, chosen)[chosen] if find else np.isin(grams[chosen], wanted)
         at, chosen = at[hit], chosen[hit]
-        yield batch.column(0).slice(i, j - i).to_numpy(), first, at, grams[chosen].view(np.int64), chosen, *_windows(hashes, at)
+        yield batch.column(0).slice(i, j - i).to_numpy(), first, at, grams[chosen].view(np.int64), chosen, *_windows(hashes, _second(part, starts, ends), at)
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +195,7 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, j in textnum.groups(offsets):
             part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
             starts, ends, first, hashes, _, at, chosen = layout(part, cuts)
-            w1, w2 = _windows(hashes, at)
+            w1, w2 = _windows(hashes, _second(part, starts, ends), at)
             owner = np.searchsorted(first, at, side="right") - 1
             bounds = np.searchsorted(owner, np.arange(j - i + 1))
             bad = np.ones(len(at), bool)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Bytes looked at in one go; every temporary array is a small multiple of this, however long a text is.
+#: Bytes looked at in one go. A longer text is alone and takes arrays of about its own length, and of its number of words.
 PIECE = 1 << 20
 
 
@@ -65,15 +67,6 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _powers(n: int, base: np.uint64) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-_INVERSE = np.uint64(pow(int(_ODD), -1, 1 << 64))
-
-
 def words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Starts and ends of the runs of bytes other than blank and \\t \\n \\v \\f \\r, and each text's first word (n + 1 numbers)."""
     inside = np.ones(len(text) + 2, bool)
@@ -90,24 +83,74 @@ def words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return starts, ends, np.searchsorted(starts, offsets)
 
 
-def hash_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit fingerprints of words: a polynomial in their bytes, then mixed with the length."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sums = np.zeros(len(text) + 1, np.uint64)
-    np.cumsum((text.astype(np.uint64) + np.uint64(1)) * _powers(len(text), _ODD), out=sums[1:])
-    back = _powers(len(text), _INVERSE)
-    return mix((sums[ends] - sums[starts]) * back[starts] + (ends - starts).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+_FILL = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
+#: Words of more bytes are put through BLAKE2b instead.
+LONG = 64
+
 
+def hash_words(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit fingerprints of words; different seeds give independent ones.
 
-def hash_grams(hashes: np.ndarray, k: int, seed: int = 0) -> np.ndarray:
-    """Fingerprints of all k consecutive hashes (len - k + 1 numbers, none if there are fewer)."""
+    The state begins with seed and length and takes eight bytes at a time, through a bijection of 64 bits that every
+    bit goes into. So two words of up to eight bytes and the same length never collide, and longer ones by chance only.
+    """
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    whole = np.zeros(len(text) + 8, np.uint8)
+    whole[: len(text)] = text
+    eight = np.ndarray((len(text) + 1,), "<u8", buffer=whole, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    h = mix(size.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + mix(np.array([seed], np.uint64) + _ODD))
+    h = mix(h ^ (eight[starts] & _FILL[np.minimum(size, 8)]))
+    more, at = np.flatnonzero(size > 8), 8
+    while len(more) and at < LONG:
+        left = size[more] - at
+        h[more] = mix(h[more] ^ (eight[starts[more] + at] & _FILL[np.minimum(left, 8)]))
+        more, at = more[left > 8], at + 8
+    for i in more.tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(text[starts[i] : ends[i]].tobytes(), digest_size=8, salt=seed.to_bytes(8, "little")).digest(), "little")
+    return h
+
+
+def _join(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Fingerprints of neighbours as one."""
+    return mix(a * _ODD + b)
+
+
+def hash_grams(hashes: np.ndarray, k: int) -> np.ndarray:
+    """Fingerprints of all k consecutive hashes (len - k + 1 numbers, none if there are fewer), joined by doubling."""
     n = len(hashes) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    base = np.uint64((0xA24BAED4963EE407 + 2 * seed * 0x9FB21C651E98DF25) & (2**64 - 1) | 1)
-    out = np.zeros(n, np.uint64)
-    for i in range(k):
-        out *= base
-        out += hashes[i : i + n]
-    return mix(out ^ np.uint64(seed))
+    levels, width = {1: hashes}, 1
+    while 2 * width <= k:
+        below = levels[width]
+        levels[2 * width] = _join(below[:-width], below[width:])
+        width *= 2
+    out, at = levels[width][:n], width
+    while at < k:
+        width //= 2
+        if (k - at) & width:
+            out, at = _join(out, levels[width][at : at + n]), at + width
+    return mix(out ^ np.uint64(k))
+
+
+def exact_ids(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Numbers of words that are equal if, and only if, the words' bytes are."""
+    seen: dict[bytes, int] = {}
+    raw = text.tobytes()
+    return np.fromiter((seen.setdefault(raw[s:e], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
+
+
+def exact_grams(ids: np.ndarray, k: int) -> np.ndarray:
+    """As ``hash_grams`` of exact numbers, without any collision: equal if, and only if, all k numbers are."""
+    n = len(ids) - k + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    both = lambda a, b: np.unique(a * (b.max() + 1) + b, return_inverse=True)[1]  # noqa: E731  both are ranks, so this fits 64 bits
+    out, at = ids, 1
+    while at < k:
+        more = min(at, k - at)
+        out = both(out[: len(ids) - at - more + 1], out[at : len(ids) - more + 1]) if more == at else both(out[:n], exact_grams(ids, more)[at : at + n])
+        at += more
+    return out

@@ -86,8 +86,10 @@ def test_near_duplicates(spark):
 def test_near_duplicates_odd_rows(spark):
     rows = [(1, "a b c d e f", 0), (1, "a b c d e f", 0), (None, "a b c d e f", 0), (2, "A b c d e f", 1), (3, None, 1)]
     frame = spark.createDataFrame(rows, "doc_id long, text string, component_id long")
-    got = sorted(tuple(r) for r in minhash.near_duplicates(frame).collect())
-    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)]
+    rows = [tuple(r) for r in minhash.near_duplicates(frame).collect()]
+    assert (None, 2, None, True) in rows and len(rows) == 4
+    got = sorted(r for r in rows if r[0] is not None)
+    assert got == [(1, 2, 1, True), (2, 2, 1, False), (3, 0, 3, True)], got
     assert minhash.near_duplicates(frame.limit(0)).count() == 0
     assert sorted(r["component_id"] for r in minhash.drop_near_duplicates(frame).collect()) == [0, 0, 0, 1]
 
@@ -196,3 +198,64 @@ def test_components(spark):
     nodes = {x for e in links if e[0] != e[1] for x in e}
     got = {r["node"]: r["component"] for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {n: c for n, c in root_of(links, {x for e in links for x in e}).items() if n in nodes}
+
+
+def thue_morse(n, swap=False):
+    out = "ba" if swap else "ab"
+    turn = str.maketrans("ab", "ba")
+    out = out[0]
+    while len(out) < n:
+        out += out.translate(turn)
+    return out
+
+
+def test_words_that_defeat_polynomials(spark):
+    """Thue-Morse words collide under every polynomial modulo 2^64; neither they nor sequences of two such words may here."""
+    pairs = [(thue_morse(n), thue_morse(n, True)) for n in (1, 8, 16, 64, 128, 1024, 2048, 4096)]
+    text, offsets = textnum.flat(pa.array([x for p in pairs for x in p]))
+    starts, ends, _ = textnum.words(text, offsets)
+    for seed in (0, 1):
+        h = textnum.hash_words(text, starts, ends, seed)
+        assert len(set(h.tolist())) == len(h)
+    docs = [(i, w) for i, w in enumerate(x for p in pairs[-3:] for x in p)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    assert all(r["kept"] for r in minhash.near_duplicates(frame).collect())
+    sequence = [" ".join(thue_morse(4096, swap)) for swap in (False, True)]
+    h = [textnum.hash_grams(textnum.hash_words(*(lambda f: (f[0], *textnum.words(*f)[:2]))(textnum.flat(pa.array([x])))), 4096)[0] for x in sequence]
+    assert h[0] != h[1]
+    a, b = pairs[-1]
+    rows = [(1, " ".join([a] * 20)), (2, " ".join([b] * 20)), (3, " ".join([a] * 20))]
+    got = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: 0, 2: 0, 3: 20}
+
+
+def test_fingerprints_are_those_of_words():
+    rng = random.Random(3)
+    texts = [" ".join(rng.choice(["a", "bb", "c" * 9, "d" * 70, "é"]) for _ in range(rng.randint(0, 40))) for _ in range(30)]
+    text, offsets = textnum.flat(pa.array(texts))
+    starts, ends, first = textnum.words(text, offsets)
+    ids = textnum.exact_ids(text, starts, ends)
+    hashes = textnum.hash_words(text, starts, ends)
+    raw = text.tobytes()
+    words = [raw[a:b] for a, b in zip(starts, ends, strict=True)]
+    for k in (1, 2, 3, 5, 6, 7, 20):
+        want = [tuple(words[i : i + k]) for i in range(len(words) - k + 1)]
+        for got in (textnum.hash_grams(hashes, k), textnum.exact_grams(ids, k)):
+            assert len(got) == len(want) and len(set(zip(got.tolist(), want, strict=True))) == len(set(want)) == len(set(got.tolist()))
+    items, _, cuts = minhash.shingle_sets(text, offsets)
+    exact, exact_cuts = minhash.exact_sets(text, offsets)
+    assert cuts.tolist() == exact_cuts.tolist()
+
+
+def test_a_large_group_visits_its_hub(spark):
+    """One base and many copies, some too far from it: parts of a divided group, and the crossing of those left over."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(200)]
+    docs = []
+    for i in range(60):
+        w = list(base)
+        at = rng.randrange(180)
+        w[at : at + i // 3] = [f"x{i}_{j}" for j in range(i // 3)]
+        docs.append((i, " ".join(w)))
+    check_near(spark, docs, 85, block=7)
+    check_near(spark, docs, 80, block=2)
