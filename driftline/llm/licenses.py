@@ -2,82 +2,83 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .license_signatures import ANY_KEYWORD, PARTS, REACH, SEPARATORS, rules
+from .matches import let, sums_before
 
 # The base phrases and their labels.
 PHRASES = [("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit")]
 # Characters of words and separators before lower-casing.
 _W, _S = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _DETECTION = "array<struct<start:bigint,stop:bigint,value:string,label:string,priority:int,confidence:double>>"
-_SPAN = "array<struct<start:bigint,stop:bigint,before:bigint,after:bigint>>"
-
-
 def _phrase(phrase: str) -> str:
     return f"(?<!{_W})" + _S.join(f"(?i:{w})" for w in phrase.split()) + f"(?!{_W})"
 
 
-def _let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is computed once, also inside lambdas."""
-    return F.transform(F.array(value), use)[0]
+#: Characters of a text that are looked at together, and how far beyond them on either side.
+CHUNK, SIDE = 4096, 2 * REACH
+_WHOLE = f"(?s).{{1,{CHUNK}}}"
 
 
 def _blanks(x: Column) -> Column:
-    return F.length(x) - F.length(F.replace(x, F.lit(" ")))
+    return (F.length(x) - F.length(F.replace(x, F.lit(" ")))).cast("long")
 
 
-def _worded(text: Column, regex: Column, at: Column, blanks: Column) -> Column:
-    """Matches of a pattern in a text that begins at ``at`` after so many ``blanks``: array of _SPAN, with the blanks before either end."""
+def _worded(text: Column, regex: Column) -> Column:
+    """Matches of a pattern in a short text: array of (start, stop, before, after), with the blanks before either end."""
     found, pieces = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, F.lit(-1))
+    spans = "array<struct<start:bigint,stop:bigint,before:bigint,after:bigint>>"
 
     def step(done: Column, x: Column) -> Column:
         start, before = done["at"] + F.length(x["piece"]), done["blanks"] + _blanks(x["piece"])
         stop, after = start + F.length(x["value"]), before + _blanks(x["value"])
         return F.struct(stop.alias("at"), after.alias("blanks"), F.concat(done["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), before.alias("before"), after.alias("after")))).alias("out"))
 
-    pairs = _let(found, lambda values: F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda piece, value: F.struct(piece.alias("piece"), value.alias("value"))))
-    empty = F.struct(at.cast("long").alias("at"), blanks.cast("long").alias("blanks"), F.array().cast(_SPAN).alias("out"))
-    return F.aggregate(pairs, empty, step, lambda done: done["out"])
+    pairs = let(found, lambda values: F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda piece, value: F.struct(piece.alias("piece"), value.alias("value"))))
+    zero = F.lit(0).cast("long")
+    return F.aggregate(pairs, F.struct(zero.alias("at"), zero.alias("blanks"), F.array().cast(spans).alias("out")), step, lambda done: done["out"])
 
 
-def _regions(plain: Column) -> Column:
-    """Parts of the text that hold all matches: keywords less than 2 REACH apart are in one, which reaches REACH to both sides.
+def _chunks(plain: Column) -> Column:
+    """The parts of a text that hold a keyword: array of (text, first, start, blanks).
 
-    The pattern finds single keywords and has no loop around them, as Java's stack grows with each turn of such a loop.
+    ``text`` is a chunk with SIDE characters of its neighbours, ``first`` the place of the chunk, ``start`` that of
+    ``text``, and ``blanks`` those before it. A match is shorter than REACH, so one that begins in a chunk, and all that
+    could contain it, lie in its part: the work is linear in the text, and what happens inside a part is bounded.
     """
 
-    def spaced(keys: Column) -> Column:
-        far = F.lit(2 * REACH)
-        behind = F.zip_with(keys, F.slice(keys, 2, F.size(keys)), lambda x, y: F.struct(x["stop"].alias("stop"), (y["start"].isNull() | (y["start"] - x["stop"] >= far)).alias("edge")))
-        ahead = F.zip_with(keys, F.concat(F.array(F.lit(None).cast("long")), F.transform(keys, lambda x: x["stop"])), lambda x, y: F.struct(x["start"].alias("start"), x["before"].alias("before"), (x["start"].isNotNull() & (y.isNull() | (x["start"] - y >= far))).alias("edge")))
-        first, last = F.filter(ahead, lambda x: x["edge"]), F.filter(behind, lambda x: x["edge"])
-        return F.zip_with(first, last, lambda x, y: F.struct(x["start"].alias("key"), x["before"].alias("before"), F.greatest(x["start"] - REACH, F.lit(0)).alias("start"), (y["stop"] + REACH).alias("stop")))
+    def numbered(chunks: Column) -> Column:
+        before = sums_before(F.transform(chunks, _blanks))
+
+        def part(c: Column, i: Column) -> Column:
+            lead = F.when(i > 0, F.right(F.get(chunks, i - 1), F.lit(SIDE))).otherwise("")
+            return F.struct(lead.alias("lead"), F.concat(lead, c, F.coalesce(F.left(F.get(chunks, i + 1), F.lit(SIDE)), F.lit(""))).alias("text"), i.alias("i"))
+
+        def placed(x: Column, b: Column) -> Column:
+            first = x["i"].cast("long") * CHUNK
+            return F.struct(x["text"].alias("text"), first.alias("first"), (first - F.length(x["lead"])).alias("start"), (b - _blanks(x["lead"])).alias("blanks"))
 
-    def read(x: Column) -> Column:
-        text = F.substring(plain, x["start"].cast("int") + 1, (x["stop"] - x["start"]).cast("int"))
-        lead = F.substring(plain, x["start"].cast("int") + 1, (x["key"] - x["start"]).cast("int"))
-        return F.struct(x["start"].alias("start"), (x["before"] - _blanks(lead)).alias("before"), text.alias("text"))
+        return F.zip_with(F.transform(chunks, part), before, placed)
 
-    keys = _worded(plain, F.lit(ANY_KEYWORD), F.lit(0), F.lit(0))
-    return F.transform(_let(keys, spaced), read)
+    return F.filter(let(F.regexp_extract_all(plain, F.lit(_WHOLE), F.lit(0)), numbered), lambda x: x["text"].rlike(ANY_KEYWORD))
 
 
 def _matches(plain: Column) -> Column:
-    """Spans of all gated rules in a text whose runs of separators are one blank each."""
+    """Resolved spans of all gated rules in a text whose runs of separators are one blank each."""
     table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for k, r, p, label, c in rules()])
 
-    def found(region: Column) -> Column:
+    def found(part: Column) -> Column:
         def by_rule(r: Column) -> Column:
-            at = _worded(region["text"], r["regex"], region["start"], region["before"])
-            return F.transform(at, lambda x: F.struct(*(x[c].alias(c) for c in ("start", "stop", "before", "after")), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
+            at = _worded(part["text"], r["regex"])
+            base = lambda x, name, by: (x[name] + part[by]).alias(name)
+            return F.transform(at, lambda x: F.struct(base(x, "start", "start"), base(x, "stop", "start"), base(x, "before", "blanks"), base(x, "after", "blanks"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
 
-        return F.flatten(F.transform(F.filter(table, lambda r: F.contains(region["text"], r["keyword"])), by_rule))
+        spans = F.flatten(F.transform(F.filter(table, lambda r: F.contains(part["text"], r["keyword"])), by_rule))
+        return F.filter(_resolved(spans), lambda x: (x["start"] >= part["first"]) & (x["start"] < part["first"] + CHUNK))
 
-    return F.flatten(F.transform(_regions(plain), found))
+    return F.flatten(F.transform(_chunks(plain), found))
 
 
 def _resolved(spans: Column) -> Column:
@@ -103,42 +104,32 @@ def _resolved(spans: Column) -> Column:
         cells = F.array_distinct(F.transform(spans, lambda x: F.floor(x["start"] / REACH)))
         return F.flatten(F.transform(F.transform(cells, near), kept))
 
-    return _let(spans, in_cells)
+    return let(spans, in_cells)
 
 
 def _detections(text: Column) -> Column:
     """Resolved spans of all gated rules, by start, in code points of ``text`` (lower case); a rule's blank is any run of separators."""
     run = f"{SEPARATORS}++"
-    block = 256
 
     def placed(x: Column) -> Column:
-        text, sizes, sums, spans = x["text"], x["sizes"], x["sums"], x["spans"]
+        chunks, longer, spans = x["chunks"], x["longer"], x["spans"]
+        moved = lambda place, runs: place + F.get(longer, runs.cast("int"))
 
-        def moved(place: Column, runs: Column) -> Column:
-            whole = F.floor(runs / block)
-            rest = F.slice(sizes, (whole * block + 1).cast("int"), (runs % block).cast("int"))
-            return place + F.get(sums, whole.cast("int")) + F.aggregate(rest, F.lit(0).cast("long"), lambda s, n: s + n)
+        def read(start: Column, stop: Column) -> Column:
+            """What stands there; few spans are so long that the whole text must be asked."""
+            i = F.floor(start / CHUNK).cast("int")
+            near = F.substring(F.concat(F.get(chunks, i), F.coalesce(F.get(chunks, i + 1), F.lit(""))), (start - i * CHUNK + 1).cast("int"), (stop - start).cast("int"))
+            return F.when(stop <= (i + 2) * CHUNK, near).otherwise(F.substring(x["text"], start.cast("int") + 1, (stop - start).cast("int")))
 
         ends = F.transform(spans, lambda s: F.struct(moved(s["start"], s["before"]).alias("start"), moved(s["stop"], s["after"]).alias("stop"), s.alias("s")))
-        return F.array_sort(F.transform(ends, lambda e: F.struct(
-            e["start"].alias("start"), e["stop"].alias("stop"), F.substring(text, e["start"].cast("int") + 1, (e["stop"] - e["start"]).cast("int")).alias("value"),
-            *(e["s"][c].alias(c) for c in ("label", "priority", "confidence")))))
-
-    def summed(x: Column) -> Column:
-        """What each block of runs, and all before it, are longer than their blanks."""
-        blocks = F.sequence(F.lit(0), F.floor(F.size(x["sizes"]) / block).cast("int"))
-        each = F.transform(blocks, lambda i: F.aggregate(F.slice(x["sizes"], i * block + 1, block), F.lit(0).cast("long"), lambda s, n: s + n))
-        first = F.array(F.lit(0).cast("long"))
-        sums = F.aggregate(each, first, lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-        return F.struct(x["text"].alias("text"), x["sizes"].alias("sizes"), sums.alias("sums"), x["spans"].alias("spans"))
+        return F.array_sort(F.transform(ends, lambda e: F.struct(e["start"].alias("start"), e["stop"].alias("stop"), read(e["start"], e["stop"]).alias("value"), *(e["s"][c].alias(c) for c in ("label", "priority", "confidence")))))
 
     def of(text: Column) -> Column:
-        sizes = F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda r: (F.length(r) - 1).cast("long"))
-        spans = _let(F.regexp_replace(text, run, " "), lambda plain: _resolved(_matches(plain)))
-        return F.struct(text.alias("text"), sizes.alias("sizes"), spans.alias("spans"))
+        # what the first n runs of separators are longer than their blanks, for each n
+        longer = sums_before(F.concat(F.transform(F.regexp_extract_all(text, F.lit(run), F.lit(0)), lambda r: (F.length(r) - 1).cast("long")), F.array(F.lit(0).cast("long"))))
+        return F.struct(text.alias("text"), F.regexp_extract_all(text, F.lit(_WHOLE), F.lit(0)).alias("chunks"), longer.alias("longer"), _matches(F.regexp_replace(text, run, " ")).alias("spans"))
 
-    found = _let(_let(text, of), summed)
-    return _let(found, placed)
+    return let(let(text, of), placed)
 
 
 def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,3 +176,19 @@ def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.when(F.col("n_base") > 0, 0.9).otherwise(0.0)
     score = F.greatest(base, F.coalesce(F.array_max(F.transform("detections", lambda x: x["confidence"])), F.lit(0.0)))
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("base_labels")).alias("base_labels"), joined(labels).alias("labels"), score.alias("score"))
+
+
+def op3_licenses_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of ``op3_licenses`` that the base phrases fix, for comparison with SQL."""
+    return op3_licenses(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+_STANDS = " UNION ALL ".join(
+    f"SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, '{label}' AS label, w, {len(phrase.split())} AS k, [{', '.join(repr(x) for x in phrase.split())}] AS p FROM d" for phrase, label in PHRASES)
+BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+s AS (SELECT doc_id, i - 1 AS i, label FROM ({_STANDS}) WHERE w[i] = p[1] AND w[i:i + k - 1] = p)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, count(s.i) AS n_base, CAST(min(s.i) AS BIGINT) AS first_word, CAST(max(s.i) AS BIGINT) AS last_word,
+       coalesce(string_agg(DISTINCT label, ',' ORDER BY label), '') AS base_labels
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id GROUP BY d.doc_id, w
+"""

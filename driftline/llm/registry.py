@@ -12,6 +12,8 @@ QUERIES = {
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_embedding_dedup": embedding_dedup.op6_embedding_dedup,
     "op7_pii": pii.op7_pii,
+    "license_base": licenses.op3_licenses_base,
+    "pii_base": pii.op7_pii_base,
     "op8_substring_dedup": substring_dedup.op8_substring_dedup,
     "op9_packing": packing.op9_packing,
     "op10_minhash": minhash.op10_minhash,
@@ -20,5 +22,7 @@ QUERIES = {
 ORACLES = {
     "op10_minhash": minhash.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
+    "license_base": licenses.BASE_SQL,
+    "pii_base": pii.BASE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
