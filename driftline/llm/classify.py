@@ -13,6 +13,8 @@ from . import subword, textnum
 
 #: At most about so many rows of a table are learned from, all classes together.
 SAMPLE = 4000
+#: Longer texts are not learned from, and no more classes than this, the most frequent ones.
+LONGEST, CLASSES = 100_000, 1000
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -20,32 +22,54 @@ def fold(id_col: str, folds: int) -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string").cast("binary")), F.lit(folds)), F.lit(0))
 
 
-def sample_per_class(rows: DataFrame, id_col: str, class_col: str, most: int = SAMPLE) -> DataFrame:
-    """Rows with a class, about ``most`` or fewer, the same in every run: for each class those of the lowest id hashes.
+def class_counts(rows: DataFrame, class_col: str, classes: int = CLASSES) -> dict:
+    """Rows of each class, of the ``classes`` most frequent ones: so many numbers at most reach the driver."""
+    counted = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().orderBy(F.col("count").desc(), class_col).limit(classes)
+    return {r[0]: r[1] for r in counted.collect()}
 
-    Only the class counts reach the driver. The rarest classes keep all their rows; what they leave is divided
-    among the others.
+
+def sample_per_class(rows: DataFrame, id_col: str, class_col: str, most: int = SAMPLE, text_col: str | None = None, shares: dict | None = None) -> DataFrame:
+    """Rows with a class, never more than ``most``, the same in every run: for each class those of the lowest hashes of id and text.
+
+    The rarest classes keep all their rows; what they leave is divided among the others, unless ``shares`` says how many
+    rows a class gets. Rows that repeat id, class and text are one. Texts of more than LONGEST characters are not taken,
+    and the CLASSES most frequent classes only, so what is collected of a sample has a bound.
     """
-    counts = {r[0]: r[1] for r in rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().collect()}
-    left, share = most, {}
+    rows = rows.where(F.col(class_col).isNotNull())
+    if text_col is not None:
+        rows = rows.where(F.length(text_col) <= LONGEST)
+    counts, left, rate = class_counts(rows, class_col), most, {}
     for i, (label, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], str(x[0])))):
-        take = min(n, left // (len(counts) - i))
-        share[label] = take / n
+        take = min(n, left // (len(counts) - i)) if shares is None else min(n, shares.get(label, 0))
+        rate[label] = take / n
         left -= take
-    if not share:
+    if not rate:
         return rows.limit(0)
-    rate = F.create_map(*[x for label, s in share.items() for x in (F.lit(label), F.lit(float(s)))])[F.col(class_col)]
-    dice = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(F.col(class_col).isNotNull() & (dice < rate))
+    rates = F.create_map(*[x for label, s in rate.items() for x in (F.lit(label), F.lit(float(s)))])[F.col(class_col)]
+    same = [F.col(id_col).cast("string"), F.col(class_col).cast("string")] + ([F.xxhash64(text_col).cast("string")] if text_col else [])
+    dice = (F.pmod(F.xxhash64(*[F.coalesce(x, F.lit("")) for x in same]), F.lit(1 << 30)) + 1) / float(1 << 30)
+    chosen = rows.withColumn("__dice", dice / rates).where(F.col("__dice") <= 1)
+    chosen = chosen.withColumn("__same", F.xxhash64(*same)).dropDuplicates(["__same", "__dice"])
+    return chosen.orderBy("__dice", "__same").limit(most).select(*rows.columns)
 
 
 def pairs(rows: DataFrame, id_col: str, text_col: str, class_col: str) -> tuple[tuple[np.ndarray, np.ndarray], list]:
-    """Texts (as flat bytes) and classes of a bounded frame, by id and text, so that training repeats exactly."""
+    """Texts (as flat bytes) and classes of a sample, by id and text, so that training repeats exactly."""
     table = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(class_col).alias("c")).toArrow()
     table = table.sort_by([("i", "ascending"), ("t", "ascending")])
     return textnum.flat(table["t"]), table["c"].to_pylist()
 
 
+def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, text, and the columns of ``chosen``) for a sample of ids: one text for each, the smallest that is not null or over LONGEST.
+
+    ``chosen`` is bounded and broadcast; texts are not shuffled but for the chosen ones, combined before that.
+    """
+    rows = docs.where(F.length(text_col) <= LONGEST).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
+    rest = [c for c in chosen.columns if c != "id"]
+    return rows.groupBy("id", *rest).agg(F.min("text").alias("text"))
+
+
 def apply_texts(rows: DataFrame, text_col: str, score: Callable, kept: list[str], schema: str) -> DataFrame:
     """``kept`` columns and those that ``score(text bytes, offsets)`` returns (a list of arrays) for each batch of whole texts."""
     names = [x.split()[0] for x in schema.split(",")]

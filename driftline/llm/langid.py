@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Callable
 
 import numpy as np
@@ -13,15 +13,14 @@ from .classify import SAMPLE, apply_texts, fold, pairs, posteriors, sample_per_c
 from .subword import Model, train_texts
 
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
 
 
 def fit_languages(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", most: int = SAMPLE) -> Model | None:
-    """Learn from at most about ``most`` rows that have a text and a language (fewer for each class if there are many).
+    """Learn from at most ``most`` rows that have a text and a language (fewer for each class if there are many).
 
     None if there is no such row.
     """
-    texts, langs = pairs(sample_per_class(rows.where(F.col(text_col).isNotNull()), id_col, lang_col, most), id_col, text_col, lang_col)
+    texts, langs = pairs(sample_per_class(rows.where(F.col(text_col).isNotNull()), id_col, lang_col, most, text_col), id_col, text_col, lang_col)
     if not langs:
         return None
     labels = sorted(set(langs))
@@ -30,12 +29,12 @@ def fit_languages(rows: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def has_letter(text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Whether each text has a character that Unicode calls a letter."""
+    """Whether each text has a character of one of Unicode's letter categories (L*)."""
     ascii_letter = ((text | 32) >= 97) & ((text | 32) <= 122)
     counts = np.concatenate([[0], np.cumsum(ascii_letter)])
     out = np.diff(counts[offsets]) > 0
     for i in np.flatnonzero(~out):  # only texts without an ASCII letter are decoded
-        out[i] = _LETTER.search(text[offsets[i] : offsets[i + 1]].tobytes().decode()) is not None
+        out[i] = any(unicodedata.category(c)[0] == "L" for c in set(text[offsets[i] : offsets[i + 1]].tobytes().decode()))
     return out
 
 
@@ -63,6 +62,7 @@ def identify(docs: DataFrame, model: Model | None, kept: list[str], text_col: st
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``identify`` for all documents by a model of those outside fold 2 of 4."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").withColumn("held_out", fold("doc_id", 4) == 2)
     model = fit_languages(docs.where(~F.col("held_out")))
     return identify(docs, model, ["doc_id", "held_out"])

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 # Label, keyword that a text must hold, pattern of the name in lower case (a blank: any separators), SPDX ids.
 NAMES = [
     ("apache-2.0", "apache", "apache(?: license)?(?: version| v)? ?2(?: 0)?", "apache-2.0"),
@@ -175,7 +173,7 @@ TEXTS = [
     ("llvm-exception", "licen", "apache license v2 0 with llvm exceptions", 97, 0.98),
     ("linux-syscall-note", "copyright", "this copyright does not cover user programs that use kernel services by normal system calls", 96, 0.98),
     ("mpl-2.0", "licen", "this source code form is subject to the terms of the mozilla public license v 2 0", 95, 0.99),
-    ("mpl-2.0", "mpl", "if a copy of the mpl was not distributed with this file you can obtain one at", 93, 0.96),
+    ("mpl-2.0", "distributed", "if a copy of the mpl was not distributed with this file you can obtain one at", 93, 0.96),
     ("mpl-1.1", "licen", "the contents of this file are subject to the mozilla public license version 1 1", 95, 0.98),
     ("mpl-1.0", "licen", "the contents of this file are subject to the mozilla public license version 1 0", 95, 0.98),
     ("mpl", "licen", "the contents of this file are subject to the mozilla public license", 88, 0.94),
@@ -193,7 +191,7 @@ TEXTS = [
     ("artistic-2.0", "licen", "this license establishes the terms under which a given free software package may be copied modified distributed and or redistributed", 93, 0.97),
     ("artistic-1.0-perl", "perl", "this (?:program|library|module) is free software you can redistribute it and or modify it under the same terms as perl itself", 90, 0.93),
     ("ofl-1.1", "licen", "this font software is licensed under the sil open font license version 1 1", 95, 0.99),
-    ("ofl-1.1", "font", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", 90, 0.93),
+    ("ofl-1.1", "software", "the font software may be sold as part of a larger software package but no copy of one or more of the font software typefaces may be sold by itself", 90, 0.93),
     ("ofl-1.1", "permission", "permission is hereby granted free of charge to any person obtaining a copy of the font software", 93, 0.97),
     ("cc-by-4.0", "commons", "creative commons attribution 4 0 international(?: public)? license", 93, 0.98),
     ("cc-by-sa-4.0", "commons", "creative commons attribution share ?alike 4 0 international(?: public)? license", 93, 0.98),
@@ -260,7 +258,7 @@ TEXTS = [
     ("polyform-shield", "licen", "polyform shield license", 94, 0.97),
     ("prosperity-3.0", "licen", "the prosperity public license", 92, 0.96),
     ("parity-7.0", "licen", "the parity public license", 92, 0.96),
-    ("openrail", "rail", "(?:creativeml |bigscience |bigcode )open rail m", 90, 0.94),
+    ("openrail", "open rail", "(?:creativeml |bigscience |bigcode )open rail m", 90, 0.94),
     ("openrail", "licen", "openrail m license", 90, 0.94),
     ("llama", "licen", "llama (?:2|3|3 1) community license(?: agreement)?", 92, 0.96),
     ("dual-mit-apache", "licen", "licensed under either of apache license version 2 0 (?:[a-z]+ )?or mit license", 98, 0.98),
@@ -280,10 +278,10 @@ TEXTS = [
 # Separators and word characters of lower-cased text.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]"
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]"
-# Each match of ANY_KEYWORD holds one of these, in lower case; finding them is much cheaper.
+# Each match of a rule holds one of these; finding them in a whole text is cheap.
 PARTS = [
-    "licen", "spdx", "gpl", "wtfpl", "bsd", "cc", "rights", "public", "commons", "apache", "attribution", "redistribut", "permission", "warrant", "copyright", "advertising", "contributors", "software", "gcc", "mpl", "perl",
-    "datenlizenz", "openssl", "cryptographic", "libpng", "jpeg", "freetype", "mulan", "rail", "proprietary", "unauthori", "retain", "bison", "eclipse", "font",
+    "licen", "spdx", "gpl", "wtfpl", "bsd", "cc", "rights", "public", "commons", "apache", "attribution", "redistribut", "permission", "warrant", "copyright", "advertising", "contributors", "software", "gcc", "distributed", "perl",
+    "datenlizenz", "openssl", "cryptographic", "libpng", "jpeg", "freetype", "mulan", "creativeml", "bigscience", "bigcode", "proprietary", "unauthori", "retain", "bison", "eclipse",
 ]
 #: A match of any rule, with one separator between words, is shorter than this.
 REACH = 200
@@ -316,20 +314,23 @@ def samples(pattern: str) -> list[str]:
     return either(0)[0]
 
 
-def _gate() -> str:
-    """A pattern that every match of a rule holds: a few common pieces, and the patterns that have none of them in some form."""
-    run = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
-    chosen = ["licen", "spdx", "gpl", "wtfpl", "bsd", "redistribut", "permission", "warrant", "copyright", "advertising"]
-    for name in sorted({name for _, _, name, _ in NAMES} | {t for _, _, t, _, _ in TEXTS}, key=lambda x: (len(x), x)):
-        if not all(re.search("|".join(chosen), x) for x in samples(name)):
-            whole = name.split("(")[0].rstrip("? ")  # the fixed words at the beginning are enough
-            whole = name if len(whole) < 9 or "[" in whole else whole
-            chosen.append(whole.replace(" ?", run + "*+").replace(" ", run + "++"))
-    return "(?i:" + "|".join(chosen) + ")"
-
-
-#: What a text must hold before any rule is looked at.
-ANY_KEYWORD = _gate()
+def literal(pattern: str) -> str:
+    """The longest run of characters that every match of a pattern of the tables holds as it stands."""
+    runs, run, depth, i = [], "", 0, 0
+    while i < len(pattern):
+        c = pattern[i]
+        if c in "([":
+            depth += 1
+        elif c in ")]":
+            depth -= 1
+        if depth or c in "()[]?":
+            runs, run = [*runs, run], ""
+        elif pattern[i + 1 : i + 2] == "?":
+            runs, run, i = [*runs, run], "", i + 1
+        else:
+            run += c
+        i += 1
+    return max([*runs, run], key=len)
 
 
 def _regex(pattern: str) -> str:
@@ -337,10 +338,13 @@ def _regex(pattern: str) -> str:
     return f"(?<!{WORD})(?:{pattern.replace(' ?', ' ?+')})(?!{WORD})"
 
 
-def rules() -> list[tuple[str, str, int, str, float]]:
-    """(keyword, regex, priority, label, confidence) of several hundred rules, the same in every run."""
-    out = [(keyword, _regex(text), priority, label, confidence) for label, keyword, text, priority, confidence in TEXTS]
+def rules() -> list[tuple[str, str, str, int, str, float]]:
+    """(keyword, literal, regex, priority, label, confidence) of several hundred rules, the same in every run.
+
+    Every match holds the rule's keyword, which many rules share, and its literal.
+    """
+    made = [(keyword, text, priority, label, confidence) for label, keyword, text, priority, confidence in TEXTS]
     for label, keyword, name, ids in NAMES:
-        out += [(keyword, _regex(before + name + after), priority, label, confidence) for priority, confidence, before, after in FORMS]
-        out += [("spdx", _regex("spdx license identifier " + x.replace("-", " ").replace(".", " ")), 100, label, 1.0) for x in ids.split()]
-    return out
+        made += [(keyword, before + name + after, priority, label, confidence) for priority, confidence, before, after in FORMS]
+        made += [("spdx", "spdx license identifier " + x.replace("-", " ").replace(".", " "), 100, label, 1.0) for x in ids.split()]
+    return [(keyword, max(keyword, literal(pattern), key=len), _regex(pattern), priority, label, confidence) for keyword, pattern, priority, label, confidence in made]

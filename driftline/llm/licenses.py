@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .license_signatures import ANY_KEYWORD, PARTS, REACH, SEPARATORS, rules
+from .license_signatures import PARTS, REACH, SEPARATORS, rules
 from .matches import let, sums_before
 
 # The base phrases and their labels.
@@ -27,22 +29,32 @@ def _blanks(x: Column) -> Column:
 
 
 def _worded(text: Column, regex: Column) -> Column:
-    """Matches of a pattern in a short text: array of (start, stop, before, after), with the blanks before either end."""
-    found, pieces = F.regexp_extract_all(text, regex, F.lit(0)), F.split(text, regex, F.lit(-1))
+    """Matches of a pattern in a short text: array of (start, stop, before, after), with the blanks before either end.
+
+    There is a match at every place from which the pattern matches, also inside another one, so that what is found does
+    not depend on where a search began. The text is split before each of them: pieces add up to their places.
+    """
+    found = F.regexp_extract_all(text, F.concat(F.lit("(?=("), regex, F.lit("))")), F.lit(1))
+    pieces = F.split(text, F.concat(F.lit("(?="), regex, F.lit(")")), F.lit(-1))
     spans = "array<struct<start:bigint,stop:bigint,before:bigint,after:bigint>>"
 
     def step(done: Column, x: Column) -> Column:
         start, before = done["at"] + F.length(x["piece"]), done["blanks"] + _blanks(x["piece"])
         stop, after = start + F.length(x["value"]), before + _blanks(x["value"])
-        return F.struct(stop.alias("at"), after.alias("blanks"), F.concat(done["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), before.alias("before"), after.alias("after")))).alias("out"))
+        return F.struct(start.alias("at"), before.alias("blanks"), F.concat(done["out"], F.array(F.struct(start.alias("start"), stop.alias("stop"), before.alias("before"), after.alias("after")))).alias("out"))
+
+    def paired(x: Column) -> Column:
+        # a match at the very beginning has no piece before it
+        lead = F.when(F.size(x["pieces"]) == F.size(x["found"]), F.concat(F.array(F.lit("")), x["pieces"])).otherwise(x["pieces"])
+        return F.zip_with(F.slice(lead, 1, F.size(x["found"])), x["found"], lambda piece, value: F.struct(piece.alias("piece"), value.alias("value")))
 
-    pairs = let(found, lambda values: F.zip_with(F.slice(pieces, 1, F.size(values)), values, lambda piece, value: F.struct(piece.alias("piece"), value.alias("value"))))
     zero = F.lit(0).cast("long")
+    pairs = let(F.struct(found.alias("found"), pieces.alias("pieces")), paired)
     return F.aggregate(pairs, F.struct(zero.alias("at"), zero.alias("blanks"), F.array().cast(spans).alias("out")), step, lambda done: done["out"])
 
 
 def _chunks(plain: Column) -> Column:
-    """The parts of a text that hold a keyword: array of (text, first, start, blanks).
+    """A text in parts: array of (text, first, start, blanks).
 
     ``text`` is a chunk with SIDE characters of its neighbours, ``first`` the place of the chunk, ``start`` that of
     ``text``, and ``blanks`` those before it. A match is shorter than REACH, so one that begins in a chunk, and all that
@@ -62,12 +74,18 @@ def _chunks(plain: Column) -> Column:
 
         return F.zip_with(F.transform(chunks, part), before, placed)
 
-    return F.filter(let(F.regexp_extract_all(plain, F.lit(_WHOLE), F.lit(0)), numbered), lambda x: x["text"].rlike(ANY_KEYWORD))
+    return let(F.regexp_extract_all(plain, F.lit(_WHOLE), F.lit(0)), numbered)
 
 
 def _matches(plain: Column) -> Column:
     """Resolved spans of all gated rules in a text whose runs of separators are one blank each."""
-    table = F.array(*[F.struct(F.lit(k).alias("keyword"), F.lit(r).alias("regex"), F.lit(p).alias("priority"), F.lit(label).alias("label"), F.lit(c).alias("confidence")) for k, r, p, label, c in rules()])
+    by_keyword: dict[str, list] = {}
+    for keyword, *rule in rules():
+        by_keyword.setdefault(keyword, []).append(rule)
+    # one literal: thousands of small ones would take the driver seconds
+    kind = "array<struct<keyword:string,rules:array<struct<literal:string,regex:string,priority:int,label:string,confidence:double>>>>"
+    names = ("literal", "regex", "priority", "label", "confidence")
+    table = F.from_json(F.lit(json.dumps([{"keyword": k, "rules": [dict(zip(names, r, strict=True)) for r in these]} for k, these in by_keyword.items()])), kind)
 
     def found(part: Column) -> Column:
         def by_rule(r: Column) -> Column:
@@ -75,7 +93,8 @@ def _matches(plain: Column) -> Column:
             base = lambda x, name, by: (x[name] + part[by]).alias(name)
             return F.transform(at, lambda x: F.struct(base(x, "start", "start"), base(x, "stop", "start"), base(x, "before", "blanks"), base(x, "after", "blanks"), r["label"].alias("label"), r["priority"].alias("priority"), r["confidence"].alias("confidence")))
 
-        spans = F.flatten(F.transform(F.filter(table, lambda r: F.contains(part["text"], r["keyword"])), by_rule))
+        some = F.flatten(F.transform(F.filter(table, lambda k: F.contains(part["text"], k["keyword"])), lambda k: k["rules"]))
+        spans = F.flatten(F.transform(F.filter(some, lambda r: F.contains(part["text"], r["literal"])), by_rule))
         return F.filter(_resolved(spans), lambda x: (x["start"] >= part["first"]) & (x["start"] < part["first"] + CHUNK))
 
     return F.flatten(F.transform(_chunks(plain), found))
@@ -146,12 +165,12 @@ def scan_licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = out.withColumn("parts", F.split("text", _S, -1))
     at_ends = F.when(F.element_at("parts", 1) == "", 1).otherwise(0) + F.when((F.size("parts") > 1) & (F.element_at("parts", -1) == ""), 1).otherwise(0)
     out = out.withColumn("n_words", (F.size("parts") - at_ends).cast("long")).drop("parts")
-    # cheap searches in every text, one pattern in those that pass, and all else in the few that pass that too
+    # cheap searches in every text, and all else in the few that pass them
     out = out.withColumn("folded", F.lower("text"))
     some = F.lit(False)
     for part in PARTS:
         some = some | F.contains("folded", F.lit(part))
-    out = out.withColumn("lower", F.when(some & F.col("text").rlike(ANY_KEYWORD), F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).drop("folded")
+    out = out.withColumn("lower", F.when(some, F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))).drop("folded")
     out = out.withColumn("spans", F.when(F.col("lower").isNotNull(), _detections(F.col("lower"))))
     for i, (phrase, _) in enumerate(PHRASES):
         out = out.withColumn(f"n{i}", F.when(F.col("lower").isNotNull(), F.regexp_count("text", F.lit(_phrase(phrase)))).otherwise(0))

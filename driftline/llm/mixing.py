@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .classify import SAMPLE, apply_texts, pairs, posteriors, sample_per_class
+from .classify import SAMPLE, apply_texts, class_counts, pairs, posteriors, sample_per_class, texts_of
 from .scale import cut
 from .subword import Model, train_texts
 
@@ -20,17 +20,16 @@ REPLAY = 25
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, domain_col: str, id_col: str = "doc_id", text_col: str = "text", most: int = SAMPLE) -> Model | None:
-    """A classifier of domains from at most about ``most`` rows of ``labelled``; ids with several domains take the least.
+    """A classifier of domains from at most ``most`` rows of ``labelled``; ids with several domains take the least.
 
     N-grams keep punctuation: domains such as quality differ in it. The sampled ids are bounded by ``most`` and
     broadcast; texts are not shuffled. None if no labelled row has a text.
     """
     known = labelled.select(F.col(id_col).alias("id"), F.col(domain_col).cast("string").alias("domain")).where(F.col("id").isNotNull() & F.col("domain").isNotNull())
     known = cut(known.groupBy("id").agg(F.min("domain").alias("domain")))
-    counts = {r[0]: r[1] for r in known.groupBy("domain").count().collect()}
+    counts = class_counts(known, "domain")
     chosen = cut(sample_per_class(known, "id", "domain", most))
-    rows = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    texts, domains = pairs(rows, "id", "text", "domain")
+    texts, domains = pairs(texts_of(docs, chosen, id_col, text_col), "id", "text", "domain")
     if not domains:
         return None
     labels = sorted(set(domains))
@@ -129,7 +128,7 @@ def fit_rates(members: DataFrame, targets: np.ndarray, ridge: float = RIDGE, ste
 
 
 def goal(labels: list, targets: dict[str, float]) -> np.ndarray:
-    """Target shares in the order of ``labels``, summing to 1; domains that were not learned are left out. None: uniform."""
+    """Target shares in the order of ``labels``, summing to 1; uniform if none is positive. Others' targets are left out (``reached`` tells)."""
     out = np.array([max(0.0, targets.get(x, 0.0)) for x in labels])
     return out / out.sum() if out.sum() > 0 else np.full(len(labels), 1 / len(labels))
 
@@ -153,15 +152,19 @@ def apply_mix(docs: DataFrame, mixed: DataFrame, id_col: str = "doc_id") -> Data
 
     An id that repeats takes its largest number; rows with a null id stay once.
     """
-    copies = mixed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    joined = docs.join(copies, F.col(id_col) == F.col("__id"), "left")
-    times = F.coalesce("__copies", F.lit(1)).cast("int")
-    return joined.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).select(*docs.columns)
+    names = docs.columns
+    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])  # no name can clash
+    copies = mixed.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("copies").alias("copies"))
+    joined = plain.join(copies, F.col(f"c{names.index(id_col)}") == F.col("id"), "left")
+    times = F.coalesce("copies", F.lit(1)).cast("int")
+    each = F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))
+    return joined.select(*plain.columns, each.alias("copy")).select(*plain.columns).toDF(*names)
 
 
 def reached(mixed: DataFrame, labels: list, targets: dict[str, float]) -> DataFrame:
     """One row per domain: domain, target, and its share of tokens natural (rate 1), expected (rates) and copied (copies).
 
+    A target for a domain of which no text was learned is a row too, with shares of 0: nothing can meet it.
     ``mixed`` is from ``mix``; only the sums reach the driver. Shares are of the corpus' total tokens before mixing.
     """
     sums = []
@@ -171,6 +174,7 @@ def reached(mixed: DataFrame, labels: list, targets: dict[str, float]) -> DataFr
     found = mixed.agg(F.sum("n_tokens").alias("total"), *sums).first()
     total = found["total"] or 1
     rows = [(x, float(t), *((found[f"{s}{i}"] or 0.0) / total for s in "nec")) for i, (x, t) in enumerate(zip(labels, goal(labels, targets), strict=True))]
+    rows += [(x, float(t), 0.0, 0.0, 0.0) for x, t in sorted(targets.items()) if t > 0 and x not in labels]
     return mixed.sparkSession.createDataFrame(rows, "domain string, target double, natural double, expected double, copied double")
 
 
@@ -185,5 +189,6 @@ def fit_from_tables(spark: SparkSession, sf_dir: str) -> Model | None:
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``mix`` of all documents to TARGETS, by qualities learned from the table ``labels``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return mix(docs, fit_from_tables(spark, sf_dir), TARGETS)

@@ -78,13 +78,15 @@ def text_logits(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarr
     return total / np.maximum(count, 1)[:, None] + model.bias
 
 
-def word_scores(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """The largest logit of label 1 against label 0 that a word of each text has; the bias alone where there is none."""
+#: Words of a window, the middle one of the three sizes of bags by which a text is judged.
+NEAR = 8
+
+
+def bag_scores(line: np.ndarray, text: np.ndarray, offsets: np.ndarray, bits: int, near: int = NEAR) -> np.ndarray:
+    """For each text the largest average of ``line`` (a number for each bucket) over the n-grams of a word, the largest
+    over those of ``near`` consecutive words (or all, if there are fewer), and the average over all: texts x 3, 0 where there is no n-gram."""
     out, moved = padded(text, offsets)
     n = len(offsets) - 1
-    line = (model.table[:, 1] - model.table[:, 0]).astype(np.float64)
-    bias = float(model.bias[1] - model.bias[0])
-    best = np.full(n, -np.inf)
     blanks = np.flatnonzero(out == 32)
     starts = blanks[:-1][np.diff(blanks) > 1]  # the blank before each word
     ends = blanks[1:][np.diff(blanks) > 1]  # the blank after it
@@ -97,14 +99,32 @@ def word_scores(model: Model, text: np.ndarray, offsets: np.ndarray) -> np.ndarr
         if hi <= lo:
             continue
         for size in SIZES:
-            at, code = grams(out, a, b, size, model.bits)
+            at, code = grams(out, a, b, size, bits)
             sums = np.zeros(len(at) + 1)
             np.cumsum(line[code], out=sums[1:])
             left, right = np.searchsorted(at, starts[lo:hi]), np.searchsorted(at, ends[lo:hi])
             total[lo:hi] += sums[right] - sums[left]
             count[lo:hi] += right - left
-    np.maximum.at(best, owner, total / np.maximum(count, 1))
-    return np.where(np.isfinite(best), best, 0.0) + bias
+    return np.stack([*pooled(total, count, owner, n, near)], axis=1)
+
+
+def pooled(total: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, near: int = NEAR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """From words' sums and numbers of n-grams, in order: the best word, the best window, and the mean of each of n texts."""
+    first = np.searchsorted(owner, np.arange(n + 1))
+    some = np.flatnonzero(np.diff(first))
+    out = tuple(np.zeros(n) for _ in range(3))
+    if not len(some):
+        return out
+    sums, counts = (np.concatenate([[0], np.cumsum(x)]) for x in (total, count))
+    last = first[owner + 1]
+    end = np.minimum(np.arange(len(owner)) + near, last)
+    begin = np.minimum(np.arange(len(owner)), np.maximum(last - near, first[owner]))
+    word = total / np.maximum(count, 1)
+    window = (sums[end] - sums[begin]) / np.maximum(counts[end] - counts[begin], 1)
+    out[0][some] = np.maximum.reduceat(word, first[some])
+    out[1][some] = np.maximum.reduceat(window, first[some])
+    out[2][some] = (sums[first[some + 1]] - sums[first[some]]) / np.maximum(counts[first[some + 1]] - counts[first[some]], 1)
+    return out
 
 
 def _bags(text: np.ndarray, offsets: np.ndarray, bits: int, punctuation: bool) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -210,54 +230,96 @@ def _means(line: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
     return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
 
 
-def train_words(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, dim: int = 8, rounds: int = 10, rate: float = 0.3, bits: int = BITS, seed: int = 7) -> Model:
-    """Two labels; each word is a bag of its own, and a text is as its strongest word, so a few words decide about any length.
+@dataclass
+class Detector:
+    """Two labels: embeddings times the difference of the softmax weights, and what the three averages of ``bag_scores`` count for."""
 
-    Words take their labels from the texts: label 1 where a word stands in at least three texts of label 1, and in a
-    share of them that exceeds sixty times its share of the others by 0.75 %, label 0 where it stands in any text of label 0.
-    Embeddings and softmax weights then descend together, in minibatches; each round turns to the strongest words of
-    label 0, frequent ones above all. Last, the bias is set between the texts of either label.
+    line: np.ndarray
+    weights: np.ndarray
+    bits: int
+
+    def logits(self, text: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        found = bag_scores(self.line, text, offsets, self.bits)
+        return found @ self.weights[:3] + self.weights[3]
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float) -> np.ndarray:
+    """Weights (the last one of a constant) of a logistic regression, by Newton's steps."""
+    x = np.column_stack([x, np.ones(len(x))])
+    held = ridge * np.append(np.ones(x.shape[1] - 1), 1e-3)
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        slope = x.T @ (weight * (p - y)) + held * w
+        bend = (x * (weight * p * (1 - p))[:, None]).T @ x + np.diag(held + 1e-9)
+        w = w - np.linalg.solve(bend, slope)
+    return w
+
+
+def train_detector(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, share: float, dim: int = 8, steps: int = 60, rate: float = 1.0, ridge: float = 2e-4, bits: int = BITS, seed: int = 7) -> Detector:
+    """Learns label 1 against label 0 from the labels of whole texts.
+
+    A text holds many bags, one for each of its words; each averages the embeddings of its n-grams and goes through one
+    linear softmax. The text's logit is a soft maximum over its bags, flat at first, so that the label of the text pulls
+    on all of its words, and sharper with every step, so that it pulls on those that account for it. Embeddings and
+    softmax weights descend together (AdaGrad on all texts at once). No count of words or texts decides anything.
+    A fifth of the texts is held back: on it the averages over the best word, the best window of words and the whole text
+    are weighed into one calibrated logit, for texts of which ``share`` are of label 1.
     """
     rng = np.random.default_rng(seed)
     owner, ids, first, code = _vocabulary(texts, bits)
-    n = len(first) - 1
-    emb = (rng.standard_normal((1 << bits, dim)) * 0.05).astype(np.float32)
-    w = (rng.standard_normal((dim, 2)) * 0.3).astype(np.float32)
-    bias = np.zeros(2, np.float32)
-    of_one = targets[owner] == 1
-    ones, noughts = np.bincount(ids[of_one], minlength=n), np.bincount(ids[~of_one], minlength=n)
-    many_1, many_0 = max(1, int((targets == 1).sum())), max(1, int((targets == 0).sum()))
-    good = np.flatnonzero((ones >= 3) & (ones / many_1 > 0.0075 + 60 * noughts / many_0) & (np.diff(first) > 0))
-    plain = np.flatnonzero((noughts > 0) & (np.diff(first) > 0))
-    plain = plain[~np.isin(plain, good)]
-    if not len(good) or not len(plain):  # nothing tells the labels apart: everything is of label 0
-        return Model([0, 1], np.zeros((1 << bits, 2), np.float32), np.array([3.0, -3.0]), bits)
-    hard = rng.choice(plain, min(len(plain), 4000), replace=False)
-    often = np.sqrt(noughts + 0.0)
-    for _ in range(rounds):
-        odds = often[hard] / often[hard].sum()
-        for _ in range(60):
-            some = np.concatenate([rng.choice(good, 64), rng.choice(hard, 96, p=odds), rng.choice(hard[:48], 32), rng.choice(plain, 64)])
-            y = np.repeat([1, 0], [64, 192])
-            spans = first[some + 1] - first[some]
-            edge = np.concatenate([[0], np.cumsum(spans)])
-            grams_ = code[np.repeat(first[some] - edge[:-1], spans) + np.arange(edge[-1])]
-            mean = np.add.reduceat(emb[grams_], edge[:-1], axis=0) / spans[:, None]
-            slope = _softmax(mean @ w + bias)
-            slope[np.arange(len(some)), y] -= 1
-            down = (slope @ w.T) / spans[:, None]
-            w -= rate / 64 * (mean.T @ slope)
-            bias -= rate / 64 * slope.sum(axis=0)
-            np.subtract.at(emb, grams_, rate * 2 * np.repeat(down, spans, axis=0))
-        z = _means(emb @ (w[:, 1] - w[:, 0]), first, code)
-        hard = plain[np.argsort(-z[plain])[:4000]]
-    z = _means(emb @ (w[:, 1] - w[:, 0]), first, code)
-    best = np.full(len(targets), -np.inf)
-    np.maximum.at(best, owner, z[ids])
-    best = np.where(np.isfinite(best), best, 0.0)
-    at = np.unique(best)  # the cut with the fewest wrong texts, midway to the next one
-    wrong = np.array([(best[targets == 1] <= c).sum() / many_1 + 4 * (best[targets == 0] > c).sum() / many_0 for c in at[:: max(1, len(at) // 2000)]])
-    c = at[:: max(1, len(at) // 2000)][int(np.argmin(wrong))]
-    above = at[at > c]
-    cut = (c + above[0]) / 2 if len(above) else c + 1.0
-    return Model([0, 1], emb @ w, np.array([cut / 2, -cut / 2]), bits)
+    n, many = len(first) - 1, len(targets)
+    back = np.zeros(many, bool)
+    for y in (0, 1):
+        mine = rng.permutation(np.flatnonzero(targets == y))
+        back[mine[: len(mine) // 5]] = True
+    used = ~back[owner]
+    pair_text, pair_word = owner[used], ids[used]
+    order = np.argsort(pair_text, kind="stable")
+    pair_text, pair_word = pair_text[order], pair_word[order]
+    here, begin = np.unique(pair_text, return_index=True)
+    length = np.diff(np.append(begin, len(pair_text)))
+    y = targets[here].astype(np.float64)
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    emb = (rng.standard_normal((1 << bits, dim)) * 0.1).astype(np.float32)
+    w = (rng.standard_normal(dim) * 0.3).astype(np.float32)
+    bias = 0.0
+    seen_e, seen_w, seen_b = np.full((1 << bits, 1), 1e-8, np.float32), np.full(dim, 1e-8), 1e-8
+    per_word = np.maximum(np.diff(first), 1)
+    word_of_code = np.repeat(np.arange(n), np.diff(first))
+    for step in range(steps if len(here) else 0):
+        sharp = 1.0 + 9.0 * step / steps
+        z = _means(emb @ w, first, code)[pair_word]
+        top = np.maximum.reduceat(z, begin)
+        e = np.exp(sharp * (z - np.repeat(top, length)))
+        total = np.add.reduceat(e, begin)
+        logit = top + np.log(total / length) / sharp + bias
+        miss = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
+        pull = np.repeat(miss / total, length) * e
+        by_word = np.bincount(pair_word, pull, n) / per_word
+        by_code = np.bincount(code, by_word[word_of_code], 1 << bits).astype(np.float32)
+        slope_e = by_code[:, None] * w + ridge / (1 << bits) * emb
+        slope_w = emb.T @ by_code + ridge * w
+        seen_e += (slope_e * slope_e).mean(axis=1, keepdims=True)
+        seen_w += slope_w * slope_w
+        seen_b += miss.sum() ** 2
+        emb -= (0.1 * rate) * slope_e / np.sqrt(seen_e)
+        w -= (0.1 * rate * slope_w / np.sqrt(seen_w)).astype(np.float32)
+        bias -= 0.1 * rate * miss.sum() / seen_b**0.5
+    line = (emb @ w).astype(np.float64)
+    held = np.flatnonzero(back)
+    if len(set(targets[held].tolist())) < 2:
+        held = np.arange(many)  # too few texts to hold any back
+    found = np.concatenate([bag_scores(line, text, cuts, bits) for text, cuts in _texts(texts, held)]) if len(held) else np.zeros((0, 3))
+    y = targets[held].astype(np.float64)
+    weight = np.where(y == 1, share / max(1, (y == 1).sum()), (1 - share) / max(1, (y == 0).sum())) * len(held)
+    scale = np.maximum(found.std(axis=0), 1e-6)
+    fit = _logistic(found / scale, y, weight, 0.05)
+    return Detector(line, np.append(fit[:3] / scale, fit[3]), bits)
+
+
+def _texts(texts: tuple[np.ndarray, np.ndarray], chosen: np.ndarray):
+    """The chosen texts one by one, as flat bytes and offsets."""
+    text, offsets = texts
+    for i in chosen.tolist():
+        yield text[offsets[i] : offsets[i + 1]], np.array([0, offsets[i + 1] - offsets[i]])
