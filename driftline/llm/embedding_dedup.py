@@ -10,34 +10,54 @@ from pyspark.sql import functions as F
 from .components import components, forest
 from .scale import cut, lookup
 
-#: Vectors up to which a label is one list; expected length of the lists of larger labels.
-WHOLE, LENGTH = 2048, 1024
-#: Nearest pivots that describe a vector, how many of them a candidate must share, and pivots over all labels.
-NEAREST, SHARED, PIVOTS = 10, 2, 16384
-#: Vectors to either side of one comparison.
-BLOCK = 4096
-
-
-def _pivots(nodes: DataFrame, counts: list) -> dict:
-    """Label key to matrix of reference points: a bounded sample, those of the lowest id hashes of each larger label.
-
-    A label of n vectors has n * NEAREST / LENGTH pivots, all labels together at most about PIVOTS.
-    """
-    total = sum(n for *_, n in counts)
-    want = {(label, dim): min(-(-n * NEAREST // LENGTH), max(2 * NEAREST, PIVOTS * n // total)) for label, dim, n in counts if n > WHOLE}
-    if not want:
-        return {}
-    share = F.create_map(*[x for label, dim, n in counts if n > WHOLE for x in (F.lit(f"{label}:{dim}"), F.lit(1.5 * want[label, dim] / n))])
-    dice = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
-    name = F.concat_ws(":", F.col("label").cast("string"), F.col("dim").cast("string"))
-    rows = nodes.where(dice < share[name]).select("label", "dim", "embedding", F.xxhash64("node").alias("h")).toArrow()
-    out: dict = {}
-    for label, dim, vector, _ in sorted(zip(*(rows[c].to_pylist() for c in rows.column_names), strict=True), key=lambda x: x[3]):
-        mine = out.setdefault((label, dim), [])
-        if len(mine) < want[label, dim]:
-            mine.append(vector)
-    out = {key: np.array(v, np.float64) for key, v in out.items() if len(v) > NEAREST}
-    return {key: v / np.linalg.norm(v, axis=1, keepdims=True) for key, v in out.items()}
+#: Nearest pivots that describe a vector; in the lists of how many of them it stands; how many a candidate must share.
+NEAREST, POSTED, SHARED = 10, 6, 3
+#: Pivots for n vectors: DENSITY * sqrt(n), so that lists and descriptions both grow with the square root; as 32-bit numbers in at most BYTES.
+DENSITY, BYTES = 4, 64 << 20
+#: Numbers of components that have pivots of their own (the most frequent ones); vectors of others share one list for each label.
+DIMS = 16
+#: Vectors to either side of one comparison, and pairs whose cosines are computed in one go.
+BLOCK, PAIRS = 4096, 50_000
+
+
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1; first scaled by their largest component, so that no square overflows or vanishes."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def _pivots(nodes: DataFrame) -> dict[int, np.ndarray]:
+    """Reference points by number of components: the vectors of the lowest hashes, whatever their labels. A bounded sample."""
+    counts = nodes.groupBy("dim").count().orderBy(F.col("count").desc(), "dim").limit(DIMS).collect()
+    out = {}
+    for dim, n in ((r["dim"], r["count"]) for r in counts):
+        want = int(min(DENSITY * n**0.5 + 2 * NEAREST, n, max(1, BYTES // (4 * dim * len(counts)))))
+        dice = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / float(1 << 30)
+        some = nodes.where((F.col("dim") == dim) & (dice <= min(1.0, (2 * want + 50) / n)))
+        rows = some.select("embedding", F.xxhash64("node").alias("h"), "label").orderBy("h", "label").limit(want).toArrow()
+        out[dim] = unit(np.array(rows["embedding"].combine_chunks().flatten()).reshape(-1, dim)).astype(np.float32)
+    return out
+
+
+def nearest(v: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """The numbers of the NEAREST pivots of each vector, nearest first; of equally near ones the first."""
+    k = min(NEAREST, len(pivots))
+    out = np.empty((len(v), k), np.int32)
+    step = max(1, (16 << 20) // len(pivots))
+    for a in range(0, len(v), step):
+        far = -(unit(v[a : a + step]).astype(np.float32) @ pivots.T)
+        some = np.argpartition(far, k - 1, axis=1)[:, :k] if k < len(pivots) else np.broadcast_to(np.arange(k), (len(far), k))
+        order = np.lexsort((some, np.take_along_axis(far, some, axis=1)), axis=1)
+        out[a : a + step] = np.take_along_axis(some, order, axis=1)
+    return out
+
+
+def _members(numbers: np.ndarray) -> np.ndarray:
+    """Which of the numbers that occur (but -1) each row has, as 0 and 1."""
+    names, column = np.unique(numbers, return_inverse=True)
+    out = np.zeros((len(numbers), len(names)), np.float32)
+    np.put_along_axis(out, column.reshape(numbers.shape), 1, axis=1)
+    return out[:, names >= 0]
 
 
 def _list_column(matrix: np.ndarray) -> pa.Array:
@@ -52,10 +72,11 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     with nothing: n_links 0, alone. Equal vectors of a label are one node with a weight, so copies cost nothing, and count
     as links of one another; rows that repeat an id count like others.
 
-    A node is described by its NEAREST pivots in order of nearness and enters the inverted list of each. Within a list
-    all pairs that share at least SHARED pivots are verified, each in the first list they share only; lists
-    longer than BLOCK are spread over all pairs of their blocks. Labels of up to WHOLE nodes are one list, so they
-    are complete. A list sends on counts and a spanning forest of its links, never the links themselves.
+    A node is described by its NEAREST pivots in order of nearness and stands in the inverted lists, by label, of the first
+    POSTED of them. Pairs of a list that share at least SHARED of their NEAREST pivots are retrieved, each in the first
+    list that both are in, and verified. Lists longer than BLOCK are spread over all pairs of their blocks. A list sends on
+    counts and a spanning forest of its links, never the links themselves. Recall is that of the index: near vectors
+    that share no list are not found.
     """
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("embedding"), F.col(label_col).cast("string").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
@@ -64,26 +85,21 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
     good = rows.where(F.col("embedding").isNotNull())
     nodes = good.groupBy("label", "embedding").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("weight")).withColumn("dim", F.size("embedding"))
     nodes = cut(nodes)
-    counts = [tuple(r) for r in nodes.groupBy("label", "dim").count().collect()]
-    pivots = nodes.sparkSession.sparkContext.broadcast(_pivots(nodes, counts))
+    pivots = nodes.sparkSession.sparkContext.broadcast(_pivots(nodes))
 
     def describe(batches):
         for batch in batches:
-            labels, dims = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            where: dict = {}
-            for i, key in enumerate(zip(labels, dims, strict=True)):
-                where.setdefault(key, []).append(i)
-            for key, at in where.items():
-                part = batch.take(pa.array(at))
-                if key in pivots.value:
-                    v = np.array(part.column(2).to_pylist(), np.float64)
-                    near = np.argsort(-(v @ pivots.value[key].T / np.linalg.norm(v, axis=1, keepdims=True)), axis=1, kind="stable")[:, :NEAREST]
+            dims = batch.column(1).to_numpy()
+            for dim in np.unique(dims).tolist():
+                part = batch.take(pa.array(np.flatnonzero(dims == dim)))
+                if dim in pivots.value:
+                    near = nearest(np.array(part.column(2).flatten()).reshape(-1, dim), pivots.value[dim])
                 else:
-                    near = np.zeros((len(at), 1), np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns, _list_column(near.astype(np.int32))], names=["label", "dim", "embedding", "node", "weight", "near"])
+                    near = np.zeros((part.num_rows, 1), np.int32)
+                yield pa.RecordBatch.from_arrays([*part.columns, _list_column(near)], names=["label", "dim", "embedding", "node", "weight", "near"])
 
     described = nodes.select("label", "dim", "embedding", "node", "weight").mapInArrow(describe, "label string, dim int, embedding array<double>, node long, weight long, near array<int>")
-    posted = cut(described).withColumn("pivot", F.explode("near"))
+    posted = cut(described).withColumn("pivot", F.explode(F.slice("near", 1, POSTED)))
     lengths = posted.groupBy("label", "dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("parts"))
     posted = lookup(posted, lengths, ["label", "dim", "pivot"], F.col("node")).withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
     dealt = posted.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
@@ -93,23 +109,27 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
         table = table.combine_chunks().sort_by("node")
         node, weight, own = (table[c].to_numpy() for c in ("node", "weight", "own"))
         pivot, lo, hi = (table[c][0].as_py() for c in ("pivot", "lo", "hi"))
-        v = np.array(table["embedding"].combine_chunks().flatten()).reshape(len(node), -1)
+        v = unit(np.array(table["embedding"].combine_chunks().flatten()).reshape(len(node), -1))
         near = np.array(table["near"].combine_chunks().flatten()).reshape(len(node), -1)
-        v = v / np.linalg.norm(v, axis=1, keepdims=True)
-        held = np.zeros((len(node), int(near.max()) + 1), np.float32)
-        np.put_along_axis(held, near.astype(np.int64), 1, axis=1)
-        before = held[:, :pivot]  # pivots of lists that come earlier
+        held = _members(near)
+        before = _members(np.where(near[:, :POSTED] < pivot, near[:, :POSTED], -1))  # lists that come earlier
         left, right = own == lo, own == hi
         links, edges_a, edges_b = np.zeros(len(node), np.int64), [], []
         need = min(SHARED, near.shape[1])
         for a in range(0, len(node), 512):
             b = min(a + 512, len(node))
-            close = v[a:b] @ v.T >= least
-            close &= np.arange(a, b)[:, None] < np.arange(len(node))[None, :]
-            close &= (left[a:b, None] & right) | (right[a:b, None] & left)
-            close &= held[a:b] @ held.T >= need
-            close &= before[a:b] @ before.T == 0
-            x, y = np.nonzero(close)
+            found = held[a:b] @ held.T >= need
+            found &= np.arange(a, b)[:, None] < np.arange(len(node))[None, :]
+            found &= (left[a:b, None] & right) | (right[a:b, None] & left)
+            if before.shape[1]:
+                found &= before[a:b] @ before.T == 0
+            x, y = np.nonzero(found)
+            if len(x) * 16 > found.size:  # most of them: one product is cheaper
+                close = (v[a:b] @ v.T)[x, y] >= least
+            else:
+                parts = [np.einsum("ij,ij->i", v[x[i : i + PAIRS] + a], v[y[i : i + PAIRS]]) for i in range(0, len(x), PAIRS)]
+                close = np.concatenate([*parts, np.zeros(0)]) >= least
+            x, y = x[close], y[close]
             np.add.at(links, x + a, weight[y])
             np.add.at(links, y, weight[x + a])
             edges_a.append(x + a)
@@ -132,4 +152,5 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 
 
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``link_vectors`` of all embeddings, at cosine 0.93 within labels."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))

@@ -161,7 +161,7 @@ def brute_links(rows):
     return close
 
 
-def test_vectors_are_complete_in_small_labels(spark):
+def test_vectors_of_small_labels(spark):
     rows = vectors()
     close = brute_links(rows)
     want = root_of(list(zip(*map(list, np.nonzero(close)), strict=True)), range(len(rows)))
@@ -170,16 +170,46 @@ def test_vectors_are_complete_in_small_labels(spark):
     assert {i: (r["n_links"], r["component_id"]) for i, r in got.items()} == {i: (int(close[i].sum()), want[i]) for i in range(len(rows))}
 
 
-def test_index_recall(spark, monkeypatch):
-    monkeypatch.setattr(embedding_dedup, "WHOLE", 40)
-    monkeypatch.setattr(embedding_dedup, "LENGTH", 60)
-    monkeypatch.setattr(embedding_dedup, "BLOCK", 32)
-    rows = vectors(600, 32, 4)
+def test_recall_of_the_shipped_settings(spark):
+    """A label of 6000 vectors in families whose members are 0.93 to 0.97 near one another, and one of 3000."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for label, families in ((0, 1500), (1, 750)):
+        for _ in range(families):
+            center = rng.standard_normal(64)
+            noise = rng.uniform(0.12, 0.26)
+            rows += [(len(rows) + k, [float(x) for x in center + rng.standard_normal(64) * noise], label) for k in range(4)]
     close = brute_links(rows)
-    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
     got = {r["vec_id"]: r["n_links"] for r in embedding_dedup.link_vectors(frame).collect()}
-    assert all(got[i] <= close[i].sum() for i in got)
-    assert sum(got.values()) >= 0.9 * close.sum()
+    assert close.sum() > 10_000 and all(got[i] <= close[i].sum() for i in got)
+    assert sum(got.values()) >= 0.95 * close.sum(), sum(got.values()) / close.sum()
+
+
+def test_long_lists_are_spread_over_blocks(spark, monkeypatch):
+    rows = vectors(600, 32, 4)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    whole = sorted(tuple(r) for r in embedding_dedup.link_vectors(frame).collect())
+    monkeypatch.setattr(embedding_dedup, "BLOCK", 5)
+    monkeypatch.setattr(embedding_dedup, "PAIRS", 7)
+    assert sorted(tuple(r) for r in embedding_dedup.link_vectors(frame).collect()) == whole
+
+
+def test_pivots_stand_in_order_of_nearness():
+    rng = np.random.default_rng(2)
+    v, pivots = rng.standard_normal((50, 8)), embedding_dedup.unit(rng.standard_normal((40, 8))).astype(np.float32)
+    got = embedding_dedup.nearest(v, pivots)
+    want = np.argsort(-(embedding_dedup.unit(v).astype(np.float32) @ pivots.T), axis=1, kind="stable")[:, : embedding_dedup.NEAREST]
+    assert (got == want).all()
+
+
+def test_huge_components_and_many_lengths(spark):
+    rows = [(1, [1e300, 1e300], 0), (2, [2e300, 2e300], 0), (3, [1e-300, 1e-300], 0), (4, [1e300, -1e300], 0)]
+    rows += [(100 + 10 * d + i, [1.0] * d, 0) for d in range(3, 40) for i in range(2)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in embedding_dedup.link_vectors(frame).collect()}
+    assert [got[i] for i in (1, 2, 3, 4)] == [(2, 1), (2, 1), (2, 1), (0, 4)]
+    assert all(got[100 + 10 * d + i] == (1, 100 + 10 * d) for d in range(3, 40) for i in range(2))
 
 
 def test_odd_vectors(spark):
