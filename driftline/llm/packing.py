@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .scale import cut
+
 #: Tokens a bin holds, and about the pieces that are packed together.
 CAPACITY, SHARD = 2048, 4096
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -65,37 +65,40 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, shard: int = SHARD, id_col:
     No bin holds two pieces of one source, or of one duplicate cluster (by default, of equal texts; rows that repeat,
     such as copies made by mixing, are such a cluster). ``source_col`` None: sources are not in conflict.
     Texts without a token, null ones too, are one row with piece 0, n_tokens 0 and bin_id null.
-    Every row is packed, none is cut off. Pieces are dealt evenly over shards of about ``shard`` pieces, whatever
-    their keys, and each shard is packed alone, so no task grows with the table or with a hot source.
+    Every row is packed, none is cut off. Pieces, not texts, are dealt over shards of about ``shard`` pieces by a hash of id, text,
+    place and the number of the copy, so a shard is as large whatever one text, source or group of copies holds, and is
+    the same however the input was partitioned. Each shard is packed alone: best fit is among its own bins. ``docs``
+    without a column ``source_col`` is as with None. Other columns are ignored.
     """
     cluster = F.xxhash64(F.col(text_col)) if cluster is None else cluster
-    source = F.lit(None).cast("string") if source_col is None else F.col(source_col).cast("string")
+    source = F.col(source_col).cast("string") if source_col is not None and source_col in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(id_col).alias("doc_id"), source.alias("source"), cluster.alias("cluster"), F.coalesce(F.regexp_count(text_col, F.lit(_WORD)), F.lit(0)).cast("long").alias("tokens"))
-    last = F.greatest(F.ceil(F.col("tokens") / capacity).cast("int") - 1, F.lit(0))
-    pieces = rows.withColumn("piece", F.explode(F.sequence(F.lit(0), last))).withColumn("piece", F.col("piece").cast("long"))
+    # equal rows are numbered by counting them, which no order of rows can change
+    rows = cut(rows.groupBy("doc_id", "source", "cluster", "tokens").agg(F.count(F.lit(1)).alias("rows")))
+    last = F.greatest(F.ceil(F.col("tokens") / capacity).cast("long") - 1, F.lit(0).cast("long"))
+    total = rows.agg(F.coalesce(F.sum((last + 1) * F.col("rows")), F.lit(0))).first()[0]
+    shards = max(1, -(-total // shard))
+    pieces = rows.select("doc_id", "source", "cluster", "tokens", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("copy"))
+    pieces = pieces.withColumn("piece", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("n_tokens", F.least(F.col("tokens") - F.col("start"), F.lit(capacity).cast("long"))).drop("tokens")
-    shards = max(1, -(-docs.select(id_col).count() // shard))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
+    pieces = pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "cluster", "piece", "copy"), F.lit(shards)))
 
-        table = pa.Table.from_batches(list(batches))  # about ``shard`` rows of numbers
-        if not table.num_rows:
-            return
-        table = table.sort_by([(c, "ascending") for c in ("doc_id", "piece", "source", "cluster")])
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("doc_id", "piece", "source", "cluster", "copy")])  # about ``shard`` rows of numbers
         sizes = table["n_tokens"].to_pylist()
         items = list(zip(sizes, table["source"].to_pylist(), table["cluster"].to_pylist(), strict=True))
         full = [i for i, n in enumerate(sizes) if n > 0]
-        first = TaskContext.get().partitionId() << 32
+        first = table["shard"][0].as_py() << 32
         bins, offsets = [None] * len(sizes), [None] * len(sizes)
         for i, (b, at) in zip(full, best_fit([items[i] for i in full], capacity), strict=True):
             bins[i], offsets[i] = first + b, at
-        table = table.drop_columns(["cluster"]).append_column("bin_id", pa.array(bins, pa.int64())).append_column("bin_offset", pa.array(offsets, pa.int64()))
-        yield from table.combine_chunks().to_batches()
+        table = table.drop_columns(["cluster", "copy", "shard"]).append_column("bin_id", pa.array(bins, pa.int64())).append_column("bin_offset", pa.array(offsets, pa.int64()))
+        return table.select(["doc_id", "source", "piece", "start", "n_tokens", "bin_id", "bin_offset"])
 
     id_type = dict(rows.dtypes)["doc_id"]
-    return pieces.repartition(shards).mapInArrow(run, f"doc_id {id_type}, source string, piece long, start long, n_tokens long, bin_id long, bin_offset long")
+    return pieces.groupBy("shard").applyInArrow(run, f"doc_id {id_type}, source string, piece long, start long, n_tokens long, bin_id long, bin_offset long")
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pack`` of all documents; no bin holds two pieces of one source or of one text."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "source"))

@@ -263,3 +263,24 @@ def test_unattainable_targets_are_told(spark):
     told = {r["domain"]: r for r in mixing.reached(mixing.mix(frame, model, targets), model.labels, targets).collect()}
     assert told["cc"]["target"] == 0.2 and told["cc"]["copied"] == 0.0
     assert abs(told["aa"]["target"] - 0.625) < 1e-9 and abs(told["aa"]["expected"] - 0.625) < 0.02
+
+
+def test_pieces_of_long_texts_are_spread(spark):
+    docs = [(i, "w " * 64 * 500, "s") for i in range(8)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    rows = packing.pack(frame, capacity=64, shard=256).collect()
+    assert len(rows) == 4000
+    shards = {}
+    for r in rows:
+        shards.setdefault(r["bin_id"] >> 32, []).append(r)
+    assert len(shards) == 16 and max(map(len, shards.values())) < 400
+    assert sorted((r["doc_id"], r["piece"]) for r in rows) == [(d, p) for d in range(8) for p in range(500)]
+
+
+def test_packing_does_not_depend_on_partitions(spark):
+    rng = random.Random(3)
+    docs = [(i % 90, " ".join("w" for _ in range(rng.choice([3, 30, 90]))), f"s{i % 4}") for i in range(200)]
+    frame = spark.createDataFrame(docs + docs[:40], "doc_id long, text string, source string")
+    a, b = (sorted(map(str, packing.pack(frame.repartition(n), 64, 50).collect())) for n in (1, 7))
+    assert a == b
+    assert packing.pack(frame.drop("source"), 64, 50).count() == len(a)
