@@ -1,4 +1,4 @@
-"""Removal of repeated passages: recurring phrases, Aho-Corasick automata over blocks of documents, exact windows."""
+"""Removal of repeated passages: recurring phrases nominate them, and sharded Aho-Corasick automata of their words find them."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .scale import cut, lookup, release
+from .scale import cut, lookup, release, skew_safe_lookup
 
 #: Words of a window, and of a phrase by which windows are found.
 WINDOW, PHRASE = 20, 6
-#: Bytes of text that share an automaton.
+#: Bytes of documents that one automaton reads.
 SHARD = 2 << 20
 _EMPTY = hashlib.sha256(b"").hexdigest()
 
@@ -44,6 +44,10 @@ def _second(text: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarra
     return textnum.hash_words(text, starts, ends, 1)
 
 
+def _words_of(raw: bytes, starts: np.ndarray, ends: np.ndarray, first: int, last: int) -> str:
+    return b" ".join([raw[s:e] for s, e in zip(starts[first:last].tolist(), ends[first:last].tolist(), strict=True)]).decode()
+
+
 def _joined(raw: bytes, starts: np.ndarray, ends: np.ndarray) -> str:
     return hashlib.sha256(b" ".join([raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)])).hexdigest()
 
@@ -73,43 +77,6 @@ def _survey(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                                              names=["doc_id", "n_words", "whole", "phrases", "again"])
 
 
-def locate(hashes: np.ndarray, first: np.ndarray, grams: np.ndarray, wanted: np.ndarray, chosen: np.ndarray, phrase: int = PHRASE) -> np.ndarray:
-    """Places at which any of the ``wanted`` phrases stands: an automaton of their word sequences reads every text.
-
-    The automaton's letters are 32-bit word hashes; sequences that agree in them only are told apart by the caller.
-    """
-    import ahocorasick
-
-    letters = (hashes >> np.uint64(32)).astype(np.int64)
-    place = np.unique(chosen)
-    place = place[np.isin(grams[place], wanted)]
-    hit = np.zeros(len(hashes) + 1, bool)
-    place = place[np.unique(grams[place], return_index=True)[1]]
-    if not len(place):
-        return hit
-    machine = ahocorasick.Automaton(ahocorasick.STORE_LENGTH, ahocorasick.KEY_SEQUENCE)
-    words = letters[place[:, None] + np.arange(phrase)]
-    for word in map(tuple, words.tolist()):
-        machine.add_word(word)
-    machine.make_automaton()
-    # a match lies in a run of words that phrases have, in one text; only such runs are read
-    inside = np.zeros(len(letters) + 1, bool)
-    inside[:-1] = np.isin(letters, words.ravel())
-    begins = inside.copy()
-    begins[1:] &= ~inside[:-1]
-    cuts = first[:-1][first[:-1] < len(letters)]
-    begins[cuts] = inside[cuts]
-    begin = np.flatnonzero(begins)
-    stop = np.minimum(np.append(begin[1:], len(letters)), np.flatnonzero(~inside)[np.searchsorted(np.flatnonzero(~inside), begin)])
-    long_enough = stop - begin >= phrase
-    values = letters.tolist()
-    for a, b in zip(begin[long_enough].tolist(), stop[long_enough].tolist(), strict=True):
-        ends = [e for e, _ in machine.iter(tuple(values[a:b]))]
-        if ends:
-            hit[np.array(ends) + (a - phrase + 1)] = True
-    return hit
-
-
 def _windows(hashes: np.ndarray, others: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """128-bit fingerprints of the windows that start at ``at``, from two independent hashes of each word."""
     return tuple(textnum.hash_grams(h, WINDOW)[at].view(np.int64) for h in (hashes, others))
@@ -139,85 +106,124 @@ def _once(owner: np.ndarray, *values: np.ndarray) -> np.ndarray:
     return order[new]
 
 
-def _places(batch: pa.RecordBatch, find: bool):
-    """For blocks of (doc_id, text, hs): ids, first words, windows at places of recurring phrases (starts, phrases, places, fingerprints).
-
-    With ``find`` the places are found by the block's automaton; else ``hs`` are of places that it has found before.
-    """
+def _places(batch: pa.RecordBatch):
+    """For blocks of (doc_id, text, hs): ids, first words, windows at places of the phrases ``hs`` (starts, phrases, places, fingerprints)."""
     text, offsets = textnum.flat(batch.column(1))
-    for i, j in textnum.groups(offsets, SHARD):
+    for i, j in textnum.groups(offsets):
         part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
         starts, ends, first, hashes, grams, at, chosen = layout(part, cuts)
         wanted = np.unique(batch.column(2).slice(i, j - i).flatten().to_numpy(zero_copy_only=False)).view(np.uint64)
-        hit = locate(hashes, first, grams, wanted, chosen)[chosen] if find else np.isin(grams[chosen], wanted)
+        hit = np.isin(grams[chosen], wanted)
         at, chosen = at[hit], chosen[hit]
         yield batch.column(0).slice(i, j - i).to_numpy(), first, at, grams[chosen].view(np.int64), chosen, *_windows(hashes, _second(part, starts, ends), at)
 
 
 def _emit_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """h, g1, g2, doc_id: each document's distinct runs of windows whose chosen phrase recurs."""
+    """h, k1, k2, doc_id: each document's distinct runs of windows whose chosen phrase recurs."""
     for batch in batches:
-        for ids, first, at, phrases, chosen, w1, w2 in _places(batch, True):
+        for ids, first, at, phrases, chosen, w1, w2 in _places(batch):
             begin, g1, g2 = _segments(w1, w2, chosen)
             begin = begin[:-1]
             owner = np.searchsorted(first, at[begin], side="right") - 1
             pick = _once(owner, g1, g2)
-            yield pa.RecordBatch.from_arrays([pa.array(phrases[begin][pick]), pa.array(g1[pick]), pa.array(g2[pick]), pa.array(ids[owner[pick]])], names=["h", "g1", "g2", "doc_id"])
+            yield pa.RecordBatch.from_arrays([pa.array(phrases[begin][pick]), pa.array(g1[pick]), pa.array(g2[pick]), pa.array(ids[owner[pick]])], names=["h", "k1", "k2", "doc_id"])
 
 
 def _emit_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """w1, w2, doc_id: each document's distinct windows at the phrases that are given for it."""
+    """k1, k2, doc_id: each document's distinct windows at the phrases that are given for it."""
     for batch in batches:
-        for ids, first, at, phrases, _, w1, w2 in _places(batch, False):
+        for ids, first, at, _, _, w1, w2 in _places(batch):
             owner = np.searchsorted(first, at, side="right") - 1
             pick = _once(owner, w1, w2)
             for a in range(0, len(pick), 100_000):
                 part = pick[a : a + 100_000]
-                yield pa.RecordBatch.from_arrays([pa.array(w1[part]), pa.array(w2[part]), pa.array(ids[owner[part]])], names=["w1", "w2", "doc_id"])
+                yield pa.RecordBatch.from_arrays([pa.array(w1[part]), pa.array(w2[part]), pa.array(ids[owner[part]])], names=["k1", "k2", "doc_id"])
 
 
-def _among(a1: np.ndarray, a2: np.ndarray, b1, b2) -> np.ndarray:
-    """Which of the pairs (a1, a2) are in the lists b1, b2."""
-    if b1.values is None or not len(b1.values) or not len(a1):
-        return np.zeros(len(a1), bool)
-    kind = [("a", np.int64), ("b", np.int64)]
-    have, want = np.empty(len(a1), kind), np.empty(len(b1.values), kind)
-    have["a"], have["b"], want["a"], want["b"] = a1, a2, b1.values.to_numpy(), b2.values.to_numpy()
-    want = np.unique(want)
-    at = np.minimum(np.searchsorted(want, have), len(want) - 1)
-    return want[at] == have
+def _among(a1: np.ndarray, a2: np.ndarray, wanted: list[dict], run: bool) -> np.ndarray:
+    """Which of the pairs (a1, a2) are among the wanted keys of runs, or of windows."""
+    keys = {(x["k1"], x["k2"]) for x in wanted if x["run"] == run}
+    return np.fromiter(((x in keys) for x in zip(a1.tolist(), a2.tolist(), strict=True)), bool, len(a1)) if keys else np.zeros(len(a1), bool)
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Text without the words of windows that are known from an earlier document, or stand earlier in the same one."""
+def _emit_passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """run, k1, k2, words: what stands in the wanted runs and windows of (doc_id, text, wanted), joined by blanks."""
     for batch in batches:
         text, offsets = textnum.flat(batch.column(1))
-        for i, j in textnum.groups(offsets):
-            part, cuts = text[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-            starts, ends, first, hashes, _, at, chosen = layout(part, cuts)
+        for i in range(batch.num_rows):
+            part = text[offsets[i] : offsets[i + 1]]
+            starts, ends, _, hashes, _, at, chosen = layout(part, np.array([0, len(part)]))
             w1, w2 = _windows(hashes, _second(part, starts, ends), at)
-            owner = np.searchsorted(first, at, side="right") - 1
-            bounds = np.searchsorted(owner, np.arange(j - i + 1))
-            bad = np.ones(len(at), bool)
-            bad[_once(owner, w1, w2)] = False  # lexsort is stable, so the first of equal windows stays
-            gone = np.zeros(len(starts) + 1, np.int64)
-            for d in range(j - i):
-                lo, hi = bounds[d : d + 2]
-                if lo == hi:
-                    continue
-                bad[lo:hi] |= _among(w1[lo:hi], w2[lo:hi], batch.column(2)[i + d], batch.column(3)[i + d])
-                begin, g1, g2 = _segments(w1[lo:hi], w2[lo:hi], chosen[lo:hi])
-                bad[lo:hi] |= np.repeat(_among(g1, g2, batch.column(4)[i + d], batch.column(5)[i + d]), np.diff(begin))
-            np.add.at(gone, at[bad], 1)
-            np.add.at(gone, at[bad] + WINDOW, -1)
-            covered = np.cumsum(gone)[:-1] > 0
-            counts, kept, raw = [], [], part.tobytes()
-            for d in range(j - i):
-                a, b = first[d : d + 2]
-                stay = np.flatnonzero(~covered[a:b]) + a
-                counts.append(int(b - a - len(stay)))
-                kept.append(_joined(raw, starts[stay], ends[stay]))
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(counts, pa.int64()), pa.array(kept)], names=["doc_id", "r", "kept_sha256"])
+            begin, g1, g2 = _segments(w1, w2, chosen)
+            raw, wanted = part.tobytes(), batch.column(2)[i].as_py()
+            out = []
+            for n in _first_of(g1, g2, _among(g1, g2, wanted, True)):
+                out.append((True, g1[n], g2[n], _words_of(raw, starts, ends, at[begin[n]], at[begin[n + 1] - 1] + WINDOW)))
+            for n in _first_of(w1, w2, _among(w1, w2, wanted, False)):
+                out.append((False, w1[n], w2[n], _words_of(raw, starts, ends, at[n], at[n] + WINDOW)))
+            if out:
+                run, k1, k2, words = zip(*out, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(run), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(words)], names=["run", "k1", "k2", "words"])
+
+
+def _first_of(a: np.ndarray, b: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """The first place of each of the chosen pairs."""
+    at = np.flatnonzero(some)
+    return at[_once(np.zeros(len(at), np.int64), a[at], b[at])] if len(at) else at
+
+
+def covered(ids: np.ndarray, first: np.ndarray, docs: np.ndarray, passages: list[np.ndarray], owners: np.ndarray) -> np.ndarray:
+    """Which words of the texts stand in a passage that an earlier document has: an automaton of all passages reads every text.
+
+    Letters are numbers of words, equal only for equal words. Of equal passages the smallest owner counts.
+    """
+    import ahocorasick
+
+    out = np.zeros(len(ids) + 1, np.int64)
+    machine = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
+    for words, owner in sorted(zip(map(tuple, (p.tolist() for p in passages)), owners.tolist(), strict=True), key=lambda x: -x[1]):
+        machine.add_word(words, (owner, len(words)))  # the smallest owner comes last and stays
+    if not passages:
+        return out[:-1] > 0
+    machine.make_automaton()
+    # a match lies in a run of words that passages have; only such runs are read
+    inside = np.zeros(len(ids) + 1, bool)
+    inside[:-1] = np.isin(ids, np.unique(np.concatenate(passages)))
+    for d, (a, b) in enumerate(zip(first[:-1].tolist(), first[1:].tolist(), strict=True)):
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], inside[a:b], [False]]).astype(np.int8)))
+        for start, stop in edge.reshape(-1, 2)[np.diff(edge)[::2] >= WINDOW].tolist():
+            for end, (owner, n) in machine.iter(tuple(ids[a + start : a + stop].tolist())):
+                if owner < docs[d]:
+                    out[a + start + end + 1 - n] += 1
+                    out[a + start + end + 1] -= 1
+    return np.cumsum(out)[:-1] > 0
+
+
+def _strip(docs: pa.Table, passages: pa.Table) -> pa.Table:
+    """doc_id, r, kept_sha256 of a block's documents without the passages that earlier documents have, and without
+    windows that stand earlier in their own."""
+    text, offsets = textnum.flat(docs["text"])
+    words, cuts = textnum.flat(passages["words"])
+    starts, ends, first = textnum.words(text, offsets)
+    p_starts, p_ends, p_first = textnum.words(words, cuts)
+    ids = textnum.exact_ids(np.concatenate([text, words]), np.concatenate([starts, p_starts + len(text)]), np.concatenate([ends, p_ends + len(text)]))
+    ids, letters = ids[: len(starts)], ids[len(starts) :]
+    names = docs["doc_id"].to_numpy()
+    gone = covered(ids, first, names, [letters[a:b] for a, b in zip(p_first[:-1], p_first[1:], strict=True)], passages["lo"].to_numpy())
+    windows = textnum.exact_grams(ids, WINDOW)
+    raw, counts, kept = text.tobytes(), [], []
+    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+        own = windows[a : max(a, b - WINDOW + 1)]
+        again = np.ones(len(own), bool)
+        again[np.unique(own, return_index=True)[1]] = False
+        edges = np.zeros(b - a + 1, np.int64)
+        at = np.flatnonzero(again)
+        edges[at] += 1
+        edges[at + WINDOW] -= 1
+        stay = np.flatnonzero(~(gone[a:b] | (np.cumsum(edges)[:-1] > 0))) + a
+        counts.append(b - a - len(stay))
+        kept.append(_joined(raw, starts[stay], ends[stay]))
+    return pa.table({"doc_id": docs["doc_id"], "r": pa.array(counts, pa.int64()), "kept_sha256": pa.array(kept, pa.string())})
 
 
 def _originals(survey: DataFrame) -> DataFrame:
@@ -227,33 +233,51 @@ def _originals(survey: DataFrame) -> DataFrame:
 
 
 def _recurring(survey: DataFrame, brief: DataFrame) -> DataFrame:
-    """doc_id, hs: the recurring phrases of each original that has any."""
+    """doc_id, hs, again: the recurring phrases of each original that has any, and whether one stands twice in it."""
     lone = brief.where((F.col("doc_id") == F.col("original")) & (F.col("n_words") >= WINDOW)).select("doc_id", "whole")
     chosen = survey.select("doc_id", "whole", "phrases", "again").join(lone, ["doc_id", "whole"], "left_semi")
     placed = chosen.select("doc_id", F.explode("phrases").alias("h"))
-    shared = placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("h")
-    found = placed.join(shared, "h").select("doc_id", "h").union(chosen.select("doc_id", F.explode("again").alias("h")))
-    return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
+    shared = cut(placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi")).select("h", "n"))
+    total = survey.agg(F.coalesce(F.sum(F.size("phrases")), F.lit(0))).first()[0]
+    found = skew_safe_lookup(placed, shared, ["h"], "n", total, F.col("doc_id")).where(F.col("n").isNotNull()).select("doc_id", "h", F.lit(False).alias("again"))
+    found = found.union(chosen.select("doc_id", F.explode("again").alias("h"), F.lit(True).alias("again")))
+    return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.max("again").alias("again")))
 
 
 def _known_segments(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, g1, g2): runs of windows that an earlier document has. (doc_id, hs): phrases at which owners of runs differ."""
-    segments = cut(candidates.mapInArrow(_emit_segments, "h long, g1 long, g2 long, doc_id long"))
-    owners = cut(segments.groupBy("h", "g1", "g2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")))
-    later = lookup(segments, owners.select("h", "g1", "g2", "lo"), ["h", "g1", "g2"], F.col("doc_id")).where(F.col("lo") < F.col("doc_id"))
-    known = cut(later.groupBy("doc_id").agg(F.collect_list("g1").alias("g1"), F.collect_list("g2").alias("g2")))
-    mixed = owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where(F.col("a") < F.col("b")).select("h")
-    differ = cut(owners.select("h", F.col("lo").alias("doc_id")).join(mixed, "h").groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
-    return known, differ
+    """(doc_id, k1, k2, lo): runs of windows that an earlier document has. (doc_id, hs): phrases at which owners of runs differ."""
+    segments = cut(candidates.select("doc_id", "text", "hs").mapInArrow(_emit_segments, "h long, k1 long, k2 long, doc_id long"))
+    owners = cut(segments.groupBy("h", "k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")))
+    keys = ["h", "k1", "k2"]
+    later = lookup(segments, owners.where(F.col("n") > 1).select(*keys, "lo"), keys, F.col("doc_id")).where(F.col("lo") < F.col("doc_id"))
+    mixed = owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where(F.col("a") < F.col("b")).select("h", F.lit(True).alias("mixed"))
+    differ = lookup(owners.select("h", F.col("lo").alias("doc_id")), mixed, ["h"], F.col("doc_id")).where(F.col("mixed"))
+    return later.select("doc_id", "k1", "k2", "lo"), cut(differ.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
 
 
 def _known_windows(candidates: DataFrame, differ: DataFrame) -> DataFrame:
-    """(doc_id, w1, w2): windows of runs' owners that an earlier owner has."""
+    """(doc_id, k1, k2, lo): windows of runs' owners that an earlier owner has."""
     rows = candidates.select("doc_id", "text").join(differ, "doc_id").select("doc_id", "text", "hs")
-    windows = cut(rows.mapInArrow(_emit_windows, "w1 long, w2 long, doc_id long"))
-    earliest = windows.groupBy("w1", "w2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi"))
-    later = windows.join(earliest, ["w1", "w2"]).where(F.col("lo") < F.col("doc_id"))
-    return cut(later.groupBy("doc_id").agg(F.collect_list("w1").alias("w1"), F.collect_list("w2").alias("w2")))
+    windows = cut(rows.mapInArrow(_emit_windows, "k1 long, k2 long, doc_id long"))
+    earliest = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("k1", "k2", "lo")
+    return lookup(windows, earliest, ["k1", "k2"], F.col("doc_id")).where(F.col("lo") < F.col("doc_id")).select("doc_id", "k1", "k2", "lo")
+
+
+def _stripped(candidates: DataFrame, later: DataFrame) -> DataFrame:
+    """doc_id, r, kept_sha256 of the candidates that lose words.
+
+    ``later`` (doc_id, run, k1, k2, lo) are the nominated passages. Their owners tell the words, once for each passage;
+    documents are dealt evenly into blocks, each with the passages that are nominated for its documents.
+    """
+    owned = later.select(F.col("lo").alias("doc_id"), "run", "k1", "k2").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("run", "k1", "k2")).alias("wanted"))
+    texts = cut(candidates.select("doc_id", "text").join(owned, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_passages, "run boolean, k1 long, k2 long, words string"))
+    touched = later.select("doc_id").union(candidates.where("again").select("doc_id")).distinct()
+    todo = cut(candidates.select("doc_id", "text").join(touched, "doc_id"))
+    blocks = max(1, -(-todo.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SHARD))
+    block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
+    need = cut(later.groupBy(block, "run", "k1", "k2").agg(F.min("lo").alias("lo")))
+    passages = lookup(need, texts, ["run", "k1", "k2"], F.col("block")).where(F.col("words").isNotNull()).select("block", "lo", "words")
+    return todo.select("doc_id", "text", block).groupBy("block").cogroup(passages.groupBy("block")).applyInArrow(_strip, "doc_id long, r long, kept_sha256 string")
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -265,19 +289,23 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     1. Documents of equal words: all but the smallest id go whole, if they hold a window at all.
     2. Each window chooses one phrase by its content; phrases chosen in two documents, or twice in one, recur.
        Anything that repeats has such a phrase, so all else is settled.
-    3. The documents with recurring phrases are dealt into blocks; each block compiles an Aho-Corasick automaton
-       of its phrases, which reads all its documents and gives every place.
-    4. Windows at those places are confirmed by 128-bit fingerprints over all documents: first whole runs of windows
-       that choose the same phrase, of which the least id is the owner; then, where owners of different runs share
-       a phrase, their single windows.
+    3. Runs of windows that choose a recurring phrase are compared by 128-bit fingerprints over all documents; where
+       different runs share a phrase, so are their single windows. This nominates passages, with their first document.
+    4. The first documents give the words of the nominated passages. Blocks of documents are shards: each compiles an
+       Aho-Corasick automaton of the passages nominated for its documents and streams the documents through it. A word goes
+       if the automaton finds it in a passage of an earlier document, compared word by word; windows that repeat in
+       one document are compared in the same way.
 
     A null or empty text has no words. Rows that repeat an id with the same text are one document; with different
-    texts, the text of the smallest hash of words counts. Rows without an id are left out, as they have no place in
-    the order. Phrases, runs and windows are aggregated before they are shuffled; no step gathers the places of one.
+    texts, the text of the smallest hash of words counts. Rows without an id have no place in the order: nothing of them
+    goes, and nothing goes because of them. Phrases, runs and windows are aggregated before they are shuffled, and hot ones
+    are looked up skew-safely.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).where(F.col("doc_id").isNotNull())
-    survey = cut(docs.mapInArrow(_survey, "doc_id long, n_words long, whole string, phrases array<long>, again array<long>"))
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    every = cut(docs.mapInArrow(_survey, "doc_id long, n_words long, whole string, phrases array<long>, again array<long>"))
+    nameless = every.where(F.col("doc_id").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"))
+    survey, docs = every.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNotNull())
     brief = _originals(survey)
     repeats = survey.count() != brief.count()
     if repeats:
@@ -285,26 +313,28 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         docs = docs.dropDuplicates()
     found = _recurring(survey, brief)
     release(spark)
-    candidates = docs.join(found, "doc_id").select("doc_id", "text", "hs")
+    candidates = docs.join(found, "doc_id").select("doc_id", "text", "hs", "again")
     if repeats:  # keep the text that counts
         words = F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), " "), 256)
-        candidates = candidates.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "hs")
+        candidates = candidates.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "hs", "again")
     candidates = cut(candidates)
     del survey, found
     release(spark)
     runs, differ = _known_segments(candidates)
     release(spark)
     singles = _known_windows(candidates, differ)
+    later = cut(runs.select("doc_id", F.lit(True).alias("run"), "k1", "k2", "lo").union(singles.select("doc_id", F.lit(False).alias("run"), "k1", "k2", "lo")))
     release(spark)
-    loaded = candidates.select("doc_id", "text").join(singles, "doc_id", "left").join(runs, "doc_id", "left").select("doc_id", "text", "w1", "w2", "g1", "g2")
-    stripped = loaded.mapInArrow(_strip, "doc_id long, r long, kept_sha256 string")
+    stripped = _stripped(candidates, later)
     copy = (F.col("doc_id") != F.col("original")) & (F.col("n_words") >= WINDOW)
-    return brief.join(stripped, "doc_id", "left").select(
+    out = brief.join(stripped, "doc_id", "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("r", F.lit(0).cast("long"))).alias("n_removed"),
         F.when(copy, F.lit(_EMPTY)).otherwise(F.coalesce("kept_sha256", "whole")).alias("kept_sha256"))
+    return out.union(nameless)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``repeated_passages`` of all documents."""
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 
 

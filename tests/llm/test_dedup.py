@@ -135,7 +135,7 @@ def test_repeated_passages(spark):
 def test_repeated_passages_odd_rows(spark):
     text = " ".join(map(str, range(30)))
     frame = spark.createDataFrame([(1, text, "a"), (1, text, "b"), (None, text, "c"), (2, text + " more", "d")], "doc_id long, text string, hs string")
-    assert sorted((r["doc_id"], r["n_removed"]) for r in substring_dedup.repeated_passages(frame).collect()) == [(1, 0), (2, 30)]
+    assert sorted((r["doc_id"] or 0, r["n_removed"]) for r in substring_dedup.repeated_passages(frame).collect()) == [(0, 0), (1, 0), (2, 30)]
     assert substring_dedup.repeated_passages(frame.limit(0)).count() == 0
 
 
@@ -289,3 +289,31 @@ def test_a_large_group_visits_its_hub(spark):
         docs.append((i, " ".join(w)))
     check_near(spark, docs, 85, block=7)
     check_near(spark, docs, 80, block=2)
+
+
+def test_the_automaton_decides(spark, monkeypatch):
+    docs = passages()
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    monkeypatch.setattr(substring_dedup, "SHARD", 500)  # many blocks
+    with_it = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(frame).collect()}
+    assert with_it == {i: x[1] for i, x in brute_passages(docs).items()}
+    nothing = lambda ids, first, docs, passages, owners: np.zeros(len(ids), bool)
+    monkeypatch.setattr(substring_dedup, "covered", nothing)
+    without = {r["doc_id"]: r["n_removed"] for r in substring_dedup.repeated_passages(frame).collect()}
+    assert sum(without.values()) < sum(with_it.values())
+
+
+def test_covered_against_a_plain_search():
+    rng = np.random.default_rng(7)
+    ids = rng.integers(0, 2, 900)
+    first = np.array([0, 300, 300, 900])
+    passages = [rng.integers(0, 2, 20) for _ in range(40)] + [ids[100:125], ids[100:122], ids[400:430], ids[400:430]]
+    owners = np.array([*rng.integers(0, 9, 40), 4, 1, 8, 3])
+    names = np.array([2, 3, 7])
+    want = np.zeros(900, bool)
+    for d in range(3):
+        for p, owner in zip(passages, owners, strict=True):
+            for at in range(first[d], first[d + 1] - len(p) + 1):
+                if owner < names[d] and (ids[at : at + len(p)] == p).all():
+                    want[at : at + len(p)] = True
+    assert (substring_dedup.covered(ids, first, names, passages, owners) == want).all() and want.any()
