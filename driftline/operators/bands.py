@@ -90,3 +90,11 @@ def thin_by_bands(points: DataFrame, key: str, found: DataFrame) -> DataFrame:
     hit = F.get(F.filter("bands", inside), F.lit(0))
     out = points.join(pairs, key, "left").withColumn("band", hit)
     return out.withColumn("outlier", F.col("band").isNull()).withColumn("value", F.coalesce((F.col("band.low") + F.col("band.high")) / 2, F.col("value"))).drop("bands")
+
+
+def band_statistics(points: DataFrame, key: str, found: DataFrame, interval: int) -> DataFrame:
+    """(key, epoch, low, high, points, mean) for each band and interval of ``interval`` seconds; outliers under null bounds."""
+    inside = points.join(found.groupBy(key).agg(F.collect_list(F.struct("low", "high")).alias("bands")), key, "left")
+    band = F.get(F.filter("bands", lambda b: (F.col("value") >= b["low"]) & (F.col("value") <= b["high"])), F.lit(0))
+    at = (F.floor(F.col("epoch") / interval) * interval).alias("epoch")
+    return inside.groupBy(key, at, band["low"].alias("low"), band["high"].alias("high")).agg(F.count(F.lit(1)).alias("points"), F.avg("value").alias("mean"))

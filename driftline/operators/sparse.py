@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bands import grow
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -43,6 +45,7 @@ class State:
     value: float | None = None
     recent: list[float] = field(default_factory=list)
     raw: float | None = None
+    bands: list[list[float]] | None = None
 
 
 def _lossless(state: State, v: float, rule: Rule) -> bool:
@@ -62,8 +65,26 @@ def _percentile(state: State, v: float, rule: Rule) -> bool:
     return abs(v - state.value) / scale > rule.min_delta if scale > 0 else v != state.value
 
 
-#: Algorithms by name; add to it to plug in others.
-ALGORITHMS = {"lossless": _lossless, "delta": _delta, "percentile": _percentile, "none": lambda state, v, rule: True}
+def _banded(state: State, v: float, rule: Rule) -> float:
+    """A value as the middle of its band, or as it is if it lies in none; the first ``window`` values make the bands, once."""
+    if state.bands is None:
+        state.recent = [*state.recent, v]
+        if len(state.recent) < rule.window:
+            return v
+        low, high = min(state.recent), max(state.recent)
+        width = max((high - low) / BINS, 1e-12)
+        counts = [0] * BINS
+        for x in state.recent:
+            counts[min(int((x - low) / width), BINS - 1)] += 1
+        state.bands = [[b.low, b.high] for b in grow([low + (i + 0.5) * width for i in range(BINS)], counts, max_width=rule.min_delta or 0.05)]
+        state.recent = []
+    return next(((a + b) / 2 for a, b in state.bands if a <= v <= b), v)
+
+
+#: Bins of the histogram that bands grow from.
+BINS = 200
+#: Algorithms by name; add to it to plug in others. ``outlier``: values in a band are told once as its middle, others always.
+ALGORITHMS = {"lossless": _lossless, "delta": _delta, "percentile": _percentile, "outlier": _lossless, "none": lambda state, v, rule: True}
 
 
 def step(state: State, epoch: int, value: float, rule: Rule) -> list[tuple[int, float | None, str | None, str]]:
@@ -78,6 +99,8 @@ def step(state: State, epoch: int, value: float, rule: Rule) -> list[tuple[int,
             state.received, state.written, state.raw = epoch, epoch, raw
             return [(epoch, None, "missing", "first")]
         value = (raw - state.raw) / (epoch - state.written) if epoch > state.written else 0.0
+    if rule.algorithm == "outlier":
+        value = _banded(state, value, rule)
     if state.received is not None and epoch - state.received > rule.gap:
         out.append((state.received + rule.gap, None, "missing", "gap"))
         decision = "changed"  # after a gap marker the value must be told again
@@ -91,7 +114,7 @@ def step(state: State, epoch: int, value: float, rule: Rule) -> list[tuple[int,
         decision = "forced" if epoch - state.written > rule.forced else "dropped"
     out.append((epoch, value, None, decision))
     state.received = max(epoch, state.received or epoch)
-    state.recent = [*state.recent, value][-rule.window :] if rule.algorithm == "percentile" else []
+    state.recent = [*state.recent, value][-rule.window :] if rule.algorithm == "percentile" else state.recent if rule.algorithm == "outlier" else []
     if decision != "dropped":
         state.written, state.value = epoch, value
         state.raw = raw if rule.transform else None
@@ -152,6 +175,18 @@ def tombstones(points: DataFrame, keys: list[str], gap: int, now: int | None = N
     return last.select(*keys, (F.col("last") + gap).alias("epoch"), F.lit("tombstone").alias("marker"))
 
 
+def bundle_tombstones(points: DataFrame, keys: list[str], gap: int, version: int) -> DataFrame:
+    """A versioned tombstone ``gap`` after the last point of every series of a bundle, whatever the time is."""
+    return tombstones(points, keys, gap).withColumn("version", F.lit(version).cast("long"))
+
+
+def new_keys(points: DataFrame, known: DataFrame, keys: list[str]) -> DataFrame:
+    """Series of ``points`` that the catalogue ``known`` lacks, each with its first epoch: what a search index is told."""
+    fresh = points.groupBy(*keys).agg(F.min("epoch").alias("epoch"))
+    old = known.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+    return fresh.join(old, [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys], "left_anti")
+
+
 def rate(points: DataFrame, keys: list[str], clamp: bool = False) -> DataFrame:
     """A counter's change per second since the point before; the first point is a missing marker.
 

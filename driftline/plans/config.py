@@ -6,7 +6,7 @@ import fnmatch
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.sparse import Rule
@@ -88,6 +88,17 @@ class Config:
             out = out | name.rlike(fnmatch.translate(g).replace(r"\Z", "$").replace("(?s:", "(?s:").replace(r"\z", "$"))
         return out
 
+    def with_cross_cluster(self, points: DataFrame, name: str = "name") -> DataFrame:
+        """``points`` with a datasource, and those that cross clusters a second time under the metric-sharded one.
+
+        Clusters are dealt over shards by their own name; metrics that cross clusters by the metric's.
+        """
+        name = F.col(name)
+        cluster, metric = F.split(name, r"\.")[1], F.substring_index(name, ".", -1)
+        own = points.withColumn("datasource", F.concat_ws("_", self.datasource(name), self.shard(F.coalesce(cluster, name)).cast("string")))
+        crossing = points.where(self.is_cross_cluster(name)).withColumn("datasource", F.concat_ws("_", self.datasource(name), F.lit("ccluster"), self.shard(metric).cast("string")))
+        return own.unionByName(crossing)
+
     def shard(self, key: Column) -> Column:
         return adler_shard(key, F.lit(self.shards))
 

@@ -198,7 +198,7 @@ def ordered(name: str, key: str, order: str, call: Callable[[Series], Series], h
     def run(spark: SparkSession, d: str) -> DataFrame:
         s = call(paths(spark, d))
         points = s.df.groupBy("place").agg(F.count(F.lit(1)).alias("points"))
-        return points.join(s.positions(), "place").select(F.col("position").cast("long").alias("idx"), "series_id", "points")
+        return points.join(s.positions(int(n.split()[1]) if n else None), "place").select(F.col("position").cast("long").alias("idx"), "series_id", "points")
 
     QUERIES[f"g_{name}"] = run
     ORACLES[f"g_{name}"] = BASE + f" SELECT row_number() OVER (ORDER BY k {order}, i) - 1 AS idx, sid AS series_id, n AS points FROM (SELECT sid, i, {key} AS k, count(*) AS n FROM s GROUP BY sid, i {having}) t ORDER BY 1 {n}"

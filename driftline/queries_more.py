@@ -9,7 +9,7 @@ from .operators import anomaly, bands, explore, rollup, sparse
 from .operators import resample as R
 from .operators.timerange import TimeRange, missing
 from .plans import graphite as paths_language
-from .plans.config import adler_shard
+from .plans.config import Config, adler_shard
 from .plans.planner import SqlPlanner, Table
 from .queries import BASE, END, EV, ORACLES, PTS, QUERIES, SIXES, START, by_type, events, out, paths, query, rows, twm_sql
 from .sources import codec
@@ -64,6 +64,7 @@ for _name, _f in {"mean": "avg(v)", "sum": "sum(v)", "min": "min(v)", "max": "ma
     sql(f"sql_{_name}", f"{_name}(user)", _agg(_f), digits=2 if _name in ("prod", "var") else 6)
 sql("sql_percentile", "percentile(user, 70)", _agg("quantile_cont(v, 0.7)"))
 sql("sql_quantile", "quantile(user, 0.25)", _agg("quantile_cont(v, 0.25)"))
+sql("sql_approx_percentile", "approx_percentile(user, 50)", _agg("quantile_disc(v, 0.5)"))
 sql("sql_topk", "topk(user, 2)", "SELECT event_type, epoch, list_transform(list_sort(list(v) FILTER (v IS NOT NULL))[-2:], lambda x: x) AS value FROM u GROUP BY 1, 2 HAVING count(v) > 0 UNION ALL SELECT event_type, epoch, [] FROM u GROUP BY 1, 2 HAVING count(v) = 0")
 sql("sql_as_percentage", "as_percentage(user)", "SELECT event_type, epoch, list_transform(coalesce(list_sort(list(v) FILTER (v IS NOT NULL)), []), lambda x: x * 100 / s) AS value FROM (SELECT *, sum(v) OVER (PARTITION BY event_type, epoch) AS s FROM u) GROUP BY event_type, epoch, s")
 sql("sql_percent", "percent(mean(user), mean(system))", "SELECT u.event_type, u.epoch, (avg(u.v) * 100 / nullif(avg(y.v), 0)) AS value FROM u JOIN y USING (event_type, grp, epoch) GROUP BY 1, 2", base=US)
@@ -287,6 +288,29 @@ def _(spark, d):
     return sparse.tombstones(events(spark, d), ["event_type", "user_id"], 600, END, 86400)
 
 
+@query("bundle_tombstones", f"WITH {EV} SELECT event_type, max(epoch) + 600 AS epoch, 'tombstone' AS marker, CAST(7 AS BIGINT) AS version FROM ev GROUP BY 1")
+def _(spark, d):
+    return sparse.bundle_tombstones(events(spark, d), ["event_type"], 600, 7)
+
+
+@query("new_series_keys", f"WITH {EV} SELECT event_type, user_id, min(epoch) AS epoch FROM ev WHERE epoch >= {START + 864000} AND (event_type, user_id) NOT IN (SELECT DISTINCT event_type, user_id FROM ev WHERE epoch < {START + 864000}) GROUP BY 1, 2")
+def _(spark, d):
+    return sparse.new_keys(events(spark, d, START + 864000, END), events(spark, d, START, START + 864000), ["event_type", "user_id"])
+
+
+@query("drops_by_kind", f"WITH {STEPS} SELECT CASE WHEN series_id = 'click' THEN 'histogram' WHEN series_id = 'view' THEN 'counter' ELSE 'gauge' END AS kind, count(*) AS received, sum(CASE WHEN value IS NOT DISTINCT FROM b THEN 1 ELSE 0 END)::BIGINT AS dropped FROM (SELECT *, lag(value) OVER (PARTITION BY series_id ORDER BY epoch) AS b FROM st) GROUP BY 1")
+def _(spark, d):
+    found = sparse.decide(_steps(spark, d), [sparse.Rule("lossless", gap=10**9, forced=10**9)])
+    suffix = F.when(F.col("series_id") == "click", ".p99").when(F.col("series_id") == "view", ".count").otherwise(".value")
+    return sparse.drop_report(found.withColumn("kind", codec.metric_kind(F.concat("series_id", suffix))), "kind").select("kind", "received", "dropped")
+
+
+@query("cross_cluster_copy", BASE + """, p AS (SELECT DISTINCT sid AS name FROM s) SELECT name, concat('ts_', 0) AS datasource FROM p UNION ALL SELECT name, 'ts_ccluster_0' FROM p WHERE regexp_matches(name, 'events\\.(click|view)$')""")
+def _(spark, d):
+    config = Config(datasources={"": "ts"}, cross_cluster=("clusters.*.events.click", "clusters.*.events.view"))
+    return config.with_cross_cluster(_named(spark, d).select("name").distinct()).select("name", "datasource")
+
+
 @query("stream_transform_rate", f"WITH {PTS} SELECT event_type, epoch, round((value - lag(value) OVER w) / nullif(epoch - lag(epoch) OVER w, 0), 8) AS value, CASE WHEN lag(epoch) OVER w IS NULL THEN 'missing' END AS marker FROM pts WINDOW w AS (PARTITION BY event_type ORDER BY epoch)")
 def _(spark, d):
     return sparse.rate(by_type(spark, d), ["event_type"]).withColumn("value", F.round("value", 8))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.resample import resample_dense
+from ..operators.timerange import TimeRange
+
 MISSING, TOMBSTONE = -1.0, -3.0
 # What real values equal to a marker are stored as.
 STORED = {MISSING: -3.14159, TOMBSTONE: -9.42477}
@@ -102,6 +105,13 @@ def bundle_points(rows: DataFrame, cluster: str, version: int, allow: str | None
     return rows.select(F.lit("flat").alias("datasource"), field.alias("field"), tags.alias("tags"), F.ceil(F.col("timestamp") / 1e9).cast("long").alias("epoch"), "value", F.lit(version).cast("long").alias("version"))
 
 
+def dense_bundle(rows: DataFrame, cluster: str, version: int, rng: TimeRange, allow: str | None = None, deny: str | None = None) -> DataFrame:
+    """A bundle's flat series on the grid of ``rng``: means of the points in each bucket, empty buckets left out."""
+    points = bundle_points(rows, cluster, version, allow, deny)
+    named = points.select(series_id(F.col("datasource"), F.col("tags"), F.col("field")).alias("series_id"), "epoch", "value")
+    return resample_dense(named, rng, ["series_id"]).where(F.col("value").isNotNull()).withColumn("version", F.lit(version).cast("long"))
+
+
 def bundle_counts(rows: DataFrame) -> DataFrame:
     """n_flat, n_tagged and n_skipped of a bundle."""
     tagged = F.size(F.coalesce("tags", F.array().cast("array<struct<key:string,value:string>>"))) > 0

@@ -123,6 +123,24 @@ def rollup(points: DataFrame, keys: list[str], window: int, late: str = "1 hour"
     return out.select(*keys, F.unix_timestamp("window.end").alias("epoch"), "mean", "max", "n")
 
 
+def consume(points: DataFrame, rules: list[sparse.Rule], mode: str = "both", windows: tuple[int, ...] = (3600,), gap: int = 600) -> dict[str, DataFrame]:
+    """The frames that a consumer writes: ``raw`` (what the sparsifier keeps) and ``rollup_<seconds>`` of what was received.
+
+    ``mode``: realtime (raw only), rollup (rollups only, without sparse checks of raw points), both, or recovery (markers
+    only: gaps and tombstones that an interrupted consumer owes; values are not written again).
+    """
+    if mode not in ("realtime", "rollup", "both", "recovery"):
+        raise ValueError(f"unknown mode {mode!r}")
+    out = {}
+    if mode != "rollup":
+        kept = sparse.kept(sparsify(points, rules) if points.isStreaming else sparse.decide(points, rules))
+        out["raw"] = kept.where(F.col("marker").isNotNull()) if mode == "recovery" else kept
+    if mode in ("rollup", "both"):
+        marked = points if "marker" in points.columns else points.withColumn("marker", F.lit(None).cast("string"))
+        out |= {f"rollup_{w}": rollup_steps(marked, w, gap) for w in windows}
+    return out
+
+
 def from_lines(lines: DataFrame, late: int = 30 * 86400, early: int = 2 * 86400) -> DataFrame:
     """Points of a stream of text lines (column ``value``, as Kafka gives it), without those that are too late or early."""
     rows = lines.select(F.col("value").cast("string").alias("line"))

@@ -277,3 +277,65 @@ def test_step_rollup_markers():
     assert state.step(0, 10.0, False, 60, 30) == []
     assert state.step(130, 5.0, False, 60, 30) == [(60, 10.0, 300.0, 10.0, 10.0, None), (120, None, None, None, None, "missing")]
     assert state.step(150, None, True, 60, 30) == [(180, 5.0, 100.0, 5.0, 5.0, None), (240, None, None, None, None, "tombstone")]
+
+
+def test_outliers_are_told_and_bands_once(spark):
+    rng = random.Random(5)
+    values = [rng.choice([10, 90]) + rng.uniform(-1, 1) for _ in range(400)] + [50.0, 10.2, 10.4, 300.0, 90.3]
+    rule = sparse.Rule("outlier", window=400, gap=10**6, forced=10**6)
+    out = machine(list(enumerate(values)), rule)
+    tail = [(v, d) for _, v, _, d in out[-5:]]
+    assert tail[0] == (50.0, "changed") and tail[3] == (300.0, "changed")
+    assert tail[1][1] == "changed" and abs(tail[1][0] - 10) < 1.5 and tail[2] == (tail[1][0], "dropped")
+
+
+def test_band_statistics(spark):
+    points = spark.createDataFrame([("a", 0, 1.0), ("a", 5, 1.2), ("a", 15, 9.0)], "k string, epoch long, value double")
+    found = spark.createDataFrame([("a", 0.5, 1.5, 0.9)], "k string, low double, high double, probability double")
+    got = {(r["epoch"], r["low"]): (r["points"], r["mean"]) for r in bands.band_statistics(points, "k", found, 10).collect()}
+    assert got == {(0, 0.5): (2, pytest.approx(1.1)), (10, None): (1, 9.0)}
+
+
+def test_consumer_modes(spark):
+    df = spark.createDataFrame([("s", e, 5.0) for e in range(0, 8000, 60)] + [("s", 20000, 5.0)], "series_id string, epoch long, value double")
+    rules = [sparse.Rule("lossless", gap=600, forced=10**6)]
+    raw = pipeline.consume(df, rules, "realtime")["raw"]
+    assert sorted((r["epoch"], r["marker"]) for r in raw.collect()) == [(0, None), (8580, "missing"), (20000, None)]
+    assert [r["epoch"] for r in pipeline.consume(df, rules, "recovery")["raw"].collect()] == [8580]
+    assert set(pipeline.consume(df, rules, "realtime")) == {"raw"}
+    with pytest.raises(ValueError):
+        pipeline.consume(df, rules, "nothing")
+
+
+def test_rollup_steps_on_a_stream(spark, tmp_path):
+    rows = [("s", e, float(e % 7), None) for e in range(0, 14400, 600)] + [("s", 14400, None, "tombstone")]
+    schema = "series_id string, epoch long, value double, marker string"
+    for i, part in enumerate((rows[:10], rows[10:])):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").json(f"{tmp_path}/in{i}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(f"{tmp_path}/in*")
+    out = pipeline.consume(stream, [], "rollup", (3600,), 10**6)["rollup_3600"]
+    query = out.writeStream.format("memory").queryName("steps").option("checkpointLocation", f"{tmp_path}/at").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = {r["epoch"]: (r["mean"], r["sum"], r["max"], r["last"], r["marker"]) for r in spark.table("steps").collect()}
+    want = {}
+    for end in range(3600, 14401, 3600):
+        v = [float(e % 7) for e in range(end - 3600, end, 600)]
+        want[end] = (pytest.approx(sum(v) / 6), sum(v) * 600, max(v), v[-1], None)
+    assert got == want | {18000: (None, None, None, None, "tombstone")}
+
+
+def test_bundles_generators_and_copies(spark):
+    assert generators.catch_all(spark, 2, 5, 0).count() == 10 and generators.multi_cluster(spark, 2, 3, 4, 0).select("name").distinct().count() == 6
+    near = generators.outliers(spark, 1, 5000, 0).selectExpr("avg(cast(abs(value - 10) <= 1 or abs(value - 90) <= 1 or abs(value - 200) <= 1 as double)) AS share").first()["share"]
+    assert 0.97 < near < 1 and generators.live(spark).isStreaming
+    rows = spark.createDataFrame([("a.b.c", e * 10**9, "value", float(e), []) for e in (0, 30, 60, 200)] + [("x", 0, "value", 1.0, [])], codec.BUNDLE)
+    dense = codec.dense_bundle(rows, "c1", 7, TimeRange(0, 300, 60))
+    assert sorted((r["epoch"], r["value"], r["version"]) for r in dense.collect()) == [(0, 15.0, 7), (60, 60.0, 7), (180, 200.0, 7)]
+    config = Config(datasources={"": "ts"}, cross_cluster=("*.load",), shards=3)
+    names = spark.createDataFrame([("clusters.a.n.load",), ("clusters.b.n.cpu",)], "name string")
+    got = sorted((r["name"], r["datasource"]) for r in config.with_cross_cluster(names).collect())
+    shard = lambda k: zlib.adler32(k.encode()) % 3
+    assert got == sorted([("clusters.a.n.load", f"ts_{shard('a')}"), ("clusters.a.n.load", f"ts_ccluster_{shard('load')}"), ("clusters.b.n.cpu", f"ts_{shard('b')}")])
+    known = spark.createDataFrame([("a",), (None,)], "k string")
+    points = spark.createDataFrame([("a", 1), ("b", 5), ("b", 2), (None, 3)], "k string, epoch long")
+    assert [tuple(r) for r in sparse.new_keys(points, known, ["k"]).collect()] == [("b", 2)]
