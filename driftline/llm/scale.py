@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..durable import cut
 
-__all__ = ["cut", "lookup", "release", "skew_safe_lookup"]
+__all__ = ["cut", "lookup", "release", "skew_safe_lookup", "skew_safe_match"]
 
 #: A key counts as hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer hot keys than this.
 HOT_PARTS = 1000
@@ -42,6 +42,20 @@ def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight:
     return out.select(*rows.columns, *[picked[c].alias(c) for c in values])
 
 
+def skew_safe_match(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``table`` (unique on ``keys``, materialised), whatever share of the rows one key holds.
+
+    ``weight`` in ``table`` is the number of rows of a key and ``total`` at least their sum. Rows of keys above
+    ``total / HOT_PARTS``, fewer than HOT_PARTS keys by counting, meet a broadcast table; they are taken out of
+    what is shuffled for the others, which carries nothing but the rows themselves. Without ``weight`` in the result.
+    """
+    hot = F.broadcast(table.where(F.col(weight) * HOT_PARTS > total).drop(weight))
+    cold = table.where(F.col(weight) * HOT_PARTS <= total).drop(weight)
+    values = [c for c in table.columns if c not in (*keys, weight)]
+    far = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys).select(*rows.columns, *values)
+    return far.union(rows.join(hot, keys).select(*rows.columns, *values))
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """``skew_safe_lookup`` for a small materialised ``rows``: its hot keys are counted first."""
     total = rows.count()

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .scale import cut, lookup, release, skew_safe_lookup
+from .scale import cut, lookup, release, skew_safe_match
 
 #: Words of a window, and of a phrase by which windows are found.
 WINDOW, PHRASE = 20, 6
@@ -239,7 +239,7 @@ def _recurring(survey: DataFrame, brief: DataFrame) -> DataFrame:
     placed = chosen.select("doc_id", F.explode("phrases").alias("h"))
     shared = cut(placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi")).select("h", "n"))
     total = survey.agg(F.coalesce(F.sum(F.size("phrases")), F.lit(0))).first()[0]
-    found = skew_safe_lookup(placed, shared, ["h"], "n", total, F.col("doc_id")).where(F.col("n").isNotNull()).select("doc_id", "h", F.lit(False).alias("again"))
+    found = skew_safe_match(placed, shared, ["h"], "n", total).select("doc_id", "h", F.lit(False).alias("again"))
     found = found.union(chosen.select("doc_id", F.explode("again").alias("h"), F.lit(True).alias("again")))
     return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.max("again").alias("again")))
 
@@ -248,10 +248,9 @@ def _known_segments(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, lo): runs of windows that an earlier document has. (doc_id, hs): phrases at which owners of runs differ."""
     segments = cut(candidates.select("doc_id", "text", "hs").mapInArrow(_emit_segments, "h long, k1 long, k2 long, doc_id long"))
     owners = cut(segments.groupBy("h", "k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")))
-    keys = ["h", "k1", "k2"]
-    later = lookup(segments, owners.where(F.col("n") > 1).select(*keys, "lo"), keys, F.col("doc_id")).where(F.col("lo") < F.col("doc_id"))
-    mixed = owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b")).where(F.col("a") < F.col("b")).select("h", F.lit(True).alias("mixed"))
-    differ = lookup(owners.select("h", F.col("lo").alias("doc_id")), mixed, ["h"], F.col("doc_id")).where(F.col("mixed"))
+    later = skew_safe_match(segments, owners.where(F.col("n") > 1), ["h", "k1", "k2"], "n", segments.count()).where(F.col("lo") < F.col("doc_id"))
+    mixed = cut(owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") < F.col("b")).select("h", "n"))
+    differ = skew_safe_match(owners.select("h", F.col("lo").alias("doc_id")), mixed, ["h"], "n", owners.count())
     return later.select("doc_id", "k1", "k2", "lo"), cut(differ.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
 
 
@@ -259,8 +258,8 @@ def _known_windows(candidates: DataFrame, differ: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, lo): windows of runs' owners that an earlier owner has."""
     rows = candidates.select("doc_id", "text").join(differ, "doc_id").select("doc_id", "text", "hs")
     windows = cut(rows.mapInArrow(_emit_windows, "k1 long, k2 long, doc_id long"))
-    earliest = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where(F.col("lo") < F.col("hi")).select("k1", "k2", "lo")
-    return lookup(windows, earliest, ["k1", "k2"], F.col("doc_id")).where(F.col("lo") < F.col("doc_id")).select("doc_id", "k1", "k2", "lo")
+    earliest = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi"))
+    return skew_safe_match(windows, cut(earliest.select("k1", "k2", "lo", "n")), ["k1", "k2"], "n", windows.count()).where(F.col("lo") < F.col("doc_id")).select("doc_id", "k1", "k2", "lo")
 
 
 def _stripped(candidates: DataFrame, later: DataFrame) -> DataFrame:
