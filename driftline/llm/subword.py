@@ -192,6 +192,10 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
     return model
 
 
+#: Words whose n-grams are looked at together in training, which bounds its temporary arrays.
+WORDS = 20_000
+
+
 def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
     """The distinct (text, word) pairs, and the n-gram buckets of each distinct word as (first, buckets)."""
     text, offsets = texts
@@ -205,11 +209,12 @@ def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
         mine = np.fromiter((seen.setdefault(raw[s : e + 1], len(seen)) for s, e in zip(starts.tolist(), ends.tolist(), strict=True)), np.int64, len(starts))
         owner = np.searchsorted(moved, starts, side="right") - 1
         pair = np.unique(owner * np.int64(1 << 40) + mine)
-        owners.append((pair >> 40) + a)
-        ids.append(pair & ((1 << 40) - 1))
+        owners.append(((pair >> 40) + a).astype(np.int32))
+        ids.append((pair & ((1 << 40) - 1)).astype(np.int32))
     names, codes, counts = list(seen), [], []
-    for a in range(0, len(names), 20_000):
-        part = names[a : a + 20_000]
+    del seen
+    for a in range(0, len(names), WORDS):
+        part = names[a : a + WORDS]
         one = np.frombuffer(b"".join(part), np.uint8)  # each distinct word between its blanks
         begin = np.concatenate([[0], np.cumsum(np.fromiter(map(len, part), np.int64, len(part)))])
         found = [(*grams(one, 0, len(one), n, bits), n) for n in SIZES]
@@ -220,14 +225,30 @@ def _vocabulary(texts: tuple[np.ndarray, np.ndarray], bits: int):
         word = np.searchsorted(begin, at, side="right") - 1
         inside = at + reach <= begin[word + 1]
         codes.append(code[inside].astype(np.int32))
-        counts.append(np.bincount(word[inside], minlength=len(part)))
-    first = np.concatenate([[0], np.cumsum(np.concatenate(counts))]) if counts else np.zeros(1, np.int64)
+        counts.append(np.bincount(word[inside], minlength=len(part)).astype(np.int32))
+    del names
+    first = np.concatenate([[0], np.cumsum(np.concatenate(counts), dtype=np.int64)]) if counts else np.zeros(1, np.int64)
     return np.concatenate(owners), np.concatenate(ids), first, np.concatenate(codes) if codes else np.zeros(0, np.int32)
 
 
 def _means(line: np.ndarray, first: np.ndarray, code: np.ndarray) -> np.ndarray:
-    sums = np.concatenate([[0], np.cumsum(line[code], dtype=np.float64)])
-    return (sums[first[1:]] - sums[first[:-1]]) / np.maximum(np.diff(first), 1)
+    """The average of ``line`` over each word's buckets."""
+    out = np.zeros(len(first) - 1, np.float32)
+    for a in range(0, len(out), WORDS):
+        cuts = first[a : a + WORDS + 1]
+        sums = np.concatenate([[0], np.cumsum(line[code[cuts[0] : cuts[-1]]], dtype=np.float64)])
+        out[a : a + WORDS] = np.diff(sums[cuts - cuts[0]]) / np.maximum(np.diff(cuts), 1)
+    return out
+
+
+def _spread(by_word: np.ndarray, first: np.ndarray, code: np.ndarray, buckets: int) -> np.ndarray:
+    """The slopes of buckets from those of the words' averages."""
+    out = np.zeros(buckets)
+    for a in range(0, len(first) - 1, WORDS):
+        cuts = first[a : a + WORDS + 1]
+        size = np.diff(cuts)
+        out += np.bincount(code[cuts[0] : cuts[-1]], np.repeat(by_word[a : a + WORDS] / np.maximum(size, 1), size), buckets)
+    return out.astype(np.float32)
 
 
 @dataclass
@@ -274,9 +295,8 @@ def train_detector(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, sh
         mine = rng.permutation(np.flatnonzero(targets == y))
         back[mine[: len(mine) // 5]] = True
     used = ~back[owner]
-    pair_text, pair_word = owner[used], ids[used]
-    order = np.argsort(pair_text, kind="stable")
-    pair_text, pair_word = pair_text[order], pair_word[order]
+    pair_text, pair_word = owner[used], ids[used]  # by text, as the vocabulary gives them
+    del owner, ids, used
     here, begin = np.unique(pair_text, return_index=True)
     length = np.diff(np.append(begin, len(pair_text)))
     y = targets[here].astype(np.float64)
@@ -285,19 +305,16 @@ def train_detector(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, sh
     w = (rng.standard_normal(dim) * 0.3).astype(np.float32)
     bias = 0.0
     seen_e, seen_w, seen_b = np.full((1 << bits, 1), 1e-8, np.float32), np.full(dim, 1e-8), 1e-8
-    per_word = np.maximum(np.diff(first), 1)
-    word_of_code = np.repeat(np.arange(n), np.diff(first))
     for step in range(steps if len(here) else 0):
         sharp = 1.0 + 9.0 * step / steps
         z = _means(emb @ w, first, code)[pair_word]
         top = np.maximum.reduceat(z, begin)
-        e = np.exp(sharp * (z - np.repeat(top, length)))
-        total = np.add.reduceat(e, begin)
+        e = np.exp(np.float32(sharp) * (z - np.repeat(top, length)))
+        total = np.add.reduceat(e, begin, dtype=np.float64)
         logit = top + np.log(total / length) / sharp + bias
         miss = weight * (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y)
-        pull = np.repeat(miss / total, length) * e
-        by_word = np.bincount(pair_word, pull, n) / per_word
-        by_code = np.bincount(code, by_word[word_of_code], 1 << bits).astype(np.float32)
+        e *= np.repeat((miss / total).astype(np.float32), length)
+        by_code = _spread(np.bincount(pair_word, e, n), first, code, 1 << bits)
         slope_e = by_code[:, None] * w + ridge / (1 << bits) * emb
         slope_w = emb.T @ by_code + ridge * w
         seen_e += (slope_e * slope_e).mean(axis=1, keepdims=True)

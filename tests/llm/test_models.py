@@ -284,3 +284,11 @@ def test_packing_does_not_depend_on_partitions(spark):
     a, b = (sorted(map(str, packing.pack(frame.repartition(n), 64, 50).collect())) for n in (1, 7))
     assert a == b
     assert packing.pack(frame.drop("source"), 64, 50).count() == len(a)
+
+
+def test_languages_of_held_out_rows(spark):
+    """Fold 2 of 4 of the test tables, which nothing is learned from."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang is not null").select("doc_id", "lang")
+    found = langid.op2_langid(spark, "/root/testdata/sf0.1").where("held_out and lang_pred != 'und'")
+    got = [r["lang"] == r["lang_pred"] for r in found.join(docs, "doc_id").collect()]
+    assert len(got) > 1000 and np.mean(got) > 0.95, np.mean(got)
