@@ -361,6 +361,14 @@ def _(spark, d):
     return anomaly.gaussian(paths(spark, d).df, ["series_id"], 0.95).select("series_id", "epoch", F.round("score", 6).alias("score"), "anomalous")
 
 
+_ZG = _Z.replace("PARTITION BY sid", "PARTITION BY split_part(sid, '.', 2)")
+
+
+@query("anomaly_grouped", BASE + f" SELECT sid AS series_id, epoch, round({_ZG}, 6) AS score, coalesce({_ZG} > 0.95, false) AS anomalous FROM s")
+def _(spark, d):
+    return anomaly.gaussian(paths(spark, d).df, ["series_id"], 0.95, tokens=[1]).select("series_id", "epoch", F.round("score", 6).alias("score"), "anomalous")
+
+
 @query("anomaly_static", BASE + " SELECT sid AS series_id, epoch, coalesce(v > 80, false) AS anomalous FROM s")
 def _(spark, d):
     return anomaly.static(paths(spark, d).df, ["series_id"], 80).select("series_id", "epoch", "anomalous")
