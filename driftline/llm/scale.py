@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..durable import cut
 
-__all__ = ["cut", "lookup", "release", "skew_safe_lookup", "skew_safe_match"]
+__all__ = ["cut", "likely", "lookup", "release", "skew_safe_lookup", "skew_safe_match"]
 
 #: A key counts as hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer hot keys than this.
 HOT_PARTS = 1000
@@ -56,6 +56,18 @@ def skew_safe_match(rows: DataFrame, table: DataFrame, keys: list[str], weight:
     return far.union(rows.join(hot, keys).select(*rows.columns, *values))
 
 
+#: Numbers that keys are hashed to before a join with few of them; so many at most are broadcast (a few MB).
+CELLS = 1 << 19
+
+
+def likely(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """Rows whose ``key`` hashes to a cell that some key of ``keys`` hashes to: all that a join with ``keys`` needs, and few
+    others as long as ``keys`` has not many more than CELLS rows. What is left out need not be shuffled."""
+    cell = F.pmod(F.xxhash64(key), F.lit(CELLS))
+    cells = F.broadcast(keys.select(cell.alias("__cell")).distinct())
+    return rows.withColumn("__cell", cell).join(cells, "__cell", "left_semi").drop("__cell")
+
+
 def lookup(rows: DataFrame, table: DataFrame, keys: list[str], spread: Column) -> DataFrame:
     """``skew_safe_lookup`` for a small materialised ``rows``: its hot keys are counted first."""
     total = rows.count()

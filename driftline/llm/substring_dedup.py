@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .scale import cut, lookup, release, skew_safe_match
+from .scale import cut, likely, lookup, release, skew_safe_match
 
 #: Words of a window, and of a phrase by which windows are found.
 WINDOW, PHRASE = 20, 6
@@ -244,9 +244,9 @@ def _recurring(survey: DataFrame, brief: DataFrame) -> DataFrame:
     return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.max("again").alias("again")))
 
 
-def _known_segments(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _known_segments(docs: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, k1, k2, lo): runs of windows that an earlier document has. (doc_id, hs): phrases at which owners of runs differ."""
-    segments = cut(candidates.select("doc_id", "text", "hs").mapInArrow(_emit_segments, "h long, k1 long, k2 long, doc_id long"))
+    segments = cut(docs.join(found, "doc_id").select("doc_id", "text", "hs").mapInArrow(_emit_segments, "h long, k1 long, k2 long, doc_id long"))
     owners = cut(segments.groupBy("h", "k1", "k2").agg(F.min("doc_id").alias("lo"), F.count(F.lit(1)).alias("n")))
     later = skew_safe_match(segments, owners.where(F.col("n") > 1), ["h", "k1", "k2"], "n", segments.count()).where(F.col("lo") < F.col("doc_id"))
     mixed = cut(owners.groupBy("h").agg(F.min("lo").alias("a"), F.max("lo").alias("b"), F.count(F.lit(1)).alias("n")).where(F.col("a") < F.col("b")).select("h", "n"))
@@ -254,24 +254,24 @@ def _known_segments(candidates: DataFrame) -> tuple[DataFrame, DataFrame]:
     return later.select("doc_id", "k1", "k2", "lo"), cut(differ.groupBy("doc_id").agg(F.collect_set("h").alias("hs")))
 
 
-def _known_windows(candidates: DataFrame, differ: DataFrame) -> DataFrame:
+def _known_windows(docs: DataFrame, differ: DataFrame) -> DataFrame:
     """(doc_id, k1, k2, lo): windows of runs' owners that an earlier owner has."""
-    rows = candidates.select("doc_id", "text").join(differ, "doc_id").select("doc_id", "text", "hs")
+    rows = docs.join(differ, "doc_id").select("doc_id", "text", "hs")
     windows = cut(rows.mapInArrow(_emit_windows, "k1 long, k2 long, doc_id long"))
     earliest = windows.groupBy("k1", "k2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi"))
     return skew_safe_match(windows, cut(earliest.select("k1", "k2", "lo", "n")), ["k1", "k2"], "n", windows.count()).where(F.col("lo") < F.col("doc_id")).select("doc_id", "k1", "k2", "lo")
 
 
-def _stripped(candidates: DataFrame, later: DataFrame) -> DataFrame:
-    """doc_id, r, kept_sha256 of the candidates that lose words.
+def _stripped(docs: DataFrame, found: DataFrame, later: DataFrame) -> DataFrame:
+    """doc_id, r, kept_sha256 of the documents that may lose words.
 
-    ``later`` (doc_id, run, k1, k2, lo) are the nominated passages. Their owners tell the words, once for each passage;
+    ``later`` (doc_id, run, k1, k2, lo) are the nominated passages; ``found`` tells which documents repeat a phrase themselves. Their owners tell the words, once for each passage;
     documents are dealt evenly into blocks, each with the passages that are nominated for its documents.
     """
-    owned = later.select(F.col("lo").alias("doc_id"), "run", "k1", "k2").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("run", "k1", "k2")).alias("wanted"))
-    texts = cut(candidates.select("doc_id", "text").join(owned, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_passages, "run boolean, k1 long, k2 long, words string"))
-    touched = later.select("doc_id").union(candidates.where("again").select("doc_id")).distinct()
-    todo = cut(candidates.select("doc_id", "text").join(touched, "doc_id"))
+    owned = cut(later.select(F.col("lo").alias("doc_id"), "run", "k1", "k2").distinct().groupBy("doc_id").agg(F.collect_list(F.struct("run", "k1", "k2")).alias("wanted")))
+    texts = cut(likely(docs, owned, "doc_id").join(owned, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_emit_passages, "run boolean, k1 long, k2 long, words string"))
+    touched = cut(later.select("doc_id").union(found.where("again").select("doc_id")).distinct())
+    todo = cut(likely(docs, touched, "doc_id").join(touched, "doc_id").select("doc_id", "text"))
     blocks = max(1, -(-todo.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // SHARD))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).alias("block")
     need = cut(later.groupBy(block, "run", "k1", "k2").agg(F.min("lo").alias("lo")))
@@ -303,7 +303,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = cut(docs.mapInArrow(_survey, "doc_id long, n_words long, whole string, phrases array<long>, again array<long>"))
-    nameless = every.where(F.col("doc_id").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256"))
+    nameless = cut(every.where(F.col("doc_id").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256")))
     survey, docs = every.where(F.col("doc_id").isNotNull()), docs.where(F.col("doc_id").isNotNull())
     brief = _originals(survey)
     repeats = survey.count() != brief.count()
@@ -312,19 +312,17 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         docs = docs.dropDuplicates()
     found = _recurring(survey, brief)
     release(spark)
-    candidates = docs.join(found, "doc_id").select("doc_id", "text", "hs", "again")
-    if repeats:  # keep the text that counts
+    if repeats:  # one row for each id, with the text that counts
         words = F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), " "), 256)
-        candidates = candidates.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text", "hs", "again")
-    candidates = cut(candidates)
-    del survey, found
+        docs = cut(docs.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
+    runs, differ = _known_segments(docs, found)
+    runs = cut(runs)
     release(spark)
-    runs, differ = _known_segments(candidates)
-    release(spark)
-    singles = _known_windows(candidates, differ)
+    singles = _known_windows(docs, differ)
     later = cut(runs.select("doc_id", F.lit(True).alias("run"), "k1", "k2", "lo").union(singles.select("doc_id", F.lit(False).alias("run"), "k1", "k2", "lo")))
+    del every, survey, runs, singles, differ
     release(spark)
-    stripped = _stripped(candidates, later)
+    stripped = _stripped(docs, found, later)
     copy = (F.col("doc_id") != F.col("original")) & (F.col("n_words") >= WINDOW)
     out = brief.join(stripped, "doc_id", "left").select(
         "doc_id", "n_words", F.when(copy, F.col("n_words")).otherwise(F.coalesce("r", F.lit(0).cast("long"))).alias("n_removed"),
