@@ -154,3 +154,14 @@ def link_vectors(vectors: DataFrame, least: float = 0.93, id_col: str = "vec_id"
 def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``link_vectors`` of all embeddings, at cosine 0.93 within labels."""
     return link_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: All links of each label, pair by pair: what the index finds where its recall is 1.
+ORACLE_SQL = """
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND len(a.e) = len(b.e) AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+reach AS (WITH RECURSIVE t AS (SELECT DISTINCT a, a AS b FROM l UNION SELECT t.a, l.b FROM t JOIN l ON l.a = t.b) SELECT a, min(b) AS c FROM t GROUP BY a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, coalesce(c, vec_id) AS component_id, vec_id = coalesce(c, vec_id) AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN reach ON reach.a = vec_id
+"""

@@ -23,6 +23,7 @@ ORACLES = {
     "op10_minhash": minhash.ORACLE_SQL,
     "op5_exact_dedup": exact_dedup.ORACLE_SQL,
     "license_base": licenses.BASE_SQL,
+    "op6_embedding_dedup": embedding_dedup.ORACLE_SQL,
     "pii_base": pii.BASE_SQL,
     "op8_substring_dedup": substring_dedup.ORACLE_SQL,
 }
