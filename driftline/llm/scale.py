@@ -2,25 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..durable import cut
 
-__all__ = ["cut", "likely", "lookup", "release", "skew_safe_lookup", "skew_safe_match"]
+__all__ = ["cut", "likely", "lookup", "skew_safe_lookup", "skew_safe_match"]
 
 #: A key counts as hot when it holds more than 1/HOT_PARTS of all rows, so there are fewer hot keys than this.
 HOT_PARTS = 1000
 
 
-def release(spark: SparkSession) -> None:
-    """Let the driver's collector notice shuffles whose frames are gone, so that executors delete their files."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def skew_safe_lookup(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, spread: Column) -> DataFrame:
     """Left join of ``rows`` with ``table`` (unique on ``keys``), whatever share of the rows one key holds.
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textnum
-from .scale import cut, likely, lookup, release, skew_safe_match
+from .scale import cut, likely, lookup, skew_safe_match
 
 #: Words of a window, and of a phrase by which windows are found.
 WINDOW, PHRASE = 20, 6
@@ -235,10 +235,10 @@ def _originals(survey: DataFrame) -> DataFrame:
 def _recurring(survey: DataFrame, brief: DataFrame) -> DataFrame:
     """doc_id, hs, again: the recurring phrases of each original that has any, and whether one stands twice in it."""
     lone = brief.where((F.col("doc_id") == F.col("original")) & (F.col("n_words") >= WINDOW)).select("doc_id", "whole")
-    chosen = survey.select("doc_id", "whole", "phrases", "again").join(lone, ["doc_id", "whole"], "left_semi")
+    chosen = cut(survey.select("doc_id", "whole", "phrases", "again").join(lone, ["doc_id", "whole"], "left_semi").select("doc_id", "phrases", "again"))
     placed = chosen.select("doc_id", F.explode("phrases").alias("h"))
     shared = cut(placed.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count(F.lit(1)).alias("n")).where(F.col("lo") < F.col("hi")).select("h", "n"))
-    total = survey.agg(F.coalesce(F.sum(F.size("phrases")), F.lit(0))).first()[0]
+    total = chosen.agg(F.coalesce(F.sum(F.size("phrases")), F.lit(0))).first()[0]
     found = skew_safe_match(placed, shared, ["h"], "n", total).select("doc_id", "h", F.lit(False).alias("again"))
     found = found.union(chosen.select("doc_id", F.explode("again").alias("h"), F.lit(True).alias("again")))
     return cut(found.groupBy("doc_id").agg(F.collect_set("h").alias("hs"), F.max("again").alias("again")))
@@ -300,7 +300,6 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     goes, and nothing goes because of them. Phrases, runs and windows are aggregated before they are shuffled, and hot ones
     are looked up skew-safely.
     """
-    spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     every = cut(docs.mapInArrow(_survey, "doc_id long, n_words long, whole string, phrases array<long>, again array<long>"))
     nameless = cut(every.where(F.col("doc_id").isNull()).select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("whole").alias("kept_sha256")))
@@ -311,17 +310,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         survey = survey.dropDuplicates(["doc_id", "whole"])
         docs = docs.dropDuplicates()
     found = _recurring(survey, brief)
-    release(spark)
     if repeats:  # one row for each id, with the text that counts
         words = F.sha2(F.array_join(F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != ""), " "), 256)
         docs = cut(docs.withColumn("whole", words).join(brief.select("doc_id", "whole"), ["doc_id", "whole"], "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "text"))
     runs, differ = _known_segments(docs, found)
     runs = cut(runs)
-    release(spark)
     singles = _known_windows(docs, differ)
     later = cut(runs.select("doc_id", F.lit(True).alias("run"), "k1", "k2", "lo").union(singles.select("doc_id", F.lit(False).alias("run"), "k1", "k2", "lo")))
     del every, survey, runs, singles, differ
-    release(spark)
     stripped = _stripped(docs, found, later)
     copy = (F.col("doc_id") != F.col("original")) & (F.col("n_words") >= WINDOW)
     out = brief.join(stripped, "doc_id", "left").select(
