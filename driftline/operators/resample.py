@@ -18,9 +18,10 @@ def default_lookback(start: int, segment: int = 86400) -> int:
     return min(LOOKBACK_OLD if start < OLD else LOOKBACK, segment // 2)
 
 
-def dedupe(points: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """One value for each (keys, epoch): that of the largest ``order``."""
-    return points.groupBy(*keys, "epoch").agg(F.max_by("value", order).alias("value"))
+def dedupe(points: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One value for each (keys, epoch): that of the largest ``order``, or the smallest value where there is no order."""
+    one = F.min("value") if order is None else F.max_by("value", order)
+    return points.groupBy(*keys, "epoch").agg(one.alias("value"))
 
 
 def last_values(points: DataFrame, keys: list[str], start: int, lookback: int = LOOKBACK) -> DataFrame:

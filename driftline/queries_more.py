@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions.timeparse import interval_seconds
 from .operators import anomaly, bands, explore, rollup, sparse
 from .operators import resample as R
 from .operators.timerange import TimeRange, missing
@@ -70,6 +71,7 @@ sql("sql_as_percentage", "as_percentage(user)", "SELECT event_type, epoch, list_
 sql("sql_percent", "percent(mean(user), mean(system))", "SELECT u.event_type, u.epoch, (avg(u.v) * 100 / nullif(avg(y.v), 0)) AS value FROM u JOIN y USING (event_type, grp, epoch) GROUP BY 1, 2", base=US)
 sql("sql_arith_two_fields", "system * 100 / user + 20", "SELECT event_type, grp, epoch, (y.v * 100 / nullif(u.v, 0) + 20) AS value FROM u FULL JOIN y USING (event_type, grp, epoch)", base=US)
 sql("sql_arith_aggregates", "max(user) - min(user) * 2", "SELECT event_type, epoch, (max(v) - min(v) * 2) AS value FROM u GROUP BY 1, 2")
+sql("sql_group_broadcast", "user / max(user)", "SELECT u.event_type, grp, u.epoch, u.v / nullif(m.v, 0) AS value FROM u LEFT JOIN (SELECT event_type, epoch, max(v) AS v FROM u GROUP BY 1, 2) m ON m.event_type = u.event_type AND m.epoch = u.epoch")
 sql("sql_group_by_tags", "mean(user)", "SELECT event_type, grp, epoch, (avg(v)) AS value FROM u GROUP BY 1, 2, 3", group=", event_type, grp")
 sql("sql_group_all", "sum(user)", "SELECT epoch, (sum(v)) AS value FROM u GROUP BY 1", group="")
 sql("sql_where_like", "mean(user)", "SELECT event_type, epoch, (avg(v)) AS value FROM u GROUP BY 1, 2", where="AND event_type = '*c*'", base=f"WITH {EV}, {_field_sql('u', 'value', chr(65) + 'ND event_type LIKE ' + chr(39) + '%c%' + chr(39))}")
@@ -390,6 +392,30 @@ def _(spark, d):
     return explore.show(_tagged(spark, d), "SHOW MEASUREMENTS WITH MEASUREMENT =~ /c/ LIMIT 50")
 
 
+@query("show_retention", "SELECT 'default' AS name")
+def _(spark, d):
+    return explore.show(_tagged(spark, d), "SHOW RETENTION POLICIES ON db")
+
+
+@query("information_schema", "SELECT 'ev' AS datasource, * FROM (VALUES ('event_id', 'metric'), ('user_id', 'metric'), ('event_type', 'dimension'), ('epoch', 'time'), ('value', 'metric')) t(name, kind)")
+def _(spark, d):
+    return explore.information_schema({"ev": events(spark, d)})
+
+
+@query("dedupe_min", f"WITH {EV} SELECT event_type, epoch, min(value) AS value FROM ev GROUP BY 1, 2")
+def _(spark, d):
+    return R.dedupe(events(spark, d), ["event_type"])
+
+
+# Literals of time spans, and the same as SQL has them.
+SPANS = {"10": "10 seconds", "90s": "90 seconds", "5min": "5 minutes", "5m": "5 minutes", "1h": "1 hour", "2d": "2 days", "1w": "7 days", "1mon": "30 days", "1y": "365 days"}
+
+
+@query("time_spans", "SELECT text, CAST(epoch(span) AS BIGINT) AS seconds FROM (VALUES " + ", ".join(f"('{k}', INTERVAL '{v}')" for k, v in SPANS.items()) + ") t(text, span)")
+def _(spark, d):
+    return spark.createDataFrame([(k, interval_seconds(k)) for k in SPANS], "text string, seconds long")
+
+
 @query("show_field_keys", f"WITH {EV} SELECT DISTINCT CASE WHEN user_id % 2 = 0 THEN 'cpu' ELSE 'disk' END AS field FROM ev WHERE event_type = 'click'")
 def _(spark, d):
     return explore.show(_tagged(spark, d), 'SHOW FIELD KEYS FROM "m_click"')

@@ -150,9 +150,10 @@ def from_lines(lines: DataFrame, late: int = 30 * 86400, early: int = 2 * 86400)
     return points.withColumn("series_id", codec.series_id(F.col("datasource"), F.col("tags"), F.col("field")))
 
 
-def kafka_source(spark, servers: str, topics: str, rewind_ms: int | None = None) -> DataFrame:
-    """A stream of metric lines; ``rewind_ms``: where a new query begins, as a timestamp in milliseconds."""
+def kafka_source(spark, servers: str, topics: str, rewind_ms: int | None = None, per_batch: int | None = None) -> DataFrame:
+    """A stream of metric lines; ``rewind_ms``: where a new query begins, as a timestamp in milliseconds; ``per_batch``: at most so many lines a micro-batch."""
     reader = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics)
+    reader = reader.option("maxOffsetsPerTrigger", str(per_batch)) if per_batch else reader
     return (reader.option("startingTimestamp", str(rewind_ms)) if rewind_ms else reader).load()
 
 

@@ -1,6 +1,7 @@
 """Step functions on a grid: values, markers, versions and fills."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from driftline.operators import resample as R
 from driftline.operators.rollup import rollup
@@ -86,3 +87,40 @@ def test_ranges():
     assert missing(TimeRange(0, 30, 5), [b]) == [a, TimeRange(20, 30, 5)]
     with pytest.raises(ValueError):
         TimeRange(0, 10, 0)
+
+
+def test_cuts_keep_the_session_as_it_was(spark):
+    from driftline import durable
+
+    before = spark.conf.get(durable.CLEANUP, None)
+    df = durable.cut(spark.range(100).groupBy((F.col("id") % 7).alias("k")).count())
+    assert df.count() == 7 and df.collect() == df.collect() and spark.conf.get(durable.CLEANUP, "false") == (before or "false")
+
+
+def test_no_local_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from driftline import durable
+
+    context = SimpleNamespace(getCheckpointDir=lambda: None, master="spark://host:7077")
+    session = SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *a: None))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        durable.cut(SimpleNamespace(sparkSession=session))
+
+
+def test_bounds_reach_the_scan(spark, tmp_path):
+    from driftline.queries import END, START, by_type, paths
+
+    d = "/root/testdata/sf0.001"
+    for df in (R.resample(by_type(spark, d, START, END), TimeRange(START, END, 3600), ["event_type"]), paths(spark, d).df):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "GreaterThanOrEqual(ts" in plan and "LessThan(ts" in plan and plan.count("FileScan") == 1
+
+
+def test_lookback_by_era():
+    assert R.default_lookback(1704067200) == 1800 and R.default_lookback(1600000000) == 43200 and R.default_lookback(1600000000, 3600) == 1800
+
+
+def test_collisions_take_the_minimum(spark):
+    df = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 3.0), ("a", 2, 1.0)], "k string, epoch long, value double")
+    assert sorted(tuple(r) for r in R.dedupe(df, ["k"]).collect()) == [("a", 1, 3.0), ("a", 2, 1.0)]
