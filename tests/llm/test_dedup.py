@@ -317,3 +317,20 @@ def test_covered_against_a_plain_search():
                 if owner < names[d] and (ids[at : at + len(p)] == p).all():
                     want[at : at + len(p)] = True
     assert (substring_dedup.covered(ids, first, names, passages, owners) == want).all() and want.any()
+
+
+def test_joins_of_hot_keys(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from driftline.llm import scale
+
+    monkeypatch.setattr(scale, "HOT_PARTS", 10)
+    rows = spark.createDataFrame([(i, "hot" if i % 2 else f"k{i}") for i in range(200)] + [(1000, None)], "i int, key string")
+    table = rows.where("i < 100 and key is not null").groupBy("key").agg(F.count("i").alias("n"), F.min("i").alias("first"))
+    table = table.withColumn("n", F.when(F.col("key") == "hot", 100).otherwise(F.col("n")))
+    want = sorted((r["i"], r["key"], r["first"]) for r in rows.join(table, "key").collect())
+    got = scale.skew_safe_match(rows, table, ["key"], "n", 201)
+    assert got.columns == ["i", "key", "first"] and sorted(tuple(r) for r in got.collect()) == want
+    some = scale.likely(rows.where("key is not null"), table.select("key"), "key")
+    assert some.columns == rows.columns and sorted((r["i"], r["key"]) for r in some.join(table.select("key"), "key").select("i", "key").collect()) == [(i, k) for i, k, _ in want]
+    assert some.count() < 200
