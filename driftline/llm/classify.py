@@ -10,11 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import subword, textnum
+from .scale import cut
 
 #: At most about so many rows of a table are learned from, all classes together.
 SAMPLE = 4000
 #: Longer texts are not learned from, and no more classes than this, the most frequent ones.
 LONGEST, CLASSES = 100_000, 1000
+#: Bytes of text, all classes together, that are brought to the driver to be learned from.
+BYTES = 1 << 25
 
 
 def fold(id_col: str, folds: int) -> Column:
@@ -53,13 +56,42 @@ def sample_per_class(rows: DataFrame, id_col: str, class_col: str, most: int = S
     return chosen.orderBy("__dice", "__same").limit(most).select(*rows.columns)
 
 
-def pairs(rows: DataFrame, id_col: str, text_col: str, class_col: str) -> tuple[tuple[np.ndarray, np.ndarray], list]:
-    """Texts (as flat bytes) and classes of a sample, by id and text, so that training repeats exactly."""
-    table = rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(class_col).alias("c")).toArrow()
+def pairs(rows: DataFrame, id_col: str, text_col: str, class_col: str, shares: dict | None = None, most: int = BYTES) -> tuple[tuple[np.ndarray, np.ndarray], list]:
+    """Texts (as flat bytes) and classes of a sample, by id and text, so that training repeats exactly.
+
+    Never more than ``most`` bytes of text: a sample with more is thinned to whole texts, see ``_last_keys``.
+    """
+    rows = cut(rows.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(class_col).alias("c"), F.xxhash64(id_col, text_col).alias("k")))
+    last = _last_keys(rows.select("c", "k", F.octet_length("t")).collect(), shares, most)  # numbers of a bounded sample
+    if last is not None:
+        lasts = F.create_map(*[F.lit(x) for item in last.items() for x in item]) if last else F.lit(None)
+        rows = rows.where(F.col("k") <= (lasts[F.col("c")] if last else F.lit(None)))
+    table = rows.drop("k").toArrow()
     table = table.sort_by([("i", "ascending"), ("t", "ascending")])
     return textnum.flat(table["t"]), table["c"].to_pylist()
 
 
+def _last_keys(sizes: list[tuple], shares: dict | None, most: int) -> dict | None:
+    """The largest key of each class that is kept, of rows (class, key, bytes); None if all rows have ``most`` bytes at most.
+
+    Classes take turns, each as often as its share (equally without ``shares``), in the order of their keys, until the
+    next text would go beyond ``most``. So the rarest classes lose rows last.
+    """
+    if sum(n or 0 for _, _, n in sizes) <= most:
+        return None
+    turns, seen = [], {}
+    for label, key, n in sorted(sizes, key=lambda x: x[1]):
+        seen[label] = seen.get(label, 0) + 1
+        turns.append((seen[label] / (shares or {}).get(label, 1), key, label, n or 0))
+    last, total = {}, 0
+    for _, key, label, n in sorted(turns, key=lambda x: x[:2]):
+        total += n
+        if total > most:
+            break
+        last[label] = key
+    return last
+
+
 def texts_of(docs: DataFrame, chosen: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, text, and the columns of ``chosen``) for a sample of ids: one text for each, the smallest that is not null or over LONGEST.
 

@@ -26,8 +26,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     counts = class_counts(known, "label")
     if len(counts) < 2:
         return None
-    chosen = cut(sample_per_class(known, "id", "label", most, shares={1: most // 4, 0: most - most // 4}))
-    texts, targets = pairs(texts_of(docs, chosen, id_col, text_col), "id", "text", "label")
+    shares = {1: most // 4, 0: most - most // 4}
+    chosen = cut(sample_per_class(known, "id", "label", most, shares=shares))
+    texts, targets = pairs(texts_of(docs, chosen, id_col, text_col), "id", "text", "label", shares)
     if len(set(targets)) < 2:
         return None
     return train_detector(texts, np.array(targets), counts[1] / (counts[0] + counts[1]))

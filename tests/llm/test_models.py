@@ -292,3 +292,16 @@ def test_languages_of_held_out_rows(spark):
     found = langid.op2_langid(spark, "/root/testdata/sf0.1").where("held_out and lang_pred != 'und'")
     got = [r["lang"] == r["lang_pred"] for r in found.join(docs, "doc_id").collect()]
     assert len(got) > 1000 and np.mean(got) > 0.95, np.mean(got)
+
+
+def test_a_sample_of_long_texts_has_a_bound_in_bytes(spark):
+    from driftline.llm.classify import pairs
+
+    rows = spark.range(400).select(F.col("id"), F.when(F.col("id") < 10, "rare").otherwise("many").alias("c"), F.concat(F.col("id").cast("string"), F.lit(" "), F.repeat(F.lit("ж"), 1000)).alias("text"))
+    (text, offsets), classes = pairs(rows, "id", "text", "c", most=100_000)
+    assert 97_000 < len(text) <= 100_000 and len(classes) == len(offsets) - 1
+    assert classes.count("rare") == 10  # the others make room
+    (text, _), classes = pairs(rows, "id", "text", "c", {"rare": 1, "many": 9}, most=100_000)
+    assert len(text) <= 100_000 and 3 <= classes.count("rare") <= 6
+    assert len(pairs(rows, "id", "text", "c")[1]) == 400
+    assert pairs(rows, "id", "text", "c", most=10)[1] == []
