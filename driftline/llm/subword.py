@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -127,17 +128,30 @@ def pooled(total: np.ndarray, count: np.ndarray, owner: np.ndarray, n: int, near
     return out
 
 
-def _bags(text: np.ndarray, offsets: np.ndarray, bits: int, punctuation: bool) -> list[tuple[np.ndarray, np.ndarray]]:
+#: Distinct n-grams (8 bytes each), of all texts together, that are kept in training; those of further texts are found anew at each visit.
+KEPT = 8_000_000
+
+
+def _bags(text: np.ndarray, offsets: np.ndarray, bits: int, punctuation: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For each text its distinct buckets and their shares."""
-    bags = []
-    for a, b in groups(offsets):
+    for a, b in groups(offsets, PIECE >> 3):
         out, moved = padded(text[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], punctuation)
         parts = [grams(out, 0, len(out), n, bits) for n in SIZES]
         for i in range(b - a):
             cut = [code[slice(*np.searchsorted(at, moved[i : i + 2]))] for at, code in parts]
             codes, counts = np.unique(np.concatenate(cut), return_counts=True)
-            bags.append((codes.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)))
-    return bags
+            yield codes.astype(np.int32), (counts / max(1, counts.sum())).astype(np.float32)
+
+
+def _bag_of(texts: tuple[np.ndarray, np.ndarray], bits: int, punctuation: bool) -> Callable[[int], tuple[np.ndarray, np.ndarray]]:
+    """The bag of a text by its number. Whatever words the texts are of, not many more than KEPT n-grams are held."""
+    bags, left = [], KEPT
+    for bag in _bags(*texts, bits, punctuation):
+        bags.append(bag)
+        left -= len(bag[0])
+        if left < 0:
+            break
+    return lambda i: bags[i] if i < len(bags) else next(_bags(*next(_texts(texts, np.array([i]))), bits, punctuation))
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -160,13 +174,13 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
     emb = (rng.standard_normal((1 << bits, dim)) * 0.1).astype(np.float32)
     w = (rng.standard_normal((dim, k)) * 0.1).astype(np.float32)
     bias = np.zeros(k, np.float32)
-    bags = _bags(*texts, bits, punctuation)
-    order = rng.permutation(len(bags))
+    bag = _bag_of(texts, bits, punctuation)
+    order = rng.permutation(len(texts[1]) - 1)
     back, fit = order[: len(order) // 5], order[len(order) // 5 :]
     steps, done = max(1, epochs * len(fit)), 0
     for _ in range(epochs):
         for i in rng.permutation(fit):
-            codes, share = bags[i]
+            codes, share = bag(i)
             if not len(codes):
                 continue
             now = rate * (1 - done / steps)
@@ -180,7 +194,7 @@ def train_texts(texts: tuple[np.ndarray, np.ndarray], targets: np.ndarray, label
             emb[codes] -= (now * 20) * share[:, None] * down
     model = Model(labels, emb @ w, bias, bits, punctuation=punctuation)
     if len(back):
-        z = np.array([share @ model.table[codes] if len(codes) else np.zeros(k) for codes, share in bags], np.float64)[back] + bias
+        z = np.array([share @ model.table[codes] if len(codes) else np.zeros(k) for codes, share in map(bag, back)], np.float64) + bias
         heat = [0.05 * 1.25**i for i in range(24)]
         right = targets[back]
         model.temperature = float(min(heat, key=lambda t: -np.log(_softmax(z / t)[np.arange(len(back)), right] + 1e-12).mean()))

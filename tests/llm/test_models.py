@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, mixing against a dense solution, packing against a plain search, and the pipeline's parts."""
 
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -305,3 +306,19 @@ def test_a_sample_of_long_texts_has_a_bound_in_bytes(spark):
     assert len(text) <= 100_000 and 3 <= classes.count("rare") <= 6
     assert len(pairs(rows, "id", "text", "c")[1]) == 400
     assert pairs(rows, "id", "text", "c", most=10)[1] == []
+
+
+def test_training_holds_a_bounded_number_of_ngrams(monkeypatch):
+    rng = np.random.default_rng(3)
+    size, many = 8000, 800
+    drawn = rng.integers(97, 123, size * many).astype(np.uint8)
+    drawn[::9] = 32  # few words repeat, so nearly every n-gram of a text is another
+    texts, labels = (drawn, np.arange(many + 1) * size), np.arange(many) % 2
+    whole = subword.train_texts(texts, labels, ["a", "b"], epochs=1, punctuation=True)
+    monkeypatch.setattr(subword, "KEPT", 100_000, raising=False)
+    tracemalloc.start()
+    model = subword.train_texts(texts, labels, ["a", "b"], epochs=1, punctuation=True)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6, most  # over 100 MB with the n-grams of all texts; the embeddings alone take up to 40
+    assert np.array_equal(model.table, whole.table) and np.array_equal(model.bias, whole.bias) and model.temperature == whole.temperature
